@@ -36,6 +36,31 @@ def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_token_files(manifest, with_ids=False)
 
 
+def op4_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .itq_dedup import near_duplicate_vectors
+
+    return near_duplicate_vectors(table(spark, sf_dir, "embeddings"))
+
+
+def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .jaccard_join import jaccard_components
+
+    return jaccard_components(table(spark, sf_dir, "documents"))
+
+
+def op7_bloom_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .bloom_lm import score_documents
+
+    return score_documents(table(spark, sf_dir, "documents"))
+
+
+def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .sharding import LAW, shard_documents
+
+    rows = shard_documents(table(spark, sf_dir, "documents"), shards=40)
+    return rows.select("doc_id", "size", F.crc32(F.col("text").cast("binary")).alias("text_crc32"), F.lit(LAW).alias("law"), "shard", "slot", "grown_shard")
+
+
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -52,12 +77,23 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality_rules import quality_rules
+
+    return quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
         op1_best_fit_packing,
         op2_token_files,
+        op4_embedding_dedup,
+        op5_jaccard_join,
+        op7_bloom_lm,
+        op8_sharding,
         op9_byte_bpe,
+        op10_quality_rules,
     )
 }
 
