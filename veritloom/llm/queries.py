@@ -36,6 +36,12 @@ def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_token_files(manifest, with_ids=False)
 
 
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .license_scan import license_scan
+
+    return license_scan(table(spark, sf_dir, "documents")).drop("detections")
+
+
 def op4_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .itq_dedup import near_duplicate_vectors
 
@@ -48,6 +54,13 @@ def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"))
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .language_id import identify, page_rows, training_rows
+
+    pages, docs = table(spark, sf_dir, "pages"), table(spark, sf_dir, "documents")
+    return identify(page_rows(pages), training_rows(docs), markup=True).withColumnRenamed("id", "page_id")
+
+
 def op7_bloom_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .bloom_lm import score_documents
 
@@ -88,8 +101,10 @@ QUERIES: dict[str, Query] = {
     for f in (
         op1_best_fit_packing,
         op2_token_files,
+        op3_license_scan,
         op4_embedding_dedup,
         op5_jaccard_join,
+        op6_language_id,
         op7_bloom_lm,
         op8_sharding,
         op9_byte_bpe,
