@@ -1,34 +1,88 @@
-"""64-bit hashes of words and vectors of them, for NumPy."""
+"""64-bit hashes of words, by NumPy over whole buffers of text."""
 
 from __future__ import annotations
 
 import numpy as np
 
-#: Words whose hash a worker keeps.
-CACHE_WORDS = 600_000
+#: Bytes hashed at once; the tables of powers have this many entries.
+BLOCK = 1 << 19
+_U = np.uint64
+_BASE = 0x9E3779B97F4A7C15
 
 
-class _Hashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        import xxhash
+def mix(x: np.ndarray) -> np.ndarray:
+    """Every bit of the result depends on every bit of ``x`` (a bijection)."""
+    x = x ^ (x >> _U(33))
+    x = x * _U(0xFF51AFD7ED558CCD)
+    x = x ^ (x >> _U(33))
+    x = x * _U(0xC4CEB9FE1A85EC53)
+    return x ^ (x >> _U(33))
 
-        value = self[word] = xxhash.xxh3_64_intdigest(word)
-        return value
 
+_VALUES = mix(np.arange(1, 257, dtype=np.uint64) * _U(0xD6E8FEB86659FD93))
+_SPACE = np.zeros(256, dtype=bool)
+_SPACE[[9, 10, 11, 12, 13, 32]] = True
+_POWERS: list[np.ndarray] = []
 
-_WORDS = _Hashes()
 
+def _powers() -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the base and of its inverse modulo 2**64."""
+    if not _POWERS:
+        for base in (_BASE, pow(_BASE, -1, 1 << 64)):
+            steps = np.full(BLOCK, base, dtype=np.uint64)
+            steps[0] = 1
+            _POWERS.append(np.multiply.accumulate(steps))
+    return _POWERS[0], _POWERS[1]
 
-def word_hashes(words: list[bytes]) -> np.ndarray:
-    if len(_WORDS) > CACHE_WORDS:
-        _WORDS.clear()
-    return np.fromiter(map(_WORDS.__getitem__, words), np.uint64, len(words))
 
+def find_words(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(buffer, starts, ends) of the words of a text: runs of bytes other than ASCII white space."""
+    raw = np.frombuffer(text, np.uint8)
+    gap = np.ones(len(raw) + 2, dtype=bool)
+    gap[1:-1] = _SPACE[raw]
+    edges = np.flatnonzero(gap[1:] != gap[:-1])
+    return raw, edges[::2], edges[1::2]
 
-def mix(x: np.ndarray) -> np.ndarray:
-    """Every bit of the result depends on every bit of ``x`` (a bijection)."""
-    x = x ^ (x >> np.uint64(33))
-    x = x * np.uint64(0xFF51AFD7ED558CCD)
-    x = x ^ (x >> np.uint64(33))
-    x = x * np.uint64(0xC4CEB9FE1A85EC53)
-    return x ^ (x >> np.uint64(33))
+
+def hash_words(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A hash of each word; equal words have equal hashes wherever they stand.
+
+    A word is a polynomial in its bytes: sums of byte values times powers of the
+    position, brought to a common origin by the inverse power of the start.
+    """
+    if not len(starts):
+        return np.empty(0, np.uint64)
+    power, inverse = _powers()
+    out = np.empty(len(starts), np.uint64)
+    done = 0
+    while done < len(starts):
+        origin = int(starts[done])
+        upto = max(done + 1, int(np.searchsorted(ends, origin + BLOCK, side="right")))
+        if upto == done + 1 and ends[done] - origin > BLOCK:
+            out[done] = _long_word(raw[origin : ends[done]])
+        else:
+            a, b = starts[done:upto] - origin, ends[done:upto] - origin
+            terms = np.zeros(int(b[-1]) + 1, np.uint64)
+            np.multiply(_VALUES[raw[origin : origin + int(b[-1])]], power[: int(b[-1])], out=terms[:-1])
+            cuts = np.empty(2 * len(a), np.int64)
+            cuts[::2], cuts[1::2] = a, b
+            sums = np.add.reduceat(terms, cuts)[::2]
+            out[done:upto] = sums * inverse[a] + (b - a).astype(np.uint64) * _U(0xC2B2AE3D27D4EB4F)
+        done = upto
+    return mix(out)
+
+
+def _long_word(word: np.ndarray) -> np.uint64:
+    """The same polynomial for a word longer than a block."""
+    power, _ = _powers()
+    total, scale = 0, 1
+    for k in range(0, len(word), BLOCK):
+        part = word[k : k + BLOCK]
+        total += int((_VALUES[part] * power[: len(part)]).sum(dtype=np.uint64)) * scale
+        scale = scale * pow(_BASE, BLOCK, 1 << 64) % (1 << 64)
+    return _U((total + len(word) * 0xC2B2AE3D27D4EB4F) % (1 << 64))
+
+
+def word_hashes(text: bytes) -> np.ndarray:
+    """Hashes of the words of a text, in order."""
+    return hash_words(*find_words(text))

@@ -15,13 +15,14 @@ import re
 
 import numpy as np
 
+from .hashing import find_words, hash_words
+
 # Spark runs one worker a core already.
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
-#: Chunks kept per worker; later ones are encoded again when they recur.
-CACHE_CHUNKS = 500_000
-#: Longer chunks are never kept.
-LONGEST_KEPT = 40
+#: Chunks a worker keeps before it starts anew.
+CACHE_CHUNKS = 1_500_000
+_U = np.uint64
 #: Characters a text may have to be split into chunks: none of them composes
 #: with a neighbour, folds by context, or is white space to only one library.
 _UNUSUAL = re.compile("[^\t\n\r\x20-\x7e¡-¬®-įı-ɏ‐-‧‰-⁞€]")
@@ -41,8 +42,9 @@ class ChunkEncoder:
         self.library.encode_special_tokens = True
         self.dtype = "<u2" if self.library.get_vocab_size() <= 1 << 16 else "<u4"
         self.capacity = capacity
-        self.kept: dict[str, bytes] = {}
+        self.words = _WordTable(self.dtype)
         self.mark = self._ids(_MARK)
+        self.bare, self.ends = self._bare(path)
         self.by_chunk = self._splits_on_space() and len(self.mark) == 1
 
     def _ids(self, text: str) -> list[int]:
@@ -52,56 +54,165 @@ class ChunkEncoder:
         """White space has to be dropped, and case folded by the library."""
         return self._ids("Ab cd") == self._ids("ab") + self._ids("cd") and self._ids(" ab\n\tcd ") == self._ids("ab cd")
 
-    def _encode_chunks(self, chunks: list[str]) -> None:
+    def _bare(self, path: str):
+        """The library without its normaliser and pattern, for lower-case words, and which ids end a word.
+
+        (None, None) where ids do not tell, or where it would give other ids.
+        """
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
+
+        vocabulary = self.library.get_vocab()
+        ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+        bare = Tokenizer.from_file(path)
+        bare.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        bare.normalizer = normalizers.Sequence([])
+        words = ["ab", "thing", "über", "çà", "ñandú"]
+        found = bare.encode(words, is_pretokenized=True, add_special_tokens=False).ids
+        same = found == [i for w in words for i in self._ids(w)] and int(ends[found].sum()) == len(words)
+        return (bare, ends) if same else (None, None)
+
+    def _encode_words(self, words: list[str], out: dict[str, np.ndarray]) -> None:
+        """Lower-case words of letters only."""
+        step = 1024
+        for k, found in enumerate(self.bare.encode_batch_fast([words[i : i + step] for i in range(0, len(words), step)], is_pretokenized=True, add_special_tokens=False)):
+            ids, begin = np.array(found.ids, dtype=self.dtype), 0
+            for word, last in zip(words[k * step : (k + 1) * step], np.flatnonzero(self.ends[ids]).tolist(), strict=True):
+                out[word] = ids[begin : last + 1]
+                begin = last + 1
+
+    def _encode_chunks(self, chunks: list[str], out: dict[str, np.ndarray]) -> None:
         step = 512
         joined = [f" {_MARK} ".join(chunks[i : i + step]) for i in range(0, len(chunks), step)]
         for k, found in enumerate(self.library.encode_batch_fast(joined, add_special_tokens=False)):
-            ids = np.array(found.ids, dtype=self.dtype)
+            ids, begin = np.array(found.ids, dtype=self.dtype), 0
             ends = np.flatnonzero(ids == self.mark[0]).tolist() + [len(ids)]
-            raw, width, begin = ids.tobytes(), ids.itemsize, 0
             for chunk, end in zip(chunks[k * step : (k + 1) * step], ends, strict=True):
-                self.kept[chunk] = raw[begin * width : end * width]
+                out[chunk] = ids[begin:end]
                 begin = end + 1
 
+    def _learn(self, hashes: np.ndarray, chunks: list[str]) -> None:
+        """Give new chunks to the library and keep their ids."""
+        parts = {}
+        for chunk in chunks:
+            word = chunk.rstrip(_ENDING)
+            if len(word) < len(chunk) and word.isalpha():
+                parts[chunk] = word, chunk[len(word) :]
+        units = set(chunks).difference(parts).union(*parts.values())
+        plain = [u for u in units if u.isalpha()] if self.bare else []
+        known: dict[str, np.ndarray] = {}
+        if plain:
+            self._encode_words(plain, known)
+        self._encode_chunks(list(units.difference(plain)), known)
+        self.words.add(hashes, [known[c] if c not in parts else np.concatenate([known[p] for p in parts[c]]) for c in chunks])
+
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text (None: empty) without special tokens."""
         out: list[bytes] = [b""] * len(texts)
+        plain, size = [], 0
+        for i, text in enumerate(texts):
+            if not text:
+                continue
+            if not self.by_chunk or _UNUSUAL.search(text):
+                out[i] = np.array(self._ids(text), dtype=self.dtype).tobytes()
+                continue
+            plain.append(i)
+            size += len(text)
+            if size > 1_000_000:
+                self._encode_plain(texts, plain, out)
+                plain, size = [], 0
+        if plain:
+            self._encode_plain(texts, plain, out)
+        return out
+
+    def _encode_plain(self, texts: list[str | None], at: list[int], out: list[bytes]) -> None:
+        parts = [texts[i].lower().encode() for i in at]
+        ends = np.cumsum([len(p) + 1 for p in parts])
+        text = b" ".join(parts)
+        raw, starts, stops = find_words(text)
+        hashes = hash_words(raw, starts, stops)
+        if self.words.count > self.capacity:
+            self.words = _WordTable(self.dtype)
+        found = self.words.find(hashes)
+        missing = np.flatnonzero(found < 0)
+        if len(missing):
+            new, first = np.unique(hashes[missing], return_index=True)
+            first = missing[first]
+            self._learn(new, [text[a:b].decode() for a, b in zip(starts[first].tolist(), stops[first].tolist(), strict=True)])
+            found[missing] = self.words.find(hashes[missing])
+        sizes, ids = self.words.gather(found)
+        upto = np.concatenate([[0], np.cumsum(sizes)])[np.searchsorted(starts, ends)]
         begin = 0
-        while begin < len(texts):
-            end, size = begin, 0
-            while end < len(texts) and size < 2_000_000:
-                size += len(texts[end] or "")
-                end += 1
-            self._encode_some(texts[begin:end], begin, out)
+        for i, end in zip(at, upto.tolist(), strict=True):
+            out[i] = ids[begin:end].tobytes()
             begin = end
+
+
+class _WordTable:
+    """Ids by word hash: open addressing in flat arrays, looked up for many words at once."""
+
+    def __init__(self, dtype: str):
+        self.count = 0
+        self.keys = np.zeros(1 << 16, np.uint64)
+        self.slots = np.full(1 << 16, -1, np.int32)
+        self.hashes = np.empty(1 << 15, np.uint64)
+        self.offsets = np.zeros((1 << 15) + 1, np.int64)
+        self.ids = np.empty(1 << 17, dtype)
+
+    def find(self, hashes: np.ndarray) -> np.ndarray:
+        """The number of each word, -1 where it is new."""
+        mask = len(self.keys) - 1
+        spot = (hashes & _U(mask)).astype(np.int64)
+        out = self.slots[spot]
+        at = np.flatnonzero((out >= 0) & (self.keys[spot] != hashes))
+        spot = spot[at]
+        while len(at):
+            spot = (spot + 1) & mask
+            number = self.slots[spot]
+            done = (number < 0) | (self.keys[spot] == hashes[at])
+            out[at[done]] = number[done]
+            at, spot = at[~done], spot[~done]
         return out
 
-    def _encode_some(self, texts: list[str | None], base: int, out: list[bytes]) -> None:
-        split: list[tuple[int, list[str]]] = []
-        for i, text in enumerate(texts):
-            if not text:
-                continue
-            if self.by_chunk and not _UNUSUAL.search(text):
-                split.append((i, text.lower().split()))
-            else:
-                out[base + i] = np.array(self._ids(text), dtype=self.dtype).tobytes()
-        new = set().union(*(c for _, c in split)) - self.kept.keys()
-        room = max(0, self.capacity - len(self.kept))
-        parts = {}
-        for chunk in new:
-            word = chunk.rstrip(_ENDING)
-            if len(word) < len(chunk) and word.isalpha():
-                parts[chunk] = word, chunk[len(word) :]
-        units = (new - parts.keys()).union(*parts.values()) - self.kept.keys()
-        self._encode_chunks(list(units))
-        look = self.kept.__getitem__
-        for chunk, (word, ending) in parts.items():
-            self.kept[chunk] = look(word) + look(ending)
-        for i, chunks in split:
-            out[base + i] = b"".join(map(look, chunks))
-        for k, chunk in enumerate(units | parts.keys()):
-            if k >= room or len(chunk) > LONGEST_KEPT:
-                del self.kept[chunk]
+    def _place(self, hashes: np.ndarray, numbers: np.ndarray) -> None:
+        mask = len(self.keys) - 1
+        spot = (hashes & _U(mask)).astype(np.int64)
+        while len(hashes):
+            free = self.slots[spot] < 0
+            self.slots[spot[free]] = numbers[free]  # the last of equal spots stays
+            won = free & (self.slots[spot] == numbers)
+            self.keys[spot[won]] = hashes[won]
+            hashes, numbers, spot = hashes[~won], numbers[~won], (spot[~won] + 1) & mask
+
+    def add(self, hashes: np.ndarray, ids: list[np.ndarray]) -> None:
+        """Words (distinct and new) with their ids."""
+        n, sizes = len(hashes), np.array([len(i) for i in ids], np.int64)
+        while len(self.hashes) < self.count + n:
+            self.hashes = np.concatenate([self.hashes, np.empty_like(self.hashes)])
+            self.offsets = np.concatenate([self.offsets, np.zeros(len(self.offsets) - 1, np.int64)])
+        self.hashes[self.count : self.count + n] = hashes
+        begin = int(self.offsets[self.count])
+        self.offsets[self.count + 1 : self.count + n + 1] = begin + np.cumsum(sizes)
+        flat = np.concatenate(ids)
+        while len(self.ids) < begin + len(flat):
+            self.ids = np.concatenate([self.ids, np.empty_like(self.ids)])
+        self.ids[begin : begin + len(flat)] = flat
+        self.count += n
+        if 2 * self.count > len(self.keys):
+            size = len(self.keys)
+            while 2 * self.count > size:
+                size *= 2
+            self.keys, self.slots = np.zeros(size, np.uint64), np.full(size, -1, np.int32)
+            self._place(self.hashes[: self.count], np.arange(self.count, dtype=np.int32))
+        else:
+            self._place(hashes, np.arange(self.count - n, self.count, dtype=np.int32))
+
+    def gather(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(how many ids each word has, the ids of all words one after another)."""
+        begin = self.offsets[numbers]
+        sizes = self.offsets[numbers + 1] - begin
+        upto = np.cumsum(sizes)
+        return sizes, self.ids[np.arange(int(upto[-1]) if len(upto) else 0) + np.repeat(begin - upto + sizes, sizes)]
 
 
 _ENCODERS: dict[str, ChunkEncoder] = {}
