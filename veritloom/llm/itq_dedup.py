@@ -47,21 +47,20 @@ ITERATIONS = 30
 TILE = 2048
 
 
-def fit_rotation(sample: np.ndarray, bits: int = CODE_BITS, iterations: int = ITERATIONS, seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
-    """(mean, projection) of unit vectors: the sign of ``(x - mean) @ projection`` is the code.
+def fit_rotation(sample: np.ndarray, bits: int = CODE_BITS, iterations: int = ITERATIONS, seed: int = 7) -> np.ndarray:
+    """Projection of unit vectors: the sign of ``x @ projection`` is the code.
 
-    With fewer dimensions than bits, further rotations of the same directions
+    Vectors are not centred: the angle between two of them then bounds how many
+    bits are likely to differ, also where all lie close together.  With fewer dimensions than bits, further rotations of the same directions
     give the rest.
     """
     rng = np.random.default_rng(seed)
-    mean = sample.mean(axis=0)
-    centred = sample - mean
-    _, axes = np.linalg.eigh(centred.T @ centred)
+    _, axes = np.linalg.eigh(sample.T @ sample)
     axes = axes[:, ::-1]
     parts, have = [], 0
     while have < bits:
         use = axes[:, : bits - have]
-        low = centred @ use
+        low = sample @ use
         turn, _ = np.linalg.qr(rng.standard_normal((use.shape[1], use.shape[1])))
         for _ in range(iterations):
             codes = np.where(low @ turn >= 0, 1.0, -1.0)
@@ -69,12 +68,12 @@ def fit_rotation(sample: np.ndarray, bits: int = CODE_BITS, iterations: int = IT
             turn = (u @ v).T
         parts.append(use @ turn)
         have += use.shape[1]
-    return mean, np.concatenate(parts, axis=1)
+    return np.concatenate(parts, axis=1)
 
 
-def encode(unit: np.ndarray, mean: np.ndarray, projection: np.ndarray) -> np.ndarray:
+def encode(unit: np.ndarray, projection: np.ndarray) -> np.ndarray:
     """Codes as unsigned 64-bit integers."""
-    set_bits = ((unit - mean) @ projection >= 0).astype(np.uint64)
+    set_bits = (unit @ projection >= 0).astype(np.uint64)
     return (set_bits << np.arange(projection.shape[1], dtype=np.uint64)).sum(axis=1, dtype=np.uint64)
 
 
@@ -98,7 +97,7 @@ def _vectors(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "vec_id bigint, raw binary")
 
 
-def _tables(reps: DataFrame, fitted: dict[int, tuple[np.ndarray, np.ndarray]]) -> DataFrame:
+def _tables(reps: DataFrame, fitted: dict[int, np.ndarray]) -> DataFrame:
     """A row for each vector and table: tbl, key (dimension and part of the code), rep, copies, code, raw."""
     shared = reps.sparkSession.sparkContext.broadcast(fitted)
     width = CODE_BITS // TABLES
@@ -113,8 +112,10 @@ def _tables(reps: DataFrame, fitted: dict[int, tuple[np.ndarray, np.ndarray]]) -
                     at = np.flatnonzero(sizes == size)
                     mine = [raw[k] for k in at]
                     unit = _unit(mine)
-                    mean, projection = shared.value.get(size) or (np.zeros(size), np.eye(size)[:, np.arange(CODE_BITS) % size])
-                    codes = encode(unit, mean, projection)
+                    projection = shared.value.get(size)
+                    if projection is None:
+                        projection = np.eye(size)[:, np.arange(CODE_BITS) % size]
+                    codes = encode(unit, projection)
                     for t in range(TABLES):
                         part = (codes >> np.uint64(t * width)) & np.uint64((1 << width) - 1)
                         key = part.astype(np.int64) | np.int64(size << width)
