@@ -112,4 +112,20 @@ QUERIES: dict[str, Query] = {
     )
 }
 
-ORACLE_SQL: dict[str, str] = {}
+_REACH = """reach AS (SELECT id, id AS other FROM ids UNION SELECT r.id, e.b FROM reach r JOIN both_ways e ON e.a = r.other)"""
+
+ORACLE_SQL: dict[str, str] = {
+    "op4_embedding_dedup": f"""WITH RECURSIVE v AS MATERIALIZED (SELECT row_number() OVER () AS k, vec_id, embedding::DOUBLE[] AS x FROM embeddings),
+good AS MATERIALIZED (SELECT * FROM v WHERE len(x) > 0 AND NOT list_contains(list_transform(x, lambda c: c IS NULL OR NOT isfinite(c)), true) AND list_dot_product(x, x) > 0),
+links AS MATERIALIZED (SELECT a.k AS ka, a.vec_id AS a, b.vec_id AS b FROM good a JOIN good b ON a.k <> b.k AND len(a.x) = len(b.x) WHERE list_dot_product(a.x, b.x) / (sqrt(list_dot_product(a.x, a.x)) * sqrt(list_dot_product(b.x, b.x))) >= 0.9),
+both_ways AS (SELECT a, b FROM links), ids AS (SELECT vec_id AS id FROM v), {_REACH},
+least AS (SELECT id, min(other) AS component_id FROM reach GROUP BY id)
+SELECT vec_id, (SELECT count(*) FROM links WHERE ka = k) AS n_links, component_id, component_id = vec_id AS kept FROM v JOIN least ON id = vec_id""",
+    "op5_jaccard_join": f"""WITH RECURSIVE w AS MATERIALIZED (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+s AS MATERIALIZED (SELECT DISTINCT doc_id, array_to_string(w[i:i+3], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 1) + 1)) AS i FROM w WHERE len(w) > 0)),
+n AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+links AS MATERIALIZED (SELECT a, b FROM (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS both_ FROM s x JOIN s y ON x.g = y.g AND x.doc_id < y.doc_id GROUP BY ALL) JOIN n p ON p.doc_id = a JOIN n q ON q.doc_id = b WHERE 100 * both_ >= 85 * (p.n + q.n - both_)),
+both_ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links), ids AS (SELECT doc_id AS id FROM documents), {_REACH},
+least AS (SELECT id, min(other) AS component_id FROM reach GROUP BY id)
+SELECT d.doc_id, coalesce(n, 0) AS n_shingles, component_id FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id JOIN least ON id = d.doc_id""",
+}
