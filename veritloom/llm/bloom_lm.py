@@ -30,12 +30,13 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import discard, written
-from .hashing import mix, word_hashes
+from .hashing import find_words, hash_words, mix
 
 #: The filter: 2**BLOCK_BITS blocks of 2**CELL_BITS bits, 16 MB in all.
 BLOCK_BITS, CELL_BITS = 10, 17
@@ -44,8 +45,6 @@ PROBES = 5
 HEAD_WORDS = 1 << 17
 #: Share of the pair estimate.
 WEIGHT = 0.3
-#: No word, since it is white space.
-END = b"\n"
 _U = np.uint64
 _LEFT, _RIGHT, _LEVEL, _PROBE = _U(0x9E3779B97F4A7C15), _U(0xC2B2AE3D27D4EB4F), _U(0x165667B19E3779F9), _U(0xD6E8FEB86659FD93)
 
@@ -97,32 +96,39 @@ def held_out(doc_id: Column, folds: int = 5, fold: int = 1) -> Column:
 
 def _tokens(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all tokens of some texts, each with its end mark, and the number of each text's."""
-    words: list[bytes] = []
-    sizes = []
-    for text in texts:
-        found = (text or b"").lower().split()
-        found.append(END)
-        words += found
-        sizes.append(len(found))
-    return mix(word_hashes(words)), np.array(sizes, dtype=np.int64)
+    joined = b"\n".join([(text or b"").lower() for text in texts])
+    raw, starts, ends = find_words(joined)
+    words = np.searchsorted(starts, np.cumsum([len(text or b"") + 1 for text in texts]))
+    sizes = np.diff(words, prepend=0)
+    out = np.insert(hash_words(raw, starts, ends), words, _END)
+    return out, sizes + 1
 
 
-def _end_hash() -> np.uint64:
-    return mix(word_hashes([END]))[0]
+#: The end mark's hash.
+_END = np.uint64(0x5851F42D4C957F2D)
 
 
-def _batches(batches: Iterator[pa.RecordBatch], column: int, rows: int = 1024) -> Iterator[tuple[pa.RecordBatch, list[bytes | None]]]:
+def _batches(batches: Iterator[pa.RecordBatch], column: int, rows: int = 512, most: int = 2_000_000) -> Iterator[tuple[pa.RecordBatch, list[bytes | None]]]:
+    """Slices of at most ``rows`` rows and, but for a longer text, ``most`` bytes."""
     for whole in batches:
-        for begin in range(0, whole.num_rows, rows):
-            part = whole.slice(begin, rows)
-            yield part, part.column(column).cast(pa.binary()).to_pylist()
+        begin = 0
+        while begin < whole.num_rows:
+            texts = whole.slice(begin, rows).column(column).cast(pa.binary()).to_pylist()
+            size, n = 0, 0
+            for text in texts:
+                size += len(text or b"")
+                if n and size > most:
+                    break
+                n += 1
+            yield whole.slice(begin, n), texts[:n]
+            begin += n
 
 
 def _before(hashes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """The token before each; the end mark before a first one."""
     out = np.empty_like(hashes)
     out[1:] = hashes[:-1]
-    out[0] = _end_hash()
+    out[0] = _END
     return out  # the last token of every text is the end mark itself
 
 
@@ -132,19 +138,21 @@ def _counted(texts: DataFrame, pairs: bool) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         waiting, size = [], 0
 
-        def flush() -> pa.RecordBatch:
-            keys, n = np.unique(np.concatenate(waiting), return_counts=True)
-            return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(n.astype(np.int64))], names=["key", "n"])
+        def flush() -> Iterator[pa.RecordBatch]:
+            codes, keys = pd.factorize(np.concatenate(waiting))
+            n = np.bincount(codes).astype(np.int64)
+            for k in range(0, len(keys), 1 << 16):  # the JVM reads a batch into memory of its own
+                yield pa.RecordBatch.from_arrays([pa.array(keys[k : k + (1 << 16)].view(np.int64)), pa.array(n[k : k + (1 << 16)])], names=["key", "n"])
 
         for _, texts in _batches(batches, 0):
             hashes, sizes = _tokens(texts)
             waiting.append(pair_keys(_before(hashes, sizes), hashes) if pairs else hashes)
             size += len(hashes)
-            if size > 4_000_000:
-                yield flush()
+            if size > 1_000_000:
+                yield from flush()
                 waiting, size = [], 0
         if waiting:
-            yield flush()
+            yield from flush()
 
     return texts.mapInArrow(run, "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n"))
 
@@ -213,18 +221,19 @@ def _scored(docs: DataFrame, bits: np.ndarray, head: np.ndarray, total: int, dis
         bits, head_keys, head_counts = shared.value
         stands = representatives()
         below = total + 0.5 * (distinct + 1)
+        after_end = stands[levels(np.array([_END]), bits)][0]
         row = TaskContext.get().partitionId() << 36
         for batch, texts in _batches(batches, 2):
             hashes, sizes = _tokens(texts)
             starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-            keys, back = np.unique(hashes, return_inverse=True)
+            back, keys = pd.factorize(hashes)
             count = stands[levels(keys, bits)]
             alone = ((count + 0.5) / below)[back]
             first = _before(hashes, sizes)
             first_count = np.empty(len(hashes))
             first_count[1:] = count[back][:-1]
-            first_count[0] = count[np.searchsorted(keys, first[0])]
-            pairs, pair_back = np.unique(pair_keys(first, hashes), return_inverse=True)
+            first_count[0] = after_end
+            pair_back, pairs = pd.factorize(pair_keys(first, hashes))
             together = stands[levels(pairs, bits)][pair_back]
             ratio = np.minimum(1.0, together / np.maximum(first_count, 1.0))
             mixed = np.where(first_count > 0, weight * ratio + (1 - weight) * alone, alone)
