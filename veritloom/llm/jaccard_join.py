@@ -6,10 +6,19 @@ global order of tokens.  Candidates come from the prefixes under a first order
 and stay only if their prefixes under every further order meet as well; the
 filters are intersected before the exact sets are compared.
 
-* *Orders.*  A count sketch of fixed size over all shingles of all documents
-  puts tokens into frequency classes; an order is (class, seeded hash).  Tokens
-  of passages that very many documents share come last in every order, so they
-  seldom make candidates.
+* *Orders.*  Order 0 and its like are (class, seeded hash): a count sketch of
+  fixed size over all shingles of all documents puts tokens into frequency
+  classes, so tokens of passages that very many documents share come last.
+  Documents whose longer prefix under order 0 is shared as far as a link needs go on; among them
+  frequencies are counted exactly, and tokens rank by these: first those of one
+  group only, then the rare ones.  A text with several edits has so many tokens
+  of its own that its whole prefix is made of them, and it meets nobody; that
+  keeps groups of texts that are about half alike from making all their pairs.
+  Candidates are the pairs that share a prefix token under this order and under
+  each of the others.
+* *Bitmaps.*  A set is also hashed to 512 bits.  Two bitmaps differ in no more
+  bits than their sets differ in elements, which spares most comparisons with
+  leaders (below) that would fail.
 * *Exact copies* (equal sets) collapse to one class each before the join.
 * *Groups of near copies* collapse before pairs are formed: documents are first
   compared with one leader for each of a few minimum hashes, and the join then
@@ -36,13 +45,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import discard, keep_possible_ids, written
+from .common import discard, keep_possible_ids, release, written
 from .components import connected_components
 from .hashing import mix, word_hashes
 
 #: Cells of the count sketch: 4 MB of counts, whatever the input.
 SKETCH_BITS = 20
 _CHUNK = 4096
+#: 64-bit words of a set's bitmap.
+BITMAP_WORDS = 8
 #: Minimum hashes that elect leaders.
 LEADER_KEYS = 6
 
@@ -53,11 +64,10 @@ _SEEDS = [np.uint64(0xA0761D6478BD642F + 0x9E3779B97F4A7C15 * k & 0xFFFFFFFFFFFF
 
 def shingle_hashes(text: bytes | None, size: int) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the word shingles of a text."""
-    words = (text or b"").lower().split()
-    if not words:
+    h = word_hashes((text or b"").lower())
+    if not len(h):
         return np.empty(0, np.uint64)
-    h = word_hashes(words)
-    size = min(size, len(words))
+    size = min(size, len(h))
     total = h[: len(h) - size + 1] * _P[0]
     for k in range(1, size):
         total = (total ^ (total >> np.uint64(29))) * _P[k % 4] + h[k : len(h) - size + 1 + k]
@@ -68,16 +78,41 @@ def prefix_length(n: int, percent: int) -> int:
     return n - -(-n * percent // 100) + 1
 
 
+def longer_prefix(n: int, percent: int) -> int:
+    """Half as long again.
+
+    Prefixes that are longer by l - 1 tokens share l tokens at least, so a
+    document has a link only if that many tokens of its longer prefix occur
+    elsewhere; one passage in common with others is not enough.
+    """
+    p = prefix_length(n, percent)
+    return p + p // 2
+
+
+def _least_shared(n: str, percent: int) -> str:
+    """SQL: how many tokens of a longer prefix a link shares at least; the smaller of both texts decides."""
+    smaller = f"int(({n} * {percent} + 99) / 100)"
+    return f"(int((int({smaller} * {100 - percent} / 100) + 1) / 2) + 1)"
+
+
 def _frequency_classes(sketch: np.ndarray) -> np.ndarray:
     """0 for cells of ordinary load, then one class for each doubling above twice the mean."""
     ordinary = 2 * sketch.mean() + 8
     return np.where(sketch <= ordinary, 0, 1 + np.floor(np.log2(np.maximum(sketch, 1) / ordinary))).astype(np.uint8)
 
 
-def _ranks(tokens: np.ndarray, classes: np.ndarray, order: int) -> np.ndarray:
-    """Places of tokens in a global order: frequency class first, then a seeded hash."""
+def _ranks(tokens: np.ndarray, classes: np.ndarray, orders: int) -> np.ndarray:
+    """Places of tokens in several global orders (rows): frequency class first, then a seeded hash."""
     cls = classes[(tokens & np.uint64((1 << SKETCH_BITS) - 1)).astype(np.int64)].astype(np.uint64)
-    return (cls << np.uint64(56)) | (mix(tokens ^ _SEEDS[order]) >> np.uint64(8))
+    seeds = np.array(_SEEDS[:orders])[:, None]
+    return (cls << np.uint64(56)) | (mix(tokens ^ seeds) >> np.uint64(8))
+
+
+def bitmap(tokens: np.ndarray) -> np.ndarray:
+    """A bit for each token's hash, as BITMAP_WORDS signed 64-bit words."""
+    bits = np.zeros(64 * BITMAP_WORDS, np.uint8)
+    bits[(mix(tokens ^ _SEEDS[15]) >> np.uint64(40)).astype(np.int64) % len(bits)] = 1
+    return np.packbits(bits).view(np.int64)
 
 
 def _texts(batch: pa.RecordBatch) -> Iterator[tuple[int | None, bytes | None]]:
@@ -147,7 +182,7 @@ def _prefixes(docs: DataFrame, size: int, percent: int, orders: int, classes: np
         cls = shared.value
         for whole in batches:
             for begin in range(0, whole.num_rows, 1024):
-                ids, sizes, sets, leaders = [], [], [], []
+                ids, sizes, sets, leaders, maps = [], [], [], [], []
                 prefixes: list[list[np.ndarray]] = [[] for _ in range(orders)]
                 for doc, text in _texts(whole.slice(begin, 1024)):
                     tokens = shingle_hashes(text, size)
@@ -156,20 +191,21 @@ def _prefixes(docs: DataFrame, size: int, percent: int, orders: int, classes: np
                     ids.append(doc)
                     sizes.append(len(tokens))
                     sets.append(xxhash.xxh3_128_digest(tokens.tobytes()))
+                    maps.append(bitmap(tokens))
                     p = prefix_length(len(tokens), percent)
+                    ranks = _ranks(tokens, cls, orders + LEADER_KEYS)
                     for k in range(orders):
-                        ranks = _ranks(tokens, cls, k)
-                        chosen = tokens if p == len(tokens) else tokens[np.argpartition(ranks, p - 1)[:p]]
-                        prefixes[k].append(chosen.view(np.int64) if k == 0 else chosen.astype(np.uint32).view(np.int32))
-                    keys = [tokens[np.argmin(_ranks(tokens, cls, orders + k))] for k in range(LEADER_KEYS)]
-                    leaders.append(mix(np.array(keys) + _SEEDS[:LEADER_KEYS]).view(np.int64))
+                        first = p if k else longer_prefix(len(tokens), percent)
+                        chosen = tokens[np.argpartition(ranks[k], first - 1)[:first]]
+                        prefixes[k].append(chosen.astype(np.uint32).view(np.int32) if k else chosen.view(np.int64))
+                    leaders.append(mix(tokens[ranks[orders:].argmin(axis=1)] + np.array(_SEEDS[:LEADER_KEYS])).view(np.int64))
                 if ids:
-                    lists = [_lists(x) for x in (leaders, *prefixes)]
+                    lists = [_lists(x) for x in (leaders, maps, *prefixes)]
                     yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(sets, pa.binary()), *lists], names=names)
 
-    names = ["doc_id", "n", "set_hash", "leader_keys", *(f"prefix{k}" for k in range(orders))]
+    names = ["doc_id", "n", "set_hash", "leader_keys", "bits", *(f"prefix{k}" for k in range(orders))]
     kinds = ", ".join(f"prefix{k} array<{'bigint' if k == 0 else 'int'}>" for k in range(orders))
-    return docs.mapInArrow(run, f"doc_id bigint, n bigint, set_hash binary, leader_keys array<bigint>, {kinds}")
+    return docs.mapInArrow(run, f"doc_id bigint, n bigint, set_hash binary, leader_keys array<bigint>, bits array<bigint>, {kinds}")
 
 
 def _lists(arrays: list[np.ndarray]) -> pa.ListArray:
@@ -215,6 +251,94 @@ def _linked(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataF
     return links
 
 
+def _tokens_of(texts: DataFrame, size: int) -> DataFrame:
+    """A row (doc_id, n, grp, token) for every shingle of (doc_id, text, n, grp)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for begin in range(0, whole.num_rows, 256):
+                batch = whole.slice(begin, 256)
+                found = [shingle_hashes(text, size).view(np.int64) for _, text in _texts(batch)]
+                sizes = [len(t) for t in found]
+                again = np.repeat(np.arange(len(found)), sizes)
+                columns = [batch.column(k).take(pa.array(again)) for k in (0, 2, 3)]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(np.concatenate(found))], names=["doc_id", "n", "grp", "token"])
+
+    return texts.select("doc_id", "text", "n", "grp").mapInArrow(run, "doc_id bigint, n bigint, grp bigint, token bigint")
+
+
+def _mixed(rows: DataFrame) -> DataFrame:
+    """Rows (doc_id, n, grp, token) whose token occurs in more than one group, with its frequency ``df``.
+
+    Frequencies are aggregated first; the rows themselves are shuffled only
+    where a bitmap of the tokens that count lets them through.
+    """
+    counts = rows.groupBy("token").agg(F.count("*").alias("df"), F.min("grp").alias("low"), F.max("grp").alias("high")).where("low <> high")
+    counts = written(counts.select("token", "df"), "join-tokens")
+    return keep_possible_ids(rows, "token", counts, "token").join(counts, "token")
+
+
+def _leader_links(nodes: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
+    """Links (a, b) between documents and the leaders of their keys."""
+    keyed = nodes.select("doc_id", "n", F.explode("leader_keys").alias("key"))
+    lead = keyed.groupBy("key").agg(F.min(F.struct("doc_id", "n")).alias("lead"))
+    near = (
+        keyed.join(lead, "key")
+        .where("doc_id <> lead.doc_id and 100 * least(n, lead.n) >= %d * greatest(n, lead.n)" % percent)
+        .select(F.col("lead.doc_id").alias("a"), F.col("doc_id").alias("b"))
+        .distinct()
+    )
+    words = [f"w{k}" for k in range(BITMAP_WORDS)]
+    maps = nodes.select("doc_id", "n", *(F.get("bits", k).alias(w) for k, w in enumerate(words)))
+    differ = " + ".join(f"bit_count(x.{w} ^ y.{w})" for w in words)
+    # |A & B| >= p / (100 + p) * (|A| + |B|), so at most (100 - p) / (100 + p) of both differ.
+    alike = f"{100 + percent} * ({differ}) <= {100 - percent} * (x.n + y.n)"
+    near = near.join(maps.alias("x"), F.expr("a = x.doc_id")).join(maps.alias("y"), F.expr(f"b = y.doc_id and {alike}")).select("a", "b")
+    return _linked(written(near, "join-near"), docs, size, percent)
+
+
+def _cross_links(nodes: DataFrame, groups: DataFrame, docs: DataFrame, size: int, percent: int, orders: int) -> DataFrame:
+    """Links (a, b) between documents of different groups."""
+    spark = docs.sparkSession
+    grouped = written(nodes.join(groups, nodes["doc_id"] == groups["node"], "left").select("doc_id", "n", F.coalesce("component", "doc_id").alias("grp")), "join-grouped")
+
+    # Documents that share enough prefix tokens with other groups under order 0.
+    first = nodes.select("doc_id", "n", F.explode("prefix0").alias("token")).join(groups.withColumnRenamed("node", "doc_id"), "doc_id", "left")
+    shared = _mixed(first.select("doc_id", "n", F.coalesce("component", "doc_id").alias("grp"), "token"))
+    enough = shared.groupBy("doc_id").agg(F.count("*").alias("shared"), F.max("n").alias("n")).where(f"shared >= {_least_shared('n', percent)}")
+    involved = written(enough.select("doc_id"), "join-involved")
+    release(spark)
+
+    # Their prefixes under the order of frequency among them: tokens of one group first, then by frequency.
+    texts = written(keep_possible_ids(docs, "doc_id", involved, "doc_id").join(involved, "doc_id", "left_semi").dropDuplicates(["doc_id"]).join(grouped, "doc_id"), "join-involved-texts")
+    every = _mixed(_tokens_of(texts, size))
+    of_doc = Window.partitionBy("doc_id")
+    alone = F.col("n") - F.count("*").over(of_doc)
+    place = F.row_number().over(of_doc.orderBy("df", "token")) + alone
+    prefix = every.withColumn("place", place).where(f"place <= n - int((n * {percent} + 99) / 100) + 1").drop("place", "df")
+    prefix = written(prefix, "join-prefix")
+    release(spark)
+    x, y = prefix.alias("x"), prefix.alias("y")
+    pairs = (
+        x.join(y, F.expr(f"x.token = y.token and x.doc_id < y.doc_id and x.grp <> y.grp and 100 * least(x.n, y.n) >= {percent} * greatest(x.n, y.n)"))
+        .select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b"))
+        .distinct()
+    )
+    # Pairs have to meet under every other order, too.
+    others = [f"prefix{k}" for k in range(orders)]
+    mine = nodes.select(F.col("doc_id").alias("a"), *(F.col(c).alias(f"{c}_a") for c in others))
+    yours = nodes.select(F.col("doc_id").alias("b"), *(F.col(c).alias(f"{c}_b") for c in others))
+    meet = F.lit(True)
+    for c in others:
+        meet = meet & F.arrays_overlap(f"{c}_a", f"{c}_b")
+    pairs = written(pairs, "join-candidates")
+    ends = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
+    both = pairs.join(keep_possible_ids(mine, "a", ends, "doc_id"), "a").join(keep_possible_ids(yours, "b", ends, "doc_id"), "b").where(meet)
+    links = _linked(written(both.select("a", "b").distinct(), "join-pairs"), docs, size, percent)
+    discard(texts, prefix, grouped)
+    return links
+
+
 def jaccard_components(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 4, percent: int = 85, orders: int = 3
 ) -> DataFrame:
@@ -223,62 +347,32 @@ def jaccard_components(
     Documents link when ``100 * |A & B| >= percent * |A | B|`` for their sets of
     ``size``-word shingles; component_id is the smallest id reachable by links.
     """
+    spark = docs.sparkSession
     docs = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     digests = written(_digests(docs, size), "join-digests")
     classes = _frequency_classes(_sketch(digests))
     rows = digests.where("chunk is null").select("doc_id", "n_shingles", "set_hash")
     named = rows.where("doc_id is not null and n_shingles > 0")
     reps = named.groupBy("set_hash").agg(F.min("doc_id").alias("rep"))
+    of_set = written(rows.join(reps, "set_hash", "left").select("doc_id", "n_shingles", "rep"), "join-rows")
+    discard(digests)
 
+    # One document stands for equal sets.  A copy that the bitmap lets through is one more
+    # document with links of its own, which changes no component.
     found = written(_prefixes(docs, size, percent, orders, classes), "join-prefixes")
-    first = [F.first(c).alias(c) for c in found.columns if c not in ("doc_id", "set_hash")]
-    nodes = found.join(reps.withColumnRenamed("rep", "doc_id"), ["set_hash", "doc_id"], "left_semi")
-    nodes = written(nodes.groupBy("set_hash").agg(F.first("doc_id").alias("doc_id"), *first).drop("set_hash"), "join-nodes")
-    discard(found)
+    nodes = keep_possible_ids(found, "doc_id", of_set.select("rep").where("rep is not null"), "rep")
 
-    # Equal sets under one id, or one id with several sets, are one node.
-    of_set = rows.join(reps, "set_hash", "left").select("doc_id", "n_shingles", "rep")
+    # One id with several sets is one node.
     several = of_set.where("rep is not null").groupBy("doc_id").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).where("low <> high")
     same_id = of_set.join(several, "doc_id").select(F.col("rep").alias("a"), F.col("low").alias("b"))
 
-    # Near copies of a leader.
-    keyed = nodes.select("doc_id", "n", F.explode("leader_keys").alias("key"))
-    lead = keyed.groupBy("key").agg(F.min(F.struct("doc_id", "n")).alias("lead"))
-    near = (
-        keyed.join(lead, "key")
-        .where("doc_id <> lead.doc_id and 100 * least(n, lead.n) >= %d * greatest(n, lead.n)" % percent)
-        .select(F.col("lead.doc_id").alias("a"), F.col("doc_id").alias("b"))
-        .distinct()
-    )
-    links = _linked(written(near, "join-near"), docs, size, percent)
+    links = _leader_links(nodes, docs, size, percent)
     groups = written(connected_components(links.union(same_id)), "join-groups")
-
-    # Pairs of different groups that share a prefix token under the first order ...
-    tokens = (
-        nodes.join(groups, nodes["doc_id"] == groups["node"], "left")
-        .select("doc_id", "n", F.coalesce("component", "doc_id").alias("grp"), F.explode("prefix0").alias("token"))
-    )
-    at = Window.partitionBy("token")
-    mixed = tokens.withColumns({"_low": F.min("grp").over(at), "_high": F.max("grp").over(at)}).where("_low <> _high").drop("_low", "_high")
-    mixed = written(mixed, "join-mixed")
-    a, b = mixed.alias("x"), mixed.alias("y")
-    pairs = (
-        a.join(b, "token")
-        .where("x.doc_id < y.doc_id and x.grp <> y.grp and 100 * least(x.n, y.n) >= %d * greatest(x.n, y.n)" % percent)
-        .select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b"))
-        .distinct()
-    )
-    # ... and under every other order.
-    others = [f"prefix{k}" for k in range(1, orders)]
-    mine = nodes.select(F.col("doc_id").alias("a"), *(F.col(c).alias(f"{c}_a") for c in others))
-    yours = nodes.select(F.col("doc_id").alias("b"), *(F.col(c).alias(f"{c}_b") for c in others))
-    both = pairs.join(mine, "a").join(yours, "b")
-    for c in others:
-        both = both.where(F.arrays_overlap(f"{c}_a", f"{c}_b"))
-    more = _linked(written(both.select("a", "b").distinct(), "join-pairs"), docs, size, percent)
+    release(spark)
+    more = _cross_links(nodes, groups, docs, size, percent, orders)
     ties = groups.select(F.col("node").alias("a"), F.col("component").alias("b"))
     final = connected_components(ties.union(more))
-    discard(nodes, mixed)
+    discard(found)
     return of_set.join(final, of_set["rep"] == final["node"], "left").select(
         "doc_id", "n_shingles", F.expr("if(doc_id is null, null, coalesce(component, rep, doc_id))").alias("component_id")
     )
