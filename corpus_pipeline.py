@@ -44,14 +44,14 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: the one with the smallest id.
+    """One document of each group of near copies (five-word shingles, similarity 0.8): the one with the smallest id.
 
     Rows with a null id link with nothing and stay; of rows that share an id
     one stays.
     """
     from veritloom.llm.jaccard_join import jaccard_components
 
-    firsts = jaccard_components(docs).where("doc_id = component_id").select(F.col("doc_id").alias("_first")).distinct()
+    firsts = jaccard_components(docs, size=5, percent=80).where("doc_id = component_id").select(F.col("doc_id").alias("_first")).distinct()
     stay = docs.join(firsts, docs["doc_id"] == firsts["_first"], "left").where("_first is not null or doc_id is null").drop("_first")
     several = docs.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("_n")).where("_n > 1").select("doc_id")
     if several.isEmpty():

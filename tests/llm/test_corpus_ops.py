@@ -388,6 +388,23 @@ def test_pipeline(spark, small, docs):
     assert {r.doc_id for r in placed.select("doc_id").distinct().collect()} == {r.doc_id for r in kept.collect()}
 
 
+def test_pipeline_joins_at_five_words_and_four_fifths(spark, docs, small):
+    """Near copies from 0.80 in shingles of five words, which are under 0.85 in those of four."""
+    words = [f"w{k}" for k in range(230)]
+    edited = lambda n: " ".join("edit" if k % 20 == 10 and k < 20 * n else w for k, w in enumerate(words))
+    cases = [(n + 1, edited(n)) for n in (0, 5, 10)] + [(50, "of its own " * 9)]
+
+    def alike(x, y, size):
+        a, b = ({tuple(t.split()[k : k + size]) for k in range(len(t.split()) - size + 1)} for t in (x, y))
+        return len(a & b) / len(a | b)
+
+    texts = dict(cases)
+    assert alike(texts[1], texts[6], 5) >= 0.8 and alike(texts[1], texts[6], 4) < 0.85
+    rows = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in cases], docs.schema)
+    stay = {i for i, t in cases if not any(j < i and alike(t, u, 5) >= 0.8 for j, u in cases)}
+    assert {r.doc_id for r in corpus_pipeline.jaccard_join(spark, rows, small).collect()} == stay
+
+
 def test_pipeline_with_odd_rows(spark, tmp_path, docs, small):
     odd = spark.createDataFrame([(None, None, None, None, None), (1, "", "en", "s", 0), (2, "word " * 100, None, None, None)], docs.schema)
     twice = docs.limit(30)
