@@ -63,6 +63,33 @@ def test_chunk_encoder_equals_the_library(library):
         assert np.frombuffer(found, small.dtype).tolist() == ids_of(library, text)
 
 
+def thue_morse(n):
+    """A word over a, b and its complement; a polynomial modulo a power of two takes them for equal."""
+    bits = [bin(k).count("1") % 2 for k in range(n)]
+    return "".join("ab"[x] for x in bits), "".join("ba"[x] for x in bits)
+
+
+@pytest.mark.parametrize("n", [64, 1024, 2048, 4096, 8192])
+def test_words_made_to_collide(library, n):
+    encoder = ChunkEncoder(WORDS)
+    words = [*thue_morse(n), "x" + thue_morse(n)[0], "x" + thue_morse(n)[1]]
+    texts = [*words, " ".join(words), words[1] + " and " + words[0]]
+    for _ in range(2):
+        for found, text in zip(encoder.encode(texts), texts, strict=True):
+            assert np.frombuffer(found, encoder.dtype).tolist() == ids_of(library, text)
+
+
+def test_words_that_share_a_hash(library, monkeypatch):
+    from veritloom.llm import tokenization
+
+    monkeypatch.setattr(tokenization, "hash_words", lambda raw, starts, ends: np.full(len(starts), 7, np.uint64) + (ends - starts).astype(np.uint64) % np.uint64(2))
+    encoder = ChunkEncoder(WORDS)
+    texts = ["one two three four five six", "six five one! wonderful, " + "w" * 70 + " " + "w" * 69 + "v", "seven one two " + "w" * 70, ""]
+    for _ in range(2):
+        for found, text in zip(encoder.encode(texts), texts, strict=True):
+            assert np.frombuffer(found, encoder.dtype).tolist() == ids_of(library, text)
+
+
 def test_packing(docs, library):
     rows = best_fit_packing(docs, WORDS, capacity=64).collect()
     whole = collections.Counter()

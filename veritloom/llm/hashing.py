@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import numpy as np
 
-#: Bytes hashed at once; the tables of powers have this many entries.
-BLOCK = 1 << 19
+#: Longer words go to a library's hash one by one.
+LONG = 64
 _U = np.uint64
-_BASE = 0x9E3779B97F4A7C15
+_LANE, _SIZE = _U(0x9E3779B97F4A7C15), _U(0xC2B2AE3D27D4EB4F)
+#: The bytes of a lane of eight that belong to a word with so many left.
+MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], dtype=np.uint64)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -19,20 +21,8 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(33))
 
 
-_VALUES = mix(np.arange(1, 257, dtype=np.uint64) * _U(0xD6E8FEB86659FD93))
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
-_POWERS: list[np.ndarray] = []
-
-
-def _powers() -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse modulo 2**64."""
-    if not _POWERS:
-        for base in (_BASE, pow(_BASE, -1, 1 << 64)):
-            steps = np.full(BLOCK, base, dtype=np.uint64)
-            steps[0] = 1
-            _POWERS.append(np.multiply.accumulate(steps))
-    return _POWERS[0], _POWERS[1]
 
 
 def find_words(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -44,43 +34,39 @@ def find_words(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return raw, edges[::2], edges[1::2]
 
 
+def lanes(raw: np.ndarray) -> np.ndarray:
+    """The eight bytes from every place of a buffer on, as an unsigned integer (zeros beyond its end)."""
+    padded = np.zeros(len(raw) + 8, np.uint8)
+    padded[: len(raw)] = raw
+    return np.ndarray((len(raw) + 1,), "<u8", padded, strides=(1,))
+
+
 def hash_words(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """A hash of each word; equal words have equal hashes wherever they stand.
 
-    A word is a polynomial in its bytes: sums of byte values times powers of the
-    position, brought to a common origin by the inverse power of the start.
+    Eight bytes at a time go through a mixing bijection that also takes the
+    state so far, so words that differ in one lane only never meet; words of
+    more than LONG bytes are hashed by xxh3.  Unequal words meet by chance
+    alone, with probability 2**-64 a pair; callers that need words told apart
+    for certain compare them.
     """
     if not len(starts):
         return np.empty(0, np.uint64)
-    power, inverse = _powers()
-    out = np.empty(len(starts), np.uint64)
-    done = 0
-    while done < len(starts):
-        origin = int(starts[done])
-        upto = max(done + 1, int(np.searchsorted(ends, origin + BLOCK, side="right")))
-        if upto == done + 1 and ends[done] - origin > BLOCK:
-            out[done] = _long_word(raw[origin : ends[done]])
-        else:
-            a, b = starts[done:upto] - origin, ends[done:upto] - origin
-            terms = np.zeros(int(b[-1]) + 1, np.uint64)
-            np.multiply(_VALUES[raw[origin : origin + int(b[-1])]], power[: int(b[-1])], out=terms[:-1])
-            cuts = np.empty(2 * len(a), np.int64)
-            cuts[::2], cuts[1::2] = a, b
-            sums = np.add.reduceat(terms, cuts)[::2]
-            out[done:upto] = sums * inverse[a] + (b - a).astype(np.uint64) * _U(0xC2B2AE3D27D4EB4F)
-        done = upto
-    return mix(out)
-
-
-def _long_word(word: np.ndarray) -> np.uint64:
-    """The same polynomial for a word longer than a block."""
-    power, _ = _powers()
-    total, scale = 0, 1
-    for k in range(0, len(word), BLOCK):
-        part = word[k : k + BLOCK]
-        total += int((_VALUES[part] * power[: len(part)]).sum(dtype=np.uint64)) * scale
-        scale = scale * pow(_BASE, BLOCK, 1 << 64) % (1 << 64)
-    return _U((total + len(word) * 0xC2B2AE3D27D4EB4F) % (1 << 64))
+    view = lanes(raw)
+    left = ends - starts
+    out = mix((left.astype(np.uint64) * _SIZE) ^ (view[starts] & MASKS[np.minimum(left, 8)]))
+    at = np.flatnonzero((left > 8) & (left <= LONG))
+    done = 8
+    while len(at):
+        out[at] = mix((out[at] * _LANE) ^ (view[starts[at] + done] & MASKS[np.minimum(left[at] - done, 8)]))
+        done += 8
+        at = at[left[at] > done]
+    long = np.flatnonzero(left > LONG)
+    if len(long):
+        import xxhash
+
+        out[long] = [xxhash.xxh3_64_intdigest(raw[a:b].tobytes()) for a, b in zip(starts[long].tolist(), ends[long].tolist(), strict=True)]
+    return out
 
 
 def word_hashes(text: bytes) -> np.ndarray:

@@ -3,7 +3,8 @@
 The library spends most of its time on offsets and on words it has met before.
 Where a pre-tokenizer never matches across white space, the ids of a text are
 the ids of its white-space chunks one after another, so every distinct chunk is
-given to the library once and its ids are kept.  Texts with characters outside
+given to the library once and its ids are kept.  Chunks are looked up by hash
+and then compared, so those that share a hash keep ids of their own.  Texts with characters outside
 a plain range (for which normalisation could look beyond a chunk) go to the
 library whole.
 """
@@ -15,13 +16,15 @@ import re
 
 import numpy as np
 
-from .hashing import find_words, hash_words
+from .hashing import LONG, MASKS, find_words, hash_words, lanes
 
 # Spark runs one worker a core already.
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: Chunks a worker keeps before it starts anew.
 CACHE_CHUNKS = 1_500_000
+#: Bytes of such chunks, and ids of them.
+CACHE_BYTES = 1 << 26
 _U = np.uint64
 #: Characters a text may have to be split into chunks: none of them composes
 #: with a neighbour, folds by context, or is white space to only one library.
@@ -91,8 +94,8 @@ class ChunkEncoder:
                 out[chunk] = ids[begin:end]
                 begin = end + 1
 
-    def _learn(self, hashes: np.ndarray, chunks: list[str]) -> None:
-        """Give new chunks to the library and keep their ids."""
+    def _ids_of(self, chunks: list[str]) -> list[np.ndarray]:
+        """The ids of some chunks, from the library."""
         parts = {}
         for chunk in chunks:
             word = chunk.rstrip(_ENDING)
@@ -104,7 +107,7 @@ class ChunkEncoder:
         if plain:
             self._encode_words(plain, known)
         self._encode_chunks(list(units.difference(plain)), known)
-        self.words.add(hashes, [known[c] if c not in parts else np.concatenate([known[p] for p in parts[c]]) for c in chunks])
+        return [known[c] if c not in parts else np.concatenate([known[p] for p in parts[c]]) for c in chunks]
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text (None: empty) without special tokens."""
@@ -131,15 +134,22 @@ class ChunkEncoder:
         text = b" ".join(parts)
         raw, starts, stops = find_words(text)
         hashes = hash_words(raw, starts, stops)
-        if self.words.count > self.capacity:
+        if self.words.full(self.capacity):
             self.words = _WordTable(self.dtype)
         found = self.words.find(hashes)
         missing = np.flatnonzero(found < 0)
         if len(missing):
             new, first = np.unique(hashes[missing], return_index=True)
             first = missing[first]
-            self._learn(new, [text[a:b].decode() for a, b in zip(starts[first].tolist(), stops[first].tolist(), strict=True)])
+            words = [text[a:b] for a, b in zip(starts[first].tolist(), stops[first].tolist(), strict=True)]
+            self.words.add(new, words, self._ids_of([w.decode() for w in words]))
             found[missing] = self.words.find(hashes[missing])
+        other = np.flatnonzero(~self.words.same(found, raw, starts, stops))
+        if len(other):  # their hash is that of another chunk
+            words = [text[a:b] for a, b in zip(starts[other].tolist(), stops[other].tolist(), strict=True)]
+            distinct = list(dict.fromkeys(words))
+            number = dict(zip(distinct, self.words.append(distinct, self._ids_of([w.decode() for w in distinct])).tolist(), strict=True))
+            found[other] = [number[w] for w in words]
         sizes, ids = self.words.gather(found)
         upto = np.concatenate([[0], np.cumsum(sizes)])[np.searchsorted(starts, ends)]
         begin = 0
@@ -158,6 +168,12 @@ class _WordTable:
         self.hashes = np.empty(1 << 15, np.uint64)
         self.offsets = np.zeros((1 << 15) + 1, np.int64)
         self.ids = np.empty(1 << 17, dtype)
+        self.places = np.zeros((1 << 15) + 1, np.int64)
+        self.text = np.zeros(1 << 18, np.uint8)
+        self.findable = np.empty(0, np.int32)
+
+    def full(self, capacity: int) -> bool:
+        return self.count > capacity or max(self.places[self.count], self.offsets[self.count]) > CACHE_BYTES
 
     def find(self, hashes: np.ndarray) -> np.ndarray:
         """The number of each word, -1 where it is new."""
@@ -184,28 +200,57 @@ class _WordTable:
             self.keys[spot[won]] = hashes[won]
             hashes, numbers, spot = hashes[~won], numbers[~won], (spot[~won] + 1) & mask
 
-    def add(self, hashes: np.ndarray, ids: list[np.ndarray]) -> None:
-        """Words (distinct and new) with their ids."""
-        n, sizes = len(hashes), np.array([len(i) for i in ids], np.int64)
+    def same(self, numbers: np.ndarray, raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Whether each word of a buffer is the very word of that number."""
+        left, begin = ends - starts, self.places[numbers]
+        out = self.places[numbers + 1] - begin == left
+        yours = lanes(raw)
+        mine = np.ndarray((len(self.text) - 7,), "<u8", self.text, strides=(1,))
+        out &= (yours[starts] ^ mine[begin]) & MASKS[np.minimum(left, 8)] == 0
+        at, done = np.flatnonzero(out & (left > 8) & (left <= LONG)), 8
+        while len(at):
+            good = (yours[starts[at] + done] ^ mine[begin[at] + done]) & MASKS[np.minimum(left[at] - done, 8)] == 0
+            out[at] = good
+            done += 8
+            at = at[good & (left[at] > done)]
+        for k in np.flatnonzero(out & (left > LONG)).tolist():
+            out[k] = np.array_equal(raw[starts[k] : ends[k]], self.text[begin[k] : begin[k] + left[k]])
+        return out
+
+    def append(self, words: list[bytes], ids: list[np.ndarray]) -> np.ndarray:
+        """Keep words with their ids, not to be found by hash; their numbers."""
+        n = len(words)
         while len(self.hashes) < self.count + n:
             self.hashes = np.concatenate([self.hashes, np.empty_like(self.hashes)])
             self.offsets = np.concatenate([self.offsets, np.zeros(len(self.offsets) - 1, np.int64)])
-        self.hashes[self.count : self.count + n] = hashes
-        begin = int(self.offsets[self.count])
-        self.offsets[self.count + 1 : self.count + n + 1] = begin + np.cumsum(sizes)
-        flat = np.concatenate(ids)
+            self.places = np.concatenate([self.places, np.zeros(len(self.places) - 1, np.int64)])
+        upto = slice(self.count + 1, self.count + n + 1)
+        begin, first = int(self.offsets[self.count]), int(self.places[self.count])
+        self.offsets[upto] = begin + np.cumsum([len(i) for i in ids], dtype=np.int64)
+        self.places[upto] = first + np.cumsum([len(w) for w in words], dtype=np.int64)
+        flat, text = np.concatenate(ids), np.frombuffer(b"".join(words), np.uint8)
         while len(self.ids) < begin + len(flat):
             self.ids = np.concatenate([self.ids, np.empty_like(self.ids)])
+        while len(self.text) < first + len(text) + 8:
+            self.text = np.concatenate([self.text, np.zeros_like(self.text)])
         self.ids[begin : begin + len(flat)] = flat
+        self.text[first : first + len(text)] = text
+        self.hashes[self.count : self.count + n] = 0
         self.count += n
-        if 2 * self.count > len(self.keys):
+        return np.arange(self.count - n, self.count, dtype=np.int32)
+
+    def add(self, hashes: np.ndarray, words: list[bytes], ids: list[np.ndarray]) -> None:
+        """Words (of distinct and new hashes) with their ids."""
+        numbers = self.append(words, ids)
+        self.hashes[numbers] = hashes
+        self.findable = np.concatenate([self.findable, numbers])
+        if 2 * len(self.findable) > len(self.keys):
             size = len(self.keys)
-            while 2 * self.count > size:
+            while 2 * len(self.findable) > size:
                 size *= 2
             self.keys, self.slots = np.zeros(size, np.uint64), np.full(size, -1, np.int32)
-            self._place(self.hashes[: self.count], np.arange(self.count, dtype=np.int32))
-        else:
-            self._place(hashes, np.arange(self.count - n, self.count, dtype=np.int32))
+            numbers = self.findable
+        self._place(self.hashes[numbers], numbers)
 
     def gather(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(how many ids each word has, the ids of all words one after another)."""
