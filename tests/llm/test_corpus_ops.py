@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import collections
 import math
+import random
 import re
 import zlib
 
@@ -161,11 +162,11 @@ def test_vector_tiles(spark, monkeypatch):
 # Jaccard join
 
 
-def brute_jaccard(rows, percent=85):
+def brute_jaccard(rows, percent=85, size=4):
     sets = []
     for _, text in rows:
         w = (text or "").encode().lower().split()
-        sets.append({b" ".join(w[k : k + 4]) for k in range(max(1, len(w) - 3))} if w else set())
+        sets.append({b" ".join(w[k : k + size]) for k in range(max(1, len(w) - size + 1))} if w else set())
     parent = {i: i for i, _ in rows}
 
     def top(x):
@@ -209,6 +210,47 @@ def test_jaccard(spark, seed):
     assert found == brute_jaccard(rows)
 
 
+@pytest.mark.parametrize("seed", range(3, 13))
+def test_jaccard_of_repeated_ids(spark, seed):
+    """A third of the rows share ids with other texts; some are copies of whole rows, or differ in case only."""
+    rng = random.Random(seed)
+    rows = [(i if i is None or rng.random() < 0.7 else rng.randrange(10, 60), t) for i, t in near_copies(seed)]
+    rows += rng.choices(rows, k=15) + [(i, t.upper()) for i, t in rng.choices(rows, k=5) if t]
+    rng.shuffle(rows)
+    found = sorted((r.doc_id if r.doc_id is not None else -1, r.n_shingles, r.component_id if r.component_id is not None else -1) for r in jaccard_components(frame(spark, rows)).collect())
+    assert found == [(i, n, -1 if c is None else c) for i, n, c in brute_jaccard(rows)]
+
+
+@pytest.mark.parametrize("seed,length", [(1, 60), (2, 150), (3, 400)])
+def test_jaccard_in_a_large_group_around_the_threshold(spark, seed, length):
+    """Copies of one text with up to two thirds of the edits that a link allows, and beyond; edits recur among them."""
+    rng = random.Random(seed)
+    words = [f"w{k}" for k in range(400)]
+    base = rng.choices(words, k=length)
+    rows = [(5000, " ".join(base))]
+    for i in range(220):
+        text = list(base)
+        for _ in range(rng.randrange(0, max(2, length // 18))):
+            spot = rng.randrange(len(text))
+            kind = rng.random()
+            if kind < 0.4:
+                del text[spot]
+            else:
+                text[spot] = rng.choice(words[:12]) if kind < 0.8 else f"own{i}{spot}"
+        rows.append((i, " ".join(text)))
+    for percent, size in ((85, 4), (80, 5)):
+        found = sorted((r.doc_id, r.n_shingles, r.component_id) for r in jaccard_components(frame(spark, rows), size=size, percent=percent).collect())
+        assert found == brute_jaccard(rows, percent, size)
+
+
+def test_jaccard_of_words_made_to_collide(spark):
+    bits = [bin(k).count("1") % 2 for k in range(2048)]
+    one, other = "".join("ab"[x] for x in bits), "".join("ba"[x] for x in bits)
+    rows = [(k, f"{word} and {'common ' * k}words") for k, word in enumerate([one, other, one, other])] + [(10, f"same {one}"), (11, f"same {other}"), (12, f"same {one}")]
+    found = sorted((r.doc_id, r.n_shingles, r.component_id) for r in jaccard_components(frame(spark, rows)).collect())
+    assert found == brute_jaccard(rows)
+
+
 def test_jaccard_of_nothing(spark):
     assert jaccard_components(frame(spark, [])).count() == 0
     assert jaccard_components(frame(spark, [(1, None)])).collect()[0].component_id == 1

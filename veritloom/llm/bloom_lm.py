@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import release, written
+from .common import release, text_batches, written
 from .hashing import find_words, hash_words, mix
 
 PROBES = 5
@@ -128,22 +128,6 @@ def _tokens(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
 _END = np.uint64(0x5851F42D4C957F2D)
 
 
-def _batches(batches: Iterator[pa.RecordBatch], column: int, rows: int = 4096, most: int = 1_000_000) -> Iterator[tuple[pa.RecordBatch, list[bytes | None]]]:
-    """Slices of at most ``rows`` rows and, but for a longer text, ``most`` bytes."""
-    for whole in batches:
-        begin = 0
-        while begin < whole.num_rows:
-            texts = whole.slice(begin, rows).column(column).cast(pa.binary()).to_pylist()
-            size, n = 0, 0
-            for text in texts:
-                size += len(text or b"")
-                if n and size > most:
-                    break
-                n += 1
-            yield whole.slice(begin, n), texts[:n]
-            begin += n
-
-
 def _before(hashes: np.ndarray) -> np.ndarray:
     """The token before each; the end mark before a first one."""
     out = np.empty_like(hashes)
@@ -159,7 +143,7 @@ def _slices(docs: DataFrame) -> DataFrame:
         from pyspark import TaskContext
 
         row = TaskContext.get().partitionId() << 36
-        for batch, texts in _batches(batches, 2):
+        for batch, texts in text_batches(batches, 2):
             lengths = [len(text or b"") for text in texts]
             starts = find_words(b"\n".join([text or b"" for text in texts]))[1]
             sizes = np.diff(np.searchsorted(starts, np.cumsum(np.array(lengths) + 1)), prepend=0) + 1

@@ -5,11 +5,15 @@ from __future__ import annotations
 
 import gc
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Used only where the session names no folder (tests, a laptop).
+#: Used only where the session names no folder and all runs in one process (tests, a laptop).
 FALLBACK_DIR = "file:///tmp/checkpoints"
 
 #: The id filter has 2**ID_FILTER_BITS bits whatever the input: 2 MB.
@@ -20,6 +24,8 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, as a URI without a final slash."""
     conf = spark.sparkContext.getConf()
     found = conf.get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not found and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
     return (found or FALLBACK_DIR).rstrip("/")
 
 
@@ -65,6 +71,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def text_batches(batches: Iterator[pa.RecordBatch], column: int, rows: int = 4096, most: int = 1_000_000) -> Iterator[tuple[pa.RecordBatch, list[bytes | None]]]:
+    """Slices of at most ``rows`` rows and, but for a longer text, ``most`` bytes, with the texts of a column."""
+    for whole in batches:
+        upto = np.cumsum(pc.fill_null(pc.binary_length(whole.column(column)), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+        begin, before = 0, 0
+        while begin < whole.num_rows:
+            n = min(rows, max(1, int(np.searchsorted(upto, before + most, side="right")) - begin))
+            part = whole.slice(begin, n)
+            yield part, part.column(column).cast(pa.binary()).to_pylist()
+            begin += n
+            before = int(upto[begin - 1])
+
+
 def _filter_slot(col: Column) -> Column:
     return F.pmod(F.xxhash64(col), F.lit(1 << ID_FILTER_BITS))
 

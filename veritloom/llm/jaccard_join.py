@@ -1,39 +1,42 @@
 """N-gram Jaccard self-join of documents by filtering under several global orders.
 
-A document is the set of its distinct word shingles.  Two sets of similarity t
-or more share a token among the first ``n - ceil(t n) + 1`` of either in *any*
-global order of tokens.  Candidates come from the prefixes under a first order
-and stay only if their prefixes under every further order meet as well; the
-filters are intersected before the exact sets are compared.
-
-* *Orders.*  Order 0 and its like are (class, seeded hash): a count sketch of
-  fixed size over all shingles of all documents puts tokens into frequency
-  classes, so tokens of passages that very many documents share come last.
-  Documents whose longer prefix under order 0 is shared as far as a link needs go on; among them
-  frequencies are counted exactly, and tokens rank by these: first those of one
-  group only, then the rare ones.  A text with several edits has so many tokens
-  of its own that its whole prefix is made of them, and it meets nobody; that
-  keeps groups of texts that are about half alike from making all their pairs.
-  Candidates are the pairs that share a prefix token under this order and under
-  each of the others.
-* *Bitmaps.*  A set is also hashed to 512 bits.  Two bitmaps differ in no more
-  bits than their sets differ in elements, which spares most comparisons with
-  leaders (below) that would fail.
-* *Exact copies* (equal sets) collapse to one class each before the join.
-* *Groups of near copies* collapse before pairs are formed: documents are first
-  compared with one leader for each of a few minimum hashes, and the join then
-  looks only for pairs of different components.  Links inside a component
-  cannot change it, so no class of copies is expanded into all its pairs, and
-  no link between components is missed.
-
-Everything is exact: sketch and hashes only choose candidates (tokens are
-64-bit hashes; sets are compared in full).
+A document is the set of its distinct word shingles.  Two sets that share k
+tokens or more share one of the first ``n - k + 1`` of either in *any* global
+order of tokens.  Candidates come from the prefixes under a first order and stay
+only if their prefixes under every further order meet as well; the filters are
+intersected before exact sets are compared.  What is joined are classes of
+copies, first within groups of near copies, then across them.
+
+* *Exact copies* (equal sets) collapse to one class each.
+* *Homes.*  Classes share keys (minimum hashes); a key is led by the class whose
+  keys most others have, which in a group of near copies is the text that the
+  others were made from, or one close to it.  A class that agrees with such a
+  leader in several keys, and then in enough of its tokens, has it as its home.
+* *Within a home* a set is written as its difference from the leader's: ``r``
+  tokens that it lacks and ``a`` that it adds.  With the cost
+  ``c = 100 r + p a`` two members x and y, whose differences share s tokens,
+  are linked exactly when ``(100 + p) s >= c_x + c_y - (100 - p) |leader|``.
+  Members with c of at most ``(100 - p) |leader|`` are linked with the leader,
+  so only pairs with a member beyond that are looked for, and these must
+  share more than half of the smaller difference.  Text that the whole home has
+  in common is in no difference, so however many copies a group has, they
+  do not meet on it.
+* *Across homes* documents go on whose longer prefix, under the order of token
+  hashes, is shared with other homes as far as a link needs.  Among them tokens
+  are counted exactly and ranked by frequency, those of one home only first.
+* *Orders.*  The join runs over prefixes by ascending frequency, with the bound
+  of each pair's own sizes on both places; then the prefixes under the other
+  (seeded) orders have to meet, too; then the sets are intersected in full.
+
+Everything is exact but for tokens: 64-bit hashes, unequal ones of a pair
+of texts meeting by chance with 2**-64.  Homes only decide where a pair is
+looked for: every pair is, in its home or across homes.
 
 Defined results: texts without words (also null or empty) have no shingles and
 link with nothing; shorter texts than a shingle are one shingle of all their
-words; rows with equal ids are one node of the link graph; rows with a null id
-keep a null component and link with nothing; an empty table gives no rows;
-further columns are ignored.
+words; rows with equal ids are one node of the link graph, with the links of
+all their sets; rows with a null id keep a null component and link with nothing;
+an empty table gives no rows; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -42,300 +45,296 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import discard, keep_possible_ids, release, written
+from .common import discard, keep_possible_ids, text_batches, written
 from .components import connected_components
-from .hashing import mix, word_hashes
-
-#: Cells of the count sketch: 4 MB of counts, whatever the input.
-SKETCH_BITS = 20
-_CHUNK = 4096
-#: 64-bit words of a set's bitmap.
-BITMAP_WORDS = 8
-#: Minimum hashes that elect leaders.
-LEADER_KEYS = 6
-
-_P = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
-#: Seeds of the orders and of the leader keys.
-_SEEDS = [np.uint64(0xA0761D6478BD642F + 0x9E3779B97F4A7C15 * k & 0xFFFFFFFFFFFFFFFF) for k in range(16)]
-
-
-def shingle_hashes(text: bytes | None, size: int) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the word shingles of a text."""
-    h = word_hashes((text or b"").lower())
-    if not len(h):
-        return np.empty(0, np.uint64)
-    size = min(size, len(h))
-    total = h[: len(h) - size + 1] * _P[0]
+from .hashing import find_words, hash_words, mix
+
+#: Minimum hashes of a set, and how many must lead to the same leader.
+KEYS, SAME_KEYS = 8, 2
+#: Percent of similarity with its leader below which a set has no home.
+ALIKE = 40
+
+_U = np.uint64
+_P = [_U(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
+#: Seeds of the orders and of the keys.
+_SEEDS = [_U(0xA0761D6478BD642F + 0x9E3779B97F4A7C15 * k & 0xFFFFFFFFFFFFFFFF) for k in range(16)]
+
+
+def shingle_sets(texts: list[bytes | None], size: int) -> list[np.ndarray]:
+    """Sorted distinct 64-bit hashes of the word shingles of each text."""
+    lengths = np.array([len(text or b"") + 1 for text in texts], np.int64)
+    raw, starts, ends = find_words(b"\n".join([text or b"" for text in texts]).lower())
+    h = hash_words(raw, starts, ends)
+    upto = np.searchsorted(starts, np.cumsum(lengths))
+    total = h * _P[0]
     for k in range(1, size):
-        total = (total ^ (total >> np.uint64(29))) * _P[k % 4] + h[k : len(h) - size + 1 + k]
-    return np.unique(mix(total + np.uint64(size)))
+        total[: len(h) - k] = (total[: len(h) - k] ^ (total[: len(h) - k] >> _U(29))) * _P[k % 4] + h[k:]
+    total = mix(total + _U(size))
+    out, begin = [], 0
+    for end in upto.tolist():
+        if end - begin >= size:
+            out.append(np.unique(total[begin : end - size + 1]))
+        elif end > begin:  # fewer words than a shingle: all of them
+            short = h[begin] * _P[0]
+            for k in range(begin + 1, end):
+                short = (short ^ (short >> _U(29))) * _P[(k - begin) % 4] + h[k]
+            out.append(mix(np.array([short]) + _U(end - begin)))
+        else:
+            out.append(np.empty(0, np.uint64))
+        begin = end
+    return out
 
 
 def prefix_length(n: int, percent: int) -> int:
     return n - -(-n * percent // 100) + 1
 
 
-def longer_prefix(n: int, percent: int) -> int:
-    """Half as long again.
+def further(n: int, percent: int) -> int:
+    """Tokens that the longer prefix has beyond the prefix.
 
     Prefixes that are longer by l - 1 tokens share l tokens at least, so a
     document has a link only if that many tokens of its longer prefix occur
     elsewhere; one passage in common with others is not enough.
     """
-    p = prefix_length(n, percent)
-    return p + p // 2
+    return min(prefix_length(n, percent) // 2, -(-n * percent // 100) - 1)
 
 
 def _least_shared(n: str, percent: int) -> str:
     """SQL: how many tokens of a longer prefix a link shares at least; the smaller of both texts decides."""
-    smaller = f"int(({n} * {percent} + 99) / 100)"
-    return f"(int((int({smaller} * {100 - percent} / 100) + 1) / 2) + 1)"
-
+    smaller = f"(({n} * {percent} + 99) div 100)"
+    still = f"(({smaller} * {percent} + 99) div 100)"
+    return f"(1 + least(({smaller} - {still} + 1) div 2, {still} - 1))"
 
-def _frequency_classes(sketch: np.ndarray) -> np.ndarray:
-    """0 for cells of ordinary load, then one class for each doubling above twice the mean."""
-    ordinary = 2 * sketch.mean() + 8
-    return np.where(sketch <= ordinary, 0, 1 + np.floor(np.log2(np.maximum(sketch, 1) / ordinary))).astype(np.uint8)
 
+def _lists(arrays: list[np.ndarray]) -> pa.ListArray:
+    offsets = np.zeros(len(arrays) + 1, np.int32)
+    np.cumsum([len(a) for a in arrays], out=offsets[1:])
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(arrays)))
 
-def _ranks(tokens: np.ndarray, classes: np.ndarray, orders: int) -> np.ndarray:
-    """Places of tokens in several global orders (rows): frequency class first, then a seeded hash."""
-    cls = classes[(tokens & np.uint64((1 << SKETCH_BITS) - 1)).astype(np.int64)].astype(np.uint64)
-    seeds = np.array(_SEEDS[:orders])[:, None]
-    return (cls << np.uint64(56)) | (mix(tokens ^ seeds) >> np.uint64(8))
 
+def _digest(tokens: np.ndarray) -> bytes | None:
+    import xxhash
 
-def bitmap(tokens: np.ndarray) -> np.ndarray:
-    """A bit for each token's hash, as BITMAP_WORDS signed 64-bit words."""
-    bits = np.zeros(64 * BITMAP_WORDS, np.uint8)
-    bits[(mix(tokens ^ _SEEDS[15]) >> np.uint64(40)).astype(np.int64) % len(bits)] = 1
-    return np.packbits(bits).view(np.int64)
+    return xxhash.xxh3_128_digest(tokens.tobytes()) if len(tokens) else None
 
 
-def _texts(batch: pa.RecordBatch) -> Iterator[tuple[int | None, bytes | None]]:
-    for begin in range(0, batch.num_rows, 1024):
-        part = batch.slice(begin, 1024)
-        yield from zip(part.column(0).to_pylist(), part.column(1).cast(pa.binary()).to_pylist(), strict=True)
+def _orders(tokens: np.ndarray, length: int, orders: int) -> list[np.ndarray]:
+    """The first ``length`` tokens under each further order, as 32-bit hashes."""
+    out = []
+    for k in range(1, orders):
+        ranks = mix(tokens ^ _SEEDS[8 + k])
+        chosen = tokens if length >= len(tokens) else tokens[np.argpartition(ranks, length - 1)[:length]]
+        out.append(chosen.astype(np.uint32).view(np.int32))
+    return out
 
 
-def _digests(docs: DataFrame, size: int) -> DataFrame:
-    """Per document its set's size and digest; per task the cells of its count sketch."""
+def _sets(docs: DataFrame, size: int, percent: int) -> DataFrame:
+    """Per document its set's size and digest, KEYS keys, and the longer prefix under the order of hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import xxhash
-
-        sketch = np.zeros(1 << SKETCH_BITS, np.int64)
-        mask = np.uint64((1 << SKETCH_BITS) - 1)
-        for batch in batches:
-            ids, sizes, sets, waiting = [], [], [], []
-            for doc, text in _texts(batch):
-                tokens = shingle_hashes(text, size)
-                ids.append(doc)
-                sizes.append(len(tokens))
-                sets.append(xxhash.xxh3_128_digest(tokens.tobytes()) if len(tokens) else None)
-                waiting.append(tokens)
-                if len(waiting) == 2048:
-                    sketch += np.bincount((np.concatenate(waiting) & mask).astype(np.int64), minlength=len(sketch))
-                    waiting = []
-            if waiting:
-                sketch += np.bincount((np.concatenate(waiting) & mask).astype(np.int64), minlength=len(sketch))
-            none = pa.nulls(len(ids))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(sets, pa.binary()), none.cast(pa.int32()), none.cast(pa.binary())], names=names)
-        if sketch.any():
-            parts = sketch.clip(0, (1 << 32) - 1).astype("<u4").reshape(-1, _CHUNK)
-            none = pa.nulls(len(parts))
-            yield pa.RecordBatch.from_arrays([none.cast(pa.int64()), none.cast(pa.int64()), none.cast(pa.binary()), pa.array(range(len(parts)), pa.int32()), pa.array([p.tobytes() for p in parts], pa.binary())], names=names)
-
-    names = ["doc_id", "n_shingles", "set_hash", "chunk", "cells"]
-    return docs.mapInArrow(run, "doc_id bigint, n_shingles bigint, set_hash binary, chunk int, cells binary")
-
-
-def _sketch(digests: DataFrame) -> np.ndarray:
-    """The sum of all tasks' sketches: 2**SKETCH_BITS counts, a fixed size."""
-
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for chunk, cells in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                sums[chunk] = sums.get(chunk, 0) + np.frombuffer(cells, "<u4").astype(np.uint64)
-        if sums:
-            cells = [np.minimum(x, (1 << 32) - 1).astype("<u4").tobytes() for x in sums.values()]
-            yield pa.RecordBatch.from_arrays([pa.array(sums, pa.int32()), pa.array(cells, pa.binary())], names=["chunk", "cells"])
-
-    parts = digests.where("chunk is not null").select("chunk", "cells").repartition("chunk").mapInArrow(add, "chunk int, cells binary")
-    out = np.zeros(1 << SKETCH_BITS, np.uint32)
-    for chunk, cells in parts.collect():
-        out[chunk * _CHUNK : (chunk + 1) * _CHUNK] = np.frombuffer(cells, "<u4")
-    return out
-
-
-def _prefixes(docs: DataFrame, size: int, percent: int, orders: int, classes: np.ndarray) -> DataFrame:
-    """Leader keys, the prefix under the first order, and 32-bit prefixes under the others."""
-    shared = docs.sparkSession.sparkContext.broadcast(classes)
+        odd = [s | _U(1) for s in _SEEDS[:KEYS]]
+        for batch, texts in text_batches(batches, 1):
+            sets = shingle_sets(texts, size)
+            sizes = np.array([len(s) for s in sets], np.int64)
+            full = np.flatnonzero(sizes)
+            keys = [np.zeros(len(sets), np.int64) for _ in odd]
+            if len(full):
+                every, at = np.concatenate([sets[i] for i in full]), np.concatenate([[0], np.cumsum(sizes[full])[:-1]])
+                for k, factor in enumerate(odd):
+                    keys[k][full] = mix(np.minimum.reduceat(every * factor, at) + _SEEDS[k]).view(np.int64)
+            prefixes = [s[: prefix_length(len(s), percent) + further(len(s), percent)].view(np.int64) for s in sets]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes), pa.array([_digest(s) for s in sets], pa.binary()), *map(pa.array, keys), _lists(prefixes)], names=names)
+
+    key_names = [f"key{k}" for k in range(KEYS)]
+    names = ["doc_id", "n", "set_hash", *key_names, "prefix"]
+    return docs.mapInArrow(run, f"doc_id bigint, n bigint, set_hash binary, {', '.join(f'{k} bigint' for k in key_names)}, prefix array<bigint>")
+
+
+def _homes(nodes: DataFrame) -> DataFrame:
+    """(rep, home): the most central leader that a class shares keys with, where that is not itself."""
+    keyed = nodes.select("rep", F.explode(F.array(*(f"key{k}" for k in range(KEYS)))).alias("key"))
+    counts = written(keyed.groupBy("key").agg(F.count("*").alias("times")).where("times > 1"), "join-keys")
+    shared = keep_possible_ids(keyed, "key", counts, "key").join(counts, "key")
+    # A class has KEYS rows at most.
+    score = F.sum(F.round(16 * F.log2("times")).cast("bigint")).over(Window.partitionBy("rep"))
+    shared = written(shared.select("rep", "key", score.alias("score")), "join-scores")
+    lead = shared.groupBy("key").agg(F.max(F.struct("score", (-F.col("rep")).alias("order"))).alias("lead"))
+    led = shared.join(lead, "key").select("rep", "lead").repartition("rep")
+    most = led.groupBy("rep", "lead").agg(F.count("*").alias("times")).where(f"times >= {SAME_KEYS} or rep = -lead.order").groupBy("rep").agg(F.max("lead").alias("lead"))
+    homes = written(most.select("rep", (-F.col("lead.order")).alias("home")).where("rep <> home"), "join-homes")
+    discard(counts, shared)
+    return homes
+
+
+def _texts(docs: DataFrame, ids: DataFrame, repeated: DataFrame | None) -> DataFrame:
+    """(doc_id, text) of the given ids (column doc_id, distinct), equal rows once."""
+    found = keep_possible_ids(docs, "doc_id", ids, "doc_id").join(ids, "doc_id", "left_semi")
+    if repeated is None:
+        return found
+    again = F.broadcast if repeated.count() < 100_000 else (lambda x: x)
+    return found.join(again(repeated), "doc_id", "left_anti").unionByName(found.join(again(repeated), "doc_id", "left_semi").distinct())
+
+
+def _deltas(docs: DataFrame, homes: DataFrame, repeated: DataFrame | None, size: int, percent: int, orders: int) -> DataFrame:
+    """Members of homes (rep, home, n_home, cost, least: tokens shared with a partner) with their difference from the leader.
+
+    Tokens are salted by home, one to one within it.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import xxhash
-
-        cls = shared.value
-        for whole in batches:
-            for begin in range(0, whole.num_rows, 1024):
-                ids, sizes, sets, leaders, maps = [], [], [], [], []
-                prefixes: list[list[np.ndarray]] = [[] for _ in range(orders)]
-                for doc, text in _texts(whole.slice(begin, 1024)):
-                    tokens = shingle_hashes(text, size)
-                    if doc is None or not len(tokens):
-                        continue
-                    ids.append(doc)
-                    sizes.append(len(tokens))
-                    sets.append(xxhash.xxh3_128_digest(tokens.tobytes()))
-                    maps.append(bitmap(tokens))
-                    p = prefix_length(len(tokens), percent)
-                    ranks = _ranks(tokens, cls, orders + LEADER_KEYS)
-                    for k in range(orders):
-                        first = p if k else longer_prefix(len(tokens), percent)
-                        chosen = tokens[np.argpartition(ranks[k], first - 1)[:first]]
-                        prefixes[k].append(chosen.astype(np.uint32).view(np.int32) if k else chosen.view(np.int64))
-                    leaders.append(mix(tokens[ranks[orders:].argmin(axis=1)] + np.array(_SEEDS[:LEADER_KEYS])).view(np.int64))
-                if ids:
-                    lists = [_lists(x) for x in (leaders, maps, *prefixes)]
-                    yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(sets, pa.binary()), *lists], names=names)
-
-    names = ["doc_id", "n", "set_hash", "leader_keys", "bits", *(f"prefix{k}" for k in range(orders))]
-    kinds = ", ".join(f"prefix{k} array<{'bigint' if k == 0 else 'int'}>" for k in range(orders))
-    return docs.mapInArrow(run, f"doc_id bigint, n bigint, set_hash binary, leader_keys array<bigint>, bits array<bigint>, {kinds}")
+        leaders: dict[int, np.ndarray] = {}
+        kept = 0
+        for batch, texts in text_batches(batches, 2):
+            ids, homes = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            new = {home: k for k, home in enumerate(homes) if home not in leaders}
+            if new:
+                if kept > 4_000_000:
+                    leaders, kept = {}, 0
+                    new = {home: k for k, home in enumerate(homes)}
+                for home, k in new.items():
+                    leaders[home] = shingle_sets([batch.column(3)[k].cast(pa.binary()).as_py()], size)[0]
+                    kept += len(leaders[home])
+            rows, deltas, prefixes = [], [], [[] for _ in range(orders - 1)]
+            for rep, home, tokens in zip(ids, homes, shingle_sets(texts, size), strict=True):
+                lead = leaders[home]
+                every, times = np.unique(np.concatenate([lead, tokens]), return_counts=True)
+                once = every[times == 1]
+                both = len(every) - len(once)
+                if 100 * both < ALIKE * len(every):
+                    continue
+                lacks, adds = len(lead) - both, len(tokens) - both
+                cost, limit = 100 * lacks + percent * adds, (100 - percent) * len(lead)
+                least = -(-(cost - limit) // 100) if cost > limit else (cost + 100 + percent) // (100 + percent)
+                rows.append((rep, home, len(lead), cost, max(1, least)))
+                salted = mix(once + mix(np.array([home]).astype(np.uint64)))
+                deltas.append(salted.view(np.int64))
+                for k, chosen in enumerate(_orders(salted, max(1, len(once) - max(1, least) + 1), orders)):
+                    prefixes[k].append(chosen)
+            if rows:
+                yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in zip(*rows, strict=True)), _lists(deltas), *map(_lists, prefixes)], names=names)
+
+    ids = homes.select(F.col("rep").alias("doc_id")).union(homes.select("home")).distinct()
+    texts = written(_texts(docs, ids, repeated), "join-texts")
+    members = texts.join(homes.withColumnRenamed("rep", "doc_id"), "doc_id")
+    rows = members.join(texts.select(F.col("doc_id").alias("home"), F.col("text").alias("leader")), "home").select("doc_id", "home", "text", "leader")
+    others = [f"order{k}" for k in range(1, orders)]
+    names = ["rep", "home", "n_home", "cost", "least", "delta", *others]
+    found = written(rows.mapInArrow(run, f"rep bigint, home bigint, n_home bigint, cost bigint, least bigint, delta array<bigint>, {', '.join(f'{o} array<int>' for o in others)}"), "join-deltas")
+    discard(texts)
+    if repeated is not None:  # texts of one id and set
+        found = written(found.dropDuplicates(["rep"]), "join-deltas")
+    return found
 
 
-def _lists(arrays: list[np.ndarray]) -> pa.ListArray:
-    offsets = np.zeros(len(arrays) + 1, np.int32)
-    np.cumsum([len(a) for a in arrays], out=offsets[1:])
-    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(arrays)))
+def _ranked(rows: DataFrame, counts: DataFrame, by: list[str], n: str, least: Column) -> DataFrame:
+    """Rows (by, token) within the prefix that a partner with ``least`` common tokens needs, by ascending frequency.
 
+    ``counts`` (token, df) has the tokens that can be shared at all; the others come first.
+    """
+    rows = keep_possible_ids(rows, "token", counts, "token").join(counts, "token")
+    of_set = Window.partitionBy(*by)
+    place = F.row_number().over(of_set.orderBy("df", "token")) + F.col(n) - F.count("*").over(of_set)
+    return rows.withColumn("place", place).where(F.col("place") <= F.col(n) - least + 1).drop("df")
 
-def _linked(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose whole shingle sets are similar enough."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        recent: dict[int, tuple[bytes, np.ndarray]] = {}
-
-        def tokens(doc: int, text: bytes) -> np.ndarray:
-            known = recent.get(doc)
-            if known is None or known[0] != text:
-                if len(recent) >= 256:
-                    recent.clear()
-                known = recent[doc] = text, shingle_hashes(text, size)
-            return known[1]
-
-        for whole in batches:
-            for begin in range(0, whole.num_rows, 512):
-                batch = whole.slice(begin, 512)
-                good = []
-                for k, (a, b, ta, tb) in enumerate(zip(*(c.to_pylist() for c in batch.columns), strict=True)):
-                    x, y = tokens(a, ta), tokens(b, tb)
-                    both = len(np.intersect1d(x, y, assume_unique=True))
-                    if both and 100 * both >= percent * (len(x) + len(y) - both):
-                        good.append(k)
-                yield batch.select(["a", "b"]).take(pa.array(good, pa.int64()))
-
-    ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    texts = written(keep_possible_ids(docs, "doc_id", ids, "doc_id").join(ids, "doc_id", "left_semi"), "join-texts")
-    rows = (
-        pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").cast("binary").alias("text_a")), "a")
-        .join(texts.select(F.col("doc_id").alias("b"), F.col("text").cast("binary").alias("text_b")), "b")
-        .select("a", "b", "text_a", "text_b")
+def _orders_meet(orders: int) -> Column:
+    meet = F.lit(True)
+    for k in range(1, orders):
+        meet = meet & F.arrays_overlap(f"x.order{k}", f"y.order{k}")
+    return meet
+
+
+def _home_links(deltas: DataFrame, percent: int, orders: int) -> DataFrame:
+    """Links (a, b) that join the members of homes as far as links within them do."""
+    limit = f"{100 - percent} * n_home"
+    deltas = deltas.withColumn("far", F.expr(f"cost > {limit}")).withColumn("n", F.size("delta").cast("bigint"))
+    near = deltas.where("not far").select(F.col("rep").alias("a"), F.col("home").alias("b"))
+    rows = deltas.select("rep", "home", "n_home", "cost", "least", "far", "n", F.explode("delta").alias("token"))
+    counts = written(rows.groupBy("token").agg(F.count("*").alias("df"), F.max("far").alias("any_far")).where("df > 1 and any_far").select("token", "df"), "join-delta-tokens")
+    prefix = written(_ranked(rows, counts, ["rep"], "n", F.col("least")), "join-delta-prefix")
+    # At least one of a pair is far from the leader.
+    need = f"int((x.cost + y.cost - {100 - percent} * x.n_home + {99 + percent}) div {100 + percent})"
+    pairs = (
+        prefix.where("far").alias("x")
+        .join(prefix.alias("y"), F.expr(f"x.token = y.token and x.home = y.home and x.rep <> y.rep and (not y.far or x.rep < y.rep) and x.place <= x.n - {need} + 1 and y.place <= y.n - {need} + 1"))
+        .select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b"))
+        .distinct()
     )
-    links = written(rows.mapInArrow(run, "a bigint, b bigint").distinct(), "join-links")
-    discard(texts)
-    return links
+    pairs = written(pairs, "join-home-candidates")
+    some = deltas.join(pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct(), "rep", "left_semi")
+    met = pairs.join(some.alias("x"), F.expr("a = x.rep")).join(some.alias("y"), F.expr("b = y.rep")).where(_orders_meet(orders))
+    far = written(met.where(F.expr(f"size(array_intersect(x.delta, y.delta)) >= {need}")).select("a", "b"), "join-home-links")
+    discard(counts, prefix, pairs)
+    return near.union(far)
 
 
-def _tokens_of(texts: DataFrame, size: int) -> DataFrame:
-    """A row (doc_id, n, grp, token) for every shingle of (doc_id, text, n, grp)."""
+def _token_sets(texts: DataFrame, size: int, percent: int, orders: int) -> DataFrame:
+    """The whole sets of (doc_id, text) with their prefixes under the further orders."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for begin in range(0, whole.num_rows, 256):
-                batch = whole.slice(begin, 256)
-                found = [shingle_hashes(text, size).view(np.int64) for _, text in _texts(batch)]
-                sizes = [len(t) for t in found]
-                again = np.repeat(np.arange(len(found)), sizes)
-                columns = [batch.column(k).take(pa.array(again)) for k in (0, 2, 3)]
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(np.concatenate(found))], names=["doc_id", "n", "grp", "token"])
+        for batch, found in text_batches(batches, 1):
+            sets = shingle_sets(found, size)
+            prefixes = [_orders(s, prefix_length(len(s), percent), orders) for s in sets]
+            columns = [batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([_digest(s) for s in sets], pa.binary()), _lists([s.view(np.int64) for s in sets])]
+            yield pa.RecordBatch.from_arrays([*columns, *(_lists([p[k] for p in prefixes]) for k in range(orders - 1))], names=names)
 
-    return texts.select("doc_id", "text", "n", "grp").mapInArrow(run, "doc_id bigint, n bigint, grp bigint, token bigint")
+    others = [f"order{k}" for k in range(1, orders)]
+    names = ["doc_id", "n", "set_hash", "tokens", *others]
+    return texts.mapInArrow(run, f"doc_id bigint, n bigint, set_hash binary, tokens array<bigint>, {', '.join(f'{o} array<int>' for o in others)}")
 
 
 def _mixed(rows: DataFrame) -> DataFrame:
-    """Rows (doc_id, n, grp, token) whose token occurs in more than one group, with its frequency ``df``.
+    """(token, df) of the tokens of rows (token, grp) that occur in more than one group."""
+    return rows.groupBy("token").agg(F.count("*").alias("df"), F.min("grp").alias("low"), F.max("grp").alias("high")).where("low <> high").select("token", "df")
+
 
-    Frequencies are aggregated first; the rows themselves are shuffled only
-    where a bitmap of the tokens that count lets them through.
+def _cross_links(sets: DataFrame, known: DataFrame, docs: DataFrame, repeated: DataFrame | None, size: int, percent: int, orders: int) -> DataFrame:
+    """Links (a, b) between classes of different homes.
+
+    ``known`` (set_hash, rep, grp) has the classes of several rows or with a home; any other stands for itself.
     """
-    counts = rows.groupBy("token").agg(F.count("*").alias("df"), F.min("grp").alias("low"), F.max("grp").alias("high")).where("low <> high")
-    counts = written(counts.select("token", "df"), "join-tokens")
-    return keep_possible_ids(rows, "token", counts, "token").join(counts, "token")
-
-
-def _leader_links(nodes: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """Links (a, b) between documents and the leaders of their keys."""
-    keyed = nodes.select("doc_id", "n", F.explode("leader_keys").alias("key"))
-    lead = keyed.groupBy("key").agg(F.min(F.struct("doc_id", "n")).alias("lead"))
-    near = (
-        keyed.join(lead, "key")
-        .where("doc_id <> lead.doc_id and 100 * least(n, lead.n) >= %d * greatest(n, lead.n)" % percent)
-        .select(F.col("lead.doc_id").alias("a"), F.col("doc_id").alias("b"))
-        .distinct()
-    )
-    words = [f"w{k}" for k in range(BITMAP_WORDS)]
-    maps = nodes.select("doc_id", "n", *(F.get("bits", k).alias(w) for k, w in enumerate(words)))
-    differ = " + ".join(f"bit_count(x.{w} ^ y.{w})" for w in words)
-    # |A & B| >= p / (100 + p) * (|A| + |B|), so at most (100 - p) / (100 + p) of both differ.
-    alike = f"{100 + percent} * ({differ}) <= {100 - percent} * (x.n + y.n)"
-    near = near.join(maps.alias("x"), F.expr("a = x.doc_id")).join(maps.alias("y"), F.expr(f"b = y.doc_id and {alike}")).select("a", "b")
-    return _linked(written(near, "join-near"), docs, size, percent)
-
-
-def _cross_links(nodes: DataFrame, groups: DataFrame, docs: DataFrame, size: int, percent: int, orders: int) -> DataFrame:
-    """Links (a, b) between documents of different groups."""
-    spark = docs.sparkSession
-    grouped = written(nodes.join(groups, nodes["doc_id"] == groups["node"], "left").select("doc_id", "n", F.coalesce("component", "doc_id").alias("grp")), "join-grouped")
-
-    # Documents that share enough prefix tokens with other groups under order 0.
-    first = nodes.select("doc_id", "n", F.explode("prefix0").alias("token")).join(groups.withColumnRenamed("node", "doc_id"), "doc_id", "left")
-    shared = _mixed(first.select("doc_id", "n", F.coalesce("component", "doc_id").alias("grp"), "token"))
-    enough = shared.groupBy("doc_id").agg(F.count("*").alias("shared"), F.max("n").alias("n")).where(f"shared >= {_least_shared('n', percent)}")
-    involved = written(enough.select("doc_id"), "join-involved")
-    release(spark)
-
-    # Their prefixes under the order of frequency among them: tokens of one group first, then by frequency.
-    texts = written(keep_possible_ids(docs, "doc_id", involved, "doc_id").join(involved, "doc_id", "left_semi").dropDuplicates(["doc_id"]).join(grouped, "doc_id"), "join-involved-texts")
-    every = _mixed(_tokens_of(texts, size))
-    of_doc = Window.partitionBy("doc_id")
-    alone = F.col("n") - F.count("*").over(of_doc)
-    place = F.row_number().over(of_doc.orderBy("df", "token")) + alone
-    prefix = every.withColumn("place", place).where(f"place <= n - int((n * {percent} + 99) / 100) + 1").drop("place", "df")
-    prefix = written(prefix, "join-prefix")
-    release(spark)
-    x, y = prefix.alias("x"), prefix.alias("y")
+    grouped = sets.join(known, "set_hash", "left").where("rep is null or rep = doc_id").withColumn("grp", F.coalesce("grp", "doc_id"))
+
+    # Documents that share enough of the longer prefix under the order of hashes with other homes.
+    first = grouped.select("doc_id", "n", "grp", F.explode("prefix").alias("token"))
+    mixed = written(_mixed(first).select("token"), "join-mixed")
+    shared = keep_possible_ids(first, "token", mixed, "token").join(mixed, "token", "left_semi").groupBy("doc_id", "n").agg(F.count("*").alias("shared"))
+    involved = written(shared.where(f"shared >= {_least_shared('n', percent)}").select("doc_id").distinct(), "join-involved")
+
+    whole = _token_sets(_texts(docs, involved, repeated), size, percent, orders)
+    if repeated is not None:  # texts of one id and set
+        whole = whole.dropDuplicates(["doc_id", "set_hash"])
+    whole = written(whole.join(known, "set_hash", "left").where("rep is null or rep = doc_id").withColumn("grp", F.coalesce("grp", "doc_id")).drop("rep"), "join-sets")
+    rows = whole.select("set_hash", "doc_id", "n", "grp", F.explode("tokens").alias("token"))
+    counts = written(_mixed(rows), "join-tokens")
+    prefix = written(_ranked(rows, counts, ["set_hash", "doc_id"], "n", F.expr(f"(n * {percent} + 99) div 100")), "join-prefix")
+    # A token may be one home's but for a few rows: these meet all rows, and the home's rows not each other.
+    of_group = prefix.groupBy("token", "grp").agg(F.count("*").alias("times"))
+    major = of_group.groupBy("token").agg(F.max_by("grp", F.struct("times", "grp")).alias("major"), F.count("*").alias("groups")).where("groups > 1").select("token", "major")
+    prefix = written(prefix.join(major, "token"), "join-meeting")
+    need = f"int(({percent} * (x.n + y.n) + {99 + percent}) div {100 + percent})"
     pairs = (
-        x.join(y, F.expr(f"x.token = y.token and x.doc_id < y.doc_id and x.grp <> y.grp and 100 * least(x.n, y.n) >= {percent} * greatest(x.n, y.n)"))
-        .select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b"))
+        prefix.where("grp <> major").alias("x")
+        .join(
+            prefix.alias("y"),
+            F.expr(
+                f"x.token = y.token and x.grp <> y.grp and (y.grp = y.major or x.set_hash < y.set_hash) and 100 * least(x.n, y.n) >= {percent} * greatest(x.n, y.n)"
+                f" and x.place <= x.n - {need} + 1 and y.place <= y.n - {need} + 1"
+            ),
+        )
+        .select(F.col("x.set_hash").alias("a"), F.col("y.set_hash").alias("b"))
         .distinct()
     )
-    # Pairs have to meet under every other order, too.
-    others = [f"prefix{k}" for k in range(orders)]
-    mine = nodes.select(F.col("doc_id").alias("a"), *(F.col(c).alias(f"{c}_a") for c in others))
-    yours = nodes.select(F.col("doc_id").alias("b"), *(F.col(c).alias(f"{c}_b") for c in others))
-    meet = F.lit(True)
-    for c in others:
-        meet = meet & F.arrays_overlap(f"{c}_a", f"{c}_b")
     pairs = written(pairs, "join-candidates")
-    ends = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    both = pairs.join(keep_possible_ids(mine, "a", ends, "doc_id"), "a").join(keep_possible_ids(yours, "b", ends, "doc_id"), "b").where(meet)
-    links = _linked(written(both.select("a", "b").distinct(), "join-pairs"), docs, size, percent)
-    discard(texts, prefix, grouped)
+    some = whole.join(pairs.select(F.explode(F.array("a", "b")).alias("set_hash")).distinct(), "set_hash", "left_semi")
+    light = some.select("set_hash", *(f"order{k}" for k in range(1, orders)))
+    met = written(pairs.join(light.alias("x"), F.expr("a = x.set_hash")).join(light.alias("y"), F.expr("b = y.set_hash")).where(_orders_meet(orders)).select("a", "b"), "join-met")
+    both = met.join(some.alias("x"), F.expr("a = x.set_hash")).join(some.alias("y"), F.expr("b = y.set_hash"))
+    links = written(both.where(F.expr(f"size(array_intersect(x.tokens, y.tokens)) >= {need}")).select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b")).distinct(), "join-links")
+    discard(mixed, involved, whole, counts, prefix, pairs, met)
     return links
 
 
@@ -347,32 +346,30 @@ def jaccard_components(
     Documents link when ``100 * |A & B| >= percent * |A | B|`` for their sets of
     ``size``-word shingles; component_id is the smallest id reachable by links.
     """
-    spark = docs.sparkSession
     docs = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    digests = written(_digests(docs, size), "join-digests")
-    classes = _frequency_classes(_sketch(digests))
-    rows = digests.where("chunk is null").select("doc_id", "n_shingles", "set_hash")
-    named = rows.where("doc_id is not null and n_shingles > 0")
-    reps = named.groupBy("set_hash").agg(F.min("doc_id").alias("rep"))
-    of_set = written(rows.join(reps, "set_hash", "left").select("doc_id", "n_shingles", "rep"), "join-rows")
-    discard(digests)
-
-    # One document stands for equal sets.  A copy that the bitmap lets through is one more
-    # document with links of its own, which changes no component.
-    found = written(_prefixes(docs, size, percent, orders, classes), "join-prefixes")
-    nodes = keep_possible_ids(found, "doc_id", of_set.select("rep").where("rep is not null"), "rep")
-
-    # One id with several sets is one node.
-    several = of_set.where("rep is not null").groupBy("doc_id").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).where("low <> high")
-    same_id = of_set.join(several, "doc_id").select(F.col("rep").alias("a"), F.col("low").alias("b"))
-
-    links = _leader_links(nodes, docs, size, percent)
-    groups = written(connected_components(links.union(same_id)), "join-groups")
-    release(spark)
-    more = _cross_links(nodes, groups, docs, size, percent, orders)
-    ties = groups.select(F.col("node").alias("a"), F.col("component").alias("b"))
-    final = connected_components(ties.union(more))
-    discard(found)
-    return of_set.join(final, of_set["rep"] == final["node"], "left").select(
-        "doc_id", "n_shingles", F.expr("if(doc_id is null, null, coalesce(component, rep, doc_id))").alias("component_id")
-    )
+    sets = written(_sets(docs, size, percent), "join-rows")
+    named = sets.where("doc_id is not null and n > 0")
+    keys = [f"key{k}" for k in range(KEYS)]
+    nodes = written(named.groupBy("set_hash").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), *(F.min(k).alias(k) for k in keys)), "join-classes")
+
+    # Ids of several rows; where these differ, the sets are one node and have no home.
+    several = written(named.groupBy("doc_id").agg(F.count("*").alias("rows"), F.min("set_hash").alias("low"), F.max("set_hash").alias("high")).where("rows > 1"), "join-repeated")
+    repeated = None if several.isEmpty() else several.select("doc_id")
+    settled, ties = nodes, None
+    if repeated is not None:
+        unlike = several.where("low <> high").select("doc_id")
+        settled = nodes.join(unlike, nodes["rep"] == unlike["doc_id"], "left_anti")
+        of_id = named.join(unlike, "doc_id").join(nodes, "set_hash").select("doc_id", "rep").distinct()
+        ties = of_id.join(of_id.groupBy("doc_id").agg(F.min("rep").alias("low")), "doc_id").select("rep", "low")
+
+    homes = _homes(settled)
+    deltas = _deltas(docs, homes, repeated, size, percent, orders)
+    links = _home_links(deltas, percent, orders)
+    known = nodes.join(deltas.select("rep", "home"), "rep", "left").where("copies > 1 or home is not null")
+    known = written(known.select("set_hash", "rep", F.coalesce("home", "rep").alias("grp")), "join-known")
+    links = links.union(_cross_links(named.select("set_hash", "doc_id", "n", "prefix"), known, docs, repeated, size, percent, orders))
+    final = written(connected_components(links if ties is None else links.union(ties)), "join-components")
+
+    of_set = sets.select("doc_id", F.col("n").alias("n_shingles"), F.expr("if(doc_id is null, null, set_hash)").alias("set_hash")).join(known.select("set_hash", "rep"), "set_hash", "left")
+    of_set = of_set.select("doc_id", "n_shingles", F.coalesce("rep", "doc_id").alias("rep"))
+    return of_set.join(final, of_set["rep"] == final["node"], "left").select("doc_id", "n_shingles", F.expr("if(doc_id is null, null, coalesce(component, rep))").alias("component_id"))
