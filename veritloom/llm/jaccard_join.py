@@ -78,10 +78,10 @@ def shingle_sets(texts: list[bytes | None], size: int) -> list[np.ndarray]:
         if end - begin >= size:
             out.append(np.unique(total[begin : end - size + 1]))
         elif end > begin:  # fewer words than a shingle: all of them
-            short = h[begin] * _P[0]
+            short = h[begin : begin + 1] * _P[0]
             for k in range(begin + 1, end):
-                short = (short ^ (short >> _U(29))) * _P[(k - begin) % 4] + h[k]
-            out.append(mix(np.array([short]) + _U(end - begin)))
+                short = (short ^ (short >> _U(29))) * _P[(k - begin) % 4] + h[k : k + 1]
+            out.append(mix(short + _U(end - begin)))
         else:
             out.append(np.empty(0, np.uint64))
         begin = end
@@ -171,7 +171,8 @@ def _homes(nodes: DataFrame) -> DataFrame:
 
 def _texts(docs: DataFrame, ids: DataFrame, repeated: DataFrame | None) -> DataFrame:
     """(doc_id, text) of the given ids (column doc_id, distinct), equal rows once."""
-    found = keep_possible_ids(docs, "doc_id", ids, "doc_id").join(ids, "doc_id", "left_semi")
+    # An inner join, as a semi-join would be planned below the filter and shuffle every text.
+    found = keep_possible_ids(docs, "doc_id", ids, "doc_id").join(ids, "doc_id")
     if repeated is None:
         return found
     again = F.broadcast if repeated.count() < 100_000 else (lambda x: x)
@@ -234,7 +235,7 @@ def _ranked(rows: DataFrame, counts: DataFrame, by: list[str], n: str, least: Co
 
     ``counts`` (token, df) has the tokens that can be shared at all; the others come first.
     """
-    rows = keep_possible_ids(rows, "token", counts, "token").join(counts, "token")
+    rows = keep_possible_ids(rows, "token", counts, "token").join(counts.hint("merge"), "token")
     of_set = Window.partitionBy(*by)
     place = F.row_number().over(of_set.orderBy("df", "token")) + F.col(n) - F.count("*").over(of_set)
     return rows.withColumn("place", place).where(F.col("place") <= F.col(n) - least + 1).drop("df")
@@ -286,9 +287,19 @@ def _token_sets(texts: DataFrame, size: int, percent: int, orders: int) -> DataF
     return texts.mapInArrow(run, f"doc_id bigint, n bigint, set_hash binary, tokens array<bigint>, {', '.join(f'{o} array<int>' for o in others)}")
 
 
-def _mixed(rows: DataFrame) -> DataFrame:
-    """(token, df) of the tokens of rows (token, grp) that occur in more than one group."""
-    return rows.groupBy("token").agg(F.count("*").alias("df"), F.min("grp").alias("low"), F.max("grp").alias("high")).where("low <> high").select("token", "df")
+def _mixed(rows: DataFrame, group: str = "grp") -> DataFrame:
+    """The tokens of rows that occur in more than one group."""
+    return rows.groupBy("token").agg(F.min(group).alias("low"), F.max(group).alias("high")).where("low <> high").select("token")
+
+
+def _sharing(rows: DataFrame, percent: int, label: str, group: str = "grp") -> DataFrame:
+    """doc_id of the rows (doc_id, n, group, token) of longer prefixes that share as many tokens with other groups as a link needs."""
+    mixed = written(_mixed(rows, group), f"{label}-tokens")
+    # Tables of tokens grow with the corpus: they are never sent through the driver.
+    shared = keep_possible_ids(rows, "token", mixed, "token").join(mixed.hint("merge"), "token").groupBy("doc_id", "n").agg(F.count("*").alias("shared"))
+    found = written(shared.where(f"shared >= {_least_shared('n', percent)}").select("doc_id").distinct(), label)
+    discard(mixed)
+    return found
 
 
 def _cross_links(sets: DataFrame, known: DataFrame, docs: DataFrame, repeated: DataFrame | None, size: int, percent: int, orders: int) -> DataFrame:
@@ -296,20 +307,20 @@ def _cross_links(sets: DataFrame, known: DataFrame, docs: DataFrame, repeated: D
 
     ``known`` (set_hash, rep, grp) has the classes of several rows or with a home; any other stands for itself.
     """
-    grouped = sets.join(known, "set_hash", "left").where("rep is null or rep = doc_id").withColumn("grp", F.coalesce("grp", "doc_id"))
-
-    # Documents that share enough of the longer prefix under the order of hashes with other homes.
-    first = grouped.select("doc_id", "n", "grp", F.explode("prefix").alias("token"))
-    mixed = written(_mixed(first).select("token"), "join-mixed")
-    shared = keep_possible_ids(first, "token", mixed, "token").join(mixed, "token", "left_semi").groupBy("doc_id", "n").agg(F.count("*").alias("shared"))
-    involved = written(shared.where(f"shared >= {_least_shared('n', percent)}").select("doc_id").distinct(), "join-involved")
+    # Documents that share enough of the longer prefix under the order of hashes with other sets, and of these with
+    # other homes; the first needs no join with homes.  Equal sets have equal halves of their digests.
+    half = F.conv(F.substring(F.hex("set_hash"), 1, 15), 16, 10).cast("bigint")
+    near = _sharing(sets.select("doc_id", "n", half.alias("part"), F.explode("prefix").alias("token")), percent, "join-near", "part")
+    some = keep_possible_ids(sets, "doc_id", near, "doc_id").join(near, "doc_id").join(known, "set_hash", "left").where("rep is null or rep = doc_id")
+    involved = _sharing(some.select("doc_id", "n", F.coalesce("grp", "doc_id").alias("grp"), F.explode("prefix").alias("token")), percent, "join-involved")
 
     whole = _token_sets(_texts(docs, involved, repeated), size, percent, orders)
     if repeated is not None:  # texts of one id and set
         whole = whole.dropDuplicates(["doc_id", "set_hash"])
     whole = written(whole.join(known, "set_hash", "left").where("rep is null or rep = doc_id").withColumn("grp", F.coalesce("grp", "doc_id")).drop("rep"), "join-sets")
     rows = whole.select("set_hash", "doc_id", "n", "grp", F.explode("tokens").alias("token"))
-    counts = written(_mixed(rows), "join-tokens")
+    counts = rows.groupBy("token").agg(F.count("*").alias("df"), F.min("grp").alias("low"), F.max("grp").alias("high")).where("low <> high").select("token", "df")
+    counts = written(counts, "join-tokens")
     prefix = written(_ranked(rows, counts, ["set_hash", "doc_id"], "n", F.expr(f"(n * {percent} + 99) div 100")), "join-prefix")
     # A token may be one home's but for a few rows: these meet all rows, and the home's rows not each other.
     of_group = prefix.groupBy("token", "grp").agg(F.count("*").alias("times"))
@@ -334,7 +345,7 @@ def _cross_links(sets: DataFrame, known: DataFrame, docs: DataFrame, repeated: D
     met = written(pairs.join(light.alias("x"), F.expr("a = x.set_hash")).join(light.alias("y"), F.expr("b = y.set_hash")).where(_orders_meet(orders)).select("a", "b"), "join-met")
     both = met.join(some.alias("x"), F.expr("a = x.set_hash")).join(some.alias("y"), F.expr("b = y.set_hash"))
     links = written(both.where(F.expr(f"size(array_intersect(x.tokens, y.tokens)) >= {need}")).select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b")).distinct(), "join-links")
-    discard(mixed, involved, whole, counts, prefix, pairs, met)
+    discard(near, involved, whole, counts, prefix, pairs, met)
     return links
 
 
