@@ -91,6 +91,10 @@ def test_repairs(spark):
 def test_labels(spark):
     reply = '1: Ancient Egypt, "x", b\n3: one, two, three, four\n3: Last Wins\nnoise'
     assert one(spark, reply, T.parse_label_reply(F.col("v"), F.lit(4))) == [["ancient-egypt"], ["general"], ["last-wins"], ["general"]]
+    single = labels.prompts(spark.createDataFrame([(1, 0, "only one")], "scope bigint, ord bigint, text string")).first()
+    assert single.prompt == labels.SINGLE_PROMPT + "only one"
+    told = labels.topic_labels(spark.createDataFrame([(1, 5, "only one"), (2, 0, "x y"), (2, 1, "z")], "scope bigint, ord bigint, text string"), lambda p: "Red, Blue" if "only" in p else "2: Green thing")
+    assert sorted((r.scope, r.ord_, r.labels) for r in told.collect()) == [(1, 0, ["red", "blue"]), (2, 0, ["general"]), (2, 1, ["green-thing"])]
     units = spark.createDataFrame([(1, k, f"statement {k}") for k in range(70)], "scope bigint, ord bigint, text string")
     asked = labels.prompts(units)
     assert sorted((r.chunk, r.n) for r in asked.collect()) == [(0, 50), (1, 20)]
@@ -128,6 +132,28 @@ def test_fuzzy_dedup_is_sequential(spark):
     assert found == expected
 
 
+def test_pairs_above_a_threshold(spark):
+    rng = random.Random(6)
+    words = [f"w{k}" for k in range(25)] + ["the", "x"]
+    rows = [(s, k, " ".join(rng.choices(words, k=rng.randrange(0, 9)))) for s in range(2) for k in range(60)]
+    df = spark.createDataFrame(rows, "scope bigint, ord bigint, text string")
+    for threshold in (0.3, 0.65, 0.85, 1.0):
+        expected = {(s, i, j) for s, i, a in rows for t, j, b in rows if s == t and i < j and plain_similarity(a, b) >= threshold}
+        assert {(r.scope, r.i, r.j) for r in similarity.pairwise_threshold(df, threshold).collect()} == expected
+    best = {(r.scope, r.query, r.ord) for r in similarity.find_similar(df.where("ord < 5"), df, 0.65).collect()}
+    assert best == {(s, i, j) for s, i, a in rows for t, j, b in rows if s == t and i < 5 and plain_similarity(a, b) >= 0.65}
+
+
+def test_injected_embedder(spark):
+    from veritloom.operators.embed import dense_topk, embed
+
+    df = spark.createDataFrame([(1, 0, "aa b"), (1, 1, "aa b"), (1, 2, "b b b"), (1, 3, None)], "scope bigint, ord bigint, text string")
+    found = embed(df, lambda: lambda texts: [[t.count("a"), t.count("b")] for t in texts]).orderBy("ord").collect()
+    assert [r.vector for r in found] == [[2.0, 1.0], [2.0, 1.0], [0.0, 3.0], None]
+    vectors = spark.createDataFrame([(1, r.ord, r.vector) for r in found[:3]], "scope bigint, ord bigint, vector array<double>")
+    assert [(r.i, r.j) for r in dense_topk(vectors, 1).orderBy("i", "j").collect()] == [(0, 1), (0, 2)]
+
+
 def test_topk_fills_with_zeros_in_order(spark):
     texts = ["alpha beta", "gamma delta", "alpha gamma", "solo", "other", "beta beta"]
     rows = [(1, k, t) for k, t in enumerate(texts)]
@@ -185,7 +211,7 @@ def test_capped_search_is_first_in_first_out(spark):
                         queue.append((t if s == node else s, d + 1))
         found = projection.discover("n00", node_table, w, e, projection.ProjectionParameters(0.3, 5, depth, cap)).orderBy("rank").collect()
         assert [r.node_id for r in found] == list(seen)
-    with pytest.raises(ValueError, match="no such node"):
+    with pytest.raises(ValueError, match="first atomic ones are: n00, n01, .*n09$"):
         projection.discover("nobody", node_table, w, e, projection.ProjectionParameters())
     with pytest.raises(ValueError, match="out of range"):
         projection.ProjectionParameters(coherence_threshold=2)
@@ -226,6 +252,16 @@ def test_chat_export(spark, tmp_path):
     assert [(r.conversation_id, r.message_id, r.ts, r.text) for r in rows] == [("c1", "m2", "1970-01-01T00:00:00", "one\ntwo"), ("c1", "a2", "2024-01-01", "three"), ("c1", "m3", None, "four")]
 
 
+def test_bad_exports_are_named_and_circles_end(spark, tmp_path):
+    say = lambda id_: {"id": id_, "author": {"role": "assistant"}, "create_time": None, "content": {"parts": [id_]}}
+    tree = {"r": {"parent": None, "children": ["a", "b"], "message": None}, "a": {"parent": "r", "children": ["b"], "message": say("a")}, "b": {"parent": "a", "children": ["a", "b"], "message": say("b")}}
+    (tmp_path / "good.json").write_text(json.dumps({"id": "c", "title": "t", "mapping": tree}))
+    (tmp_path / "bad.json").write_text('{"id": "c", "mapping": {')
+    assert [r.message_id for r in tables.walk_messages(tables.read_chat(spark, str(tmp_path))).orderBy("ord").collect()] == ["a", "b"]
+    bad = tables.bad_chat_files(spark, str(tmp_path)).collect()
+    assert [r.source_file.rsplit("/", 1)[1] for r in bad] == ["bad.json"] and bad[0].n_bytes > 0
+
+
 # Pipeline, sinks, stream
 
 DOCS = [(1, "f1", "Neural networks learn patterns quickly. Neural networks learn patterns quickly. It fails here badly. Gradient descent requires patterns data"), (2, "f2", "Neural networks learn patterns quickly. Databases store records on disks")]
@@ -248,6 +284,49 @@ def test_ingest_and_round_trip(spark, tmp_path):
     assert json.loads(tables.graph_state(out).first()["value"])["atomic_nodes"]
 
 
+def test_evidence_names_the_context(spark):
+    out = ingest(spark.createDataFrame(DOCS, DOC_SCHEMA))
+    contexts = {r.node_id for r in out.nodes.where("node_type = 'context'").collect()}
+    found = [r.evidence[0] for table in (out.nodes.where("node_type = 'atomic'"), out.edges, out.candidates) for r in table.collect()]
+    assert found and all(e.source in contexts and e.span is not None for e in found)
+    assert [r.record_id for r in out.provenance.orderBy("record_id").collect()] == ["prov_000000", "prov_000001"]
+
+
+def test_near_duplicates_across_documents(spark):
+    docs = [(1, "f1", "Neural networks learn hidden patterns from training data quickly. Databases store many records on disks"), (2, "f2", "Neural networks learn hidden patterns from training data slowly. Compilers translate programs into machine code")]
+    df = spark.createDataFrame(docs, DOC_SCHEMA)
+    said = lambda out: sorted(r.statement for r in out.nodes.where("node_type = 'atomic'").collect())
+    alone, whole = said(ingest(df)), said(ingest(df, scope="corpus"))
+    assert len(alone) == 4 and len(whole) == 3 and "Neural networks learn hidden patterns from training data quickly" in whole
+    first = ingest(df.where("doc_id = 1"), scope="corpus")
+    known = first.nodes.where("node_type = 'atomic'").select("node_id", "statement")
+    assert said(ingest(df.where("doc_id = 2"), known, scope="corpus")) == ["Compilers translate programs into machine code"]
+    with pytest.raises(ValueError, match="no such scope"):
+        ingest(df, scope="all")
+
+
+def test_reload_names_faults(spark):
+    nodes = spark.createDataFrame([("a", "2024-01-01T00:00:00"), ("b", "yesterday"), ("c", None)], "node_id string, created_at string")
+    edges = spark.createDataFrame([("a", "b", "refines"), ("a", "x", "refines")], "source string, target string, type string")
+    none = nodes.limit(0)
+    found = tables.truth_faults(graph.TruthDelta(nodes, edges, edges.where("target = 'b'"), none, none)).collect()
+    assert sorted(map(tuple, found)) == [("edges", "a x", "end"), ("nodes", "b", "time")]
+
+
+def test_texts_fall_back_to_latin_1(spark, tmp_path):
+    (tmp_path / "a.txt").write_bytes("schön".encode())
+    (tmp_path / "b.txt").write_bytes("schön".encode("latin-1"))
+    assert [r.text for r in tables.read_texts(spark, str(tmp_path)).collect()] == ["schön", "schön"]
+
+
+def test_rows_numbered_over_partitions(spark):
+    from veritloom.plans.lineage import numbered
+
+    rows = numbered(spark.range(1000).selectExpr("(id * 7919) % 1000 as x").repartition(7), "seq", "x").collect()
+    assert all(r.seq == r.x for r in rows) and len(rows) == 1000
+    assert numbered(spark.range(0), "seq", "id").count() == 0
+
+
 def test_stream_knows_earlier_batches(spark, tmp_path):
     source = tmp_path / "in"
     df = spark.createDataFrame(DOCS, DOC_SCHEMA)

@@ -114,6 +114,14 @@ def graph_stats(nodes: DataFrame, edges: DataFrame, weights: DataFrame, candidat
     )
 
 
+def engine_statistics(nodes: DataFrame, edges: DataFrame, weights: DataFrame, candidates: DataFrame) -> DataFrame:
+    """One row of the sizes of a graph, and how many atomic nodes have no edge."""
+    ends = edges.select("source", "target", "type").union(weights.select("source", "target", "type"))
+    alone = orphans(nodes, ends).agg(F.count("*")).scalar()
+    stats = graph_stats(nodes, edges, weights, candidates)
+    return stats.select("atomic_nodes", "context_nodes", "directed_edges", "weighted_edges", "candidates", alone.alias("orphans"))
+
+
 def validate_structure(stats: DataFrame) -> DataFrame:
     """Warnings about a graph, from :func:`graph_stats`."""
     total = F.col("atomic_nodes") + F.col("context_nodes")

@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 import random
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -56,32 +57,22 @@ def _places(n: int, links: list[tuple[int, int, float]], seed: int, rounds: int)
     for _ in range(n):
         turn, tilt = rng.uniform(0, 2 * math.pi), rng.uniform(0, math.pi)
         place.append([RADIUS * math.sin(tilt) * math.cos(turn), RADIUS * math.sin(tilt) * math.sin(turn), RADIUS * math.cos(tilt)])
-    speed = [[0.0] * 3 for _ in range(n)]
-    springs = [(a, b, REST / (w**1.5), w**2) for a, b, w in links]
+    place = np.array(place).reshape(n, 3)
+    speed = np.zeros((n, 3))
+    ends = np.array([(a, b) for a, b, _ in links], np.int64).reshape(-1, 2)
+    rest, pull = np.array([REST / (w**1.5) for *_, w in links]), np.array([w**2 for *_, w in links])
     for _ in range(rounds):
-        push = [[0.0] * 3 for _ in range(n)]
-        for a in range(n):
-            for b in range(a + 1, n):
-                gap = [p - q for p, q in zip(place[a], place[b], strict=True)]
-                squared = gap[0] * gap[0] + gap[1] * gap[1] + gap[2] * gap[2] + SOFTENING
-                far, strength = math.sqrt(squared), REPULSION / squared
-                for x in range(3):
-                    part = (gap[x] / far) * strength
-                    push[a][x] += part
-                    push[b][x] -= part
-        for a, b, rest, pull in springs:
-            gap = [q - p for p, q in zip(place[a], place[b], strict=True)]
-            far = math.sqrt(gap[0] * gap[0] + gap[1] * gap[1] + gap[2] * gap[2] + SOFTENING)
-            strength = SPRING * (far - rest) * pull
-            for x in range(3):
-                part = (gap[x] / far) * strength
-                push[a][x] += part
-                push[b][x] -= part
-        for a in range(n):
-            for x in range(3):
-                speed[a][x] = (speed[a][x] + push[a][x]) * DAMPING
-                place[a][x] += speed[a][x]
-    return place
+        gap = place[None, :, :] - place[:, None, :]  # [from, to, axis]
+        squared = gap[..., 0] * gap[..., 0] + gap[..., 1] * gap[..., 1] + gap[..., 2] * gap[..., 2] + SOFTENING
+        push = ((gap / np.sqrt(squared)[..., None]) * (REPULSION / squared)[..., None]).sum(axis=0)
+        if len(ends):
+            gap = place[ends[:, 1]] - place[ends[:, 0]]
+            far = np.sqrt(gap[:, 0] * gap[:, 0] + gap[:, 1] * gap[:, 1] + gap[:, 2] * gap[:, 2] + SOFTENING)
+            part = (gap / far[:, None]) * (SPRING * (far - rest) * pull)[:, None]
+            np.add.at(push, ends.ravel(), np.stack([part, -part], axis=1).reshape(-1, 3))
+        speed = (speed + push) * DAMPING
+        place = place + speed
+    return place.tolist()
 
 
 def force_layout(nodes: list[str], edges: list[tuple[str, str, float]], seed: int, rounds: int = ITERATIONS) -> dict[str, tuple[float, float, float]]:
@@ -132,6 +123,25 @@ def styled_edges(edges: DataFrame) -> DataFrame:
     return edges.select("source", "target", weight.alias("weight"), "type", color(F.col("type"), EDGE_COLORS, OTHER_EDGE).alias("color"), F.least(F.greatest(weight, F.lit(0.2)), F.lit(1.0)).alias("opacity"))
 
 
+def snapshot(nodes: DataFrame, edges: DataFrame, seed: int, keep_contexts: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(nodes, edges, metadata) of one projection's 3-D snapshot.
+
+    ``nodes``: node_id, node_type, statement, source_file, node_ord; ``edges``:
+    source, target, edge_type, weight.  Without contexts, unless they are kept.
+    """
+    kept = edges.withColumnRenamed("edge_type", "type")
+    if not keep_contexts:
+        nodes, kept = without_contexts(nodes, kept)
+    one = F.lit(1).cast("bigint").alias("projection_id")
+    spark = nodes.sparkSession
+    places = layout_3d(nodes.select(one, "node_id", "node_ord"), kept.select(one, "source", "target", "weight", F.concat_ws(" ", "source", "target", "type").alias("edge_ord")), spark.range(1).select(one, F.lit(seed).cast("bigint").alias("seed")))
+    styled = styled_nodes(nodes, kept)
+    whole = F.when(F.col("node_type") == "atomic", F.col("statement")).alias("full_statement")
+    points = styled.join(nodes.select("node_id", whole), "node_id").join(places.select("node_id", "x", "y", "z"), "node_id")
+    meta = snapshot_metadata(kept, nodes).withColumns({"layout_algorithm": F.lit("deterministic_force_3d_weighted"), "layout_seed": F.lit(seed).cast("bigint"), "filtered_context_nodes": F.lit(not keep_contexts)})
+    return points, styled_edges(kept), meta
+
+
 def snapshot_metadata(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     scores, ends = weighted_degree(edges), degree(edges)
     return nodes.agg(F.count("*").alias("node_count")).select(

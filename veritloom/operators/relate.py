@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .similarity import positive_pairs
+from .similarity import similarity_of
 
 # Phrases that announce a relation.
 DERIVED_PHRASES = ("derived from", "follows from", "based on")
@@ -17,6 +17,8 @@ REFINES_PHRASES = ("more specifically", "in particular", "more precisely")
 DEPENDS_PHRASES = ("depends on", "requires", "relies on")
 WINDOW = 3
 CLOSE = 0.7
+#: Terms shorter than this relate to nothing.
+KEY = 4
 
 
 def _says(statement: Column, phrases: tuple[str, ...]) -> Column:
@@ -36,9 +38,9 @@ def _evidence(edges: DataFrame) -> DataFrame:
 def derived_from(nodes: DataFrame) -> DataFrame:
     """(scope, i, j): a statement that derives, and the earliest close one among the three before it."""
     units = nodes.select("scope", "ord", F.col("statement").alias("text"))
-    close = positive_pairs(units).where(F.col("sim") > CLOSE).select("scope", F.col("i").alias("j"), F.col("j").alias("i"))
     says = nodes.where(_says(F.col("statement"), DERIVED_PHRASES)).select("scope", F.col("ord").alias("i"))
-    return says.join(close, ["scope", "i"]).where(F.col("j") >= F.col("i") - WINDOW).groupBy("scope", "i").agg(F.min("j").alias("j"))
+    before = says.select("scope", "i", F.explode(F.sequence(F.lit(1), F.lit(WINDOW))).alias("back")).select("scope", "i", (F.col("i") - F.col("back")).alias("j")).where("j >= 0")
+    return similarity_of(before, units).where(F.col("sim") > CLOSE).groupBy("scope", "i").agg(F.min("j").alias("j"))
 
 
 def refines(nodes: DataFrame) -> DataFrame:
@@ -59,8 +61,12 @@ def depends_on(nodes: DataFrame) -> DataFrame:
         at = F.instr(low, F.lit(p))
         suffix = F.when(at > 0, F.substring(low, at, F.length(low))).otherwise(suffix)
     says = nodes.select("scope", F.col("ord").alias("i"), suffix.alias("suffix")).where("suffix is not null")
-    terms = nodes.select("scope", F.col("ord").alias("j"), F.explode("terms").alias("term")).where(F.length("term") > 3).select("scope", "j", F.lower("term").alias("term"))
-    return says.join(terms, "scope").where((F.col("i") != F.col("j")) & F.contains(F.col("suffix"), F.col("term"))).select("scope", "i", "j").distinct()
+    terms = nodes.select("scope", F.col("ord").alias("j"), F.explode("terms").alias("term")).where(F.length("term") >= KEY).select("scope", "j", F.lower("term").alias("term"))
+    # A term that the suffix contains begins where one of the suffix's runs of KEY letters stands.
+    places = F.sequence(F.lit(1), F.greatest(F.length("suffix") - KEY + 1, F.lit(1)))
+    runs = says.withColumn("key", F.explode(F.array_distinct(F.transform(places, lambda p: F.substring(F.col("suffix"), p, F.lit(KEY))))))
+    keyed = terms.withColumn("key", F.substring("term", 1, KEY))
+    return runs.join(keyed, ["scope", "key"]).where((F.col("i") != F.col("j")) & F.contains(F.col("suffix"), F.col("term"))).select("scope", "i", "j").distinct()
 
 
 def typed_edges(nodes: DataFrame, pairs: DataFrame, type_: str) -> DataFrame:

@@ -2,8 +2,9 @@
 
 Statement operators take ``units`` (scope, ord, text): statements are compared
 within one scope (a document, or one value for a corpus) and ``ord`` is their
-order in it.  Only statements that share a token are ever paired; zero
-similarities are filled in from the order alone.
+order in it.  Only statements that share a token are ever paired, and under a
+threshold only those that share one of their rarest; zero similarities are
+filled in from the order alone.
 """
 
 from __future__ import annotations
@@ -51,21 +52,51 @@ def positive_pairs(units: DataFrame) -> DataFrame:
     )
 
 
+def similarity_of(pairs: DataFrame, units: DataFrame) -> DataFrame:
+    """``pairs`` (scope, i, j) with their sim."""
+    words_in = units.select("scope", "ord", tokens(F.col("text")).alias("v"))
+
+    def common(x: Column, y: Column) -> Column:
+        """The dot product of two statements' term frequencies."""
+        return F.aggregate(x, F.lit(0).cast("bigint"), lambda acc, w: acc + F.size(F.filter(y, lambda u: u == w)))
+
+    x, y = F.col("x"), F.col("y")
+    both = pairs.join(words_in.select("scope", F.col("ord").alias("i"), F.col("v").alias("x")), ["scope", "i"]).join(words_in.select("scope", F.col("ord").alias("j"), F.col("v").alias("y")), ["scope", "j"])
+    return both.select("scope", "i", "j", cosine_of(common(x, y), common(x, x), common(y, y)).alias("sim"))
+
+
+def close_candidates(vectors: DataFrame, threshold: float) -> DataFrame:
+    """(scope, i, j), i < j: the pairs that may reach the threshold, and few others.
+
+    Tokens of a scope rank by frequency.  Where two statements' first common
+    token lies beyond a statement's prefix, their dot product is at most the
+    length of what follows; so a prefix that leaves less than ``threshold`` of
+    the statement's length behind it holds that token, for both statements.
+    """
+    frequency = vectors.groupBy("scope", "token").agg(F.count("*").alias("df")).where("df > 1")
+    ranked = vectors.join(frequency, ["scope", "token"], "left").withColumn("df", F.coalesce("df", F.lit(0)))
+    unit = Window.partitionBy("scope", "ord")
+    # What follows and includes a token, of the whole: tokens of one statement only come first and pair with nothing.
+    rest = F.sum(F.col("tf") * F.col("tf")).over(unit.orderBy("df", "token").rowsBetween(Window.currentRow, Window.unboundedFollowing))
+    whole = F.sum(F.col("tf") * F.col("tf")).over(unit)
+    # Slack of a millionth: rounding may never shorten a prefix.
+    prefix = ranked.withColumn("rest", rest).withColumn("whole", whole).where(F.col("rest") >= F.col("whole") * (threshold * threshold * (1 - 1e-6))).where("df > 0").select("scope", "ord", "token")
+    return prefix.select("scope", "token", F.col("ord").alias("i")).join(prefix.select("scope", "token", F.col("ord").alias("j")), ["scope", "token"]).where("i < j").select("scope", "i", "j").distinct()
+
+
 def pairwise_threshold(units: DataFrame, threshold: float = 0.65) -> DataFrame:
-    return positive_pairs(units).where(F.col("sim") >= threshold)
+    """(scope, i, j, sim), i < j: pairs of a scope at or above a threshold greater than 0."""
+    pairs = close_candidates(term_vectors(units), threshold)
+    return similarity_of(pairs, units).where(F.col("sim") >= threshold)
 
 
 def find_similar(queries: DataFrame, units: DataFrame, threshold: float = 0.85) -> DataFrame:
     """(scope, query, ord, sim, rank): statements of a query's scope at or above the threshold, best first."""
-    q, v = term_vectors(queries), term_vectors(units)
-    a = q.select("scope", "token", F.col("ord").alias("query"), F.col("tf").alias("tf_q"))
-    dots = a.join(v, ["scope", "token"]).groupBy("scope", "query", "ord").agg(F.sum(F.col("tf_q") * F.col("tf")).alias("dot"))
-    found = (
-        dots.join(norms(q).select("scope", F.col("ord").alias("query"), F.col("sq").alias("sq_q")), ["scope", "query"])
-        .join(norms(v), ["scope", "ord"])
-        .select("scope", "query", "ord", cosine_of(F.col("dot"), F.col("sq_q"), F.col("sq")).alias("sim"))
-        .where(F.col("sim") >= threshold)
-    )
+    q, v = queries.select("scope", "ord", "text", F.lit(True).alias("asks")), units.select("scope", "ord", "text", F.lit(False).alias("asks"))
+    # Queries and statements are ranked together, so that both have one order of tokens.
+    vectors = q.union(v).select("scope", F.struct("asks", "ord").alias("ord"), F.explode(tokens(F.col("text"))).alias("token")).groupBy("scope", "ord", "token").agg(F.count("*").alias("tf"))
+    pairs = close_candidates(vectors, threshold).where("not i.asks and j.asks")
+    found = similarity_of(pairs, q.union(v).select("scope", F.struct("asks", "ord").alias("ord"), "text")).where(F.col("sim") >= threshold).select("scope", F.col("j.ord").alias("query"), F.col("i.ord").alias("ord"), "sim")
     return found.withColumn("rank", F.row_number().over(Window.partitionBy("scope", "query").orderBy(F.desc("sim"), "ord")).cast("bigint"))
 
 

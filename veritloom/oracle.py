@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 from .functions.text import TERM_STOPWORDS, VECTOR_STOPWORDS
-from .operators.labels import BATCH_PROMPT
+from .operators.labels import BATCH_PROMPT, SINGLE_PROMPT
+from .plans.projection import PERSPECTIVES
 from .operators.validate import GUARD_PRONOUNS, LIGHT_WORDS, PRONOUNS
 
 
@@ -39,6 +40,34 @@ units AS (SELECT doc_id, c, row_number() OVER (PARTITION BY doc_id ORDER BY i) -
 T2 = f"""WITH {UNITS} SELECT doc_id, ord, unit, st AS start_pos, en AS end_pos,
     substring(c, greatest(st - 100, 0) + 1, en + 100 - greatest(st - 100, 0)) AS context FROM units"""
 
+def _bullets(source: str) -> str:
+    """Bulleted lines of ``source`` (doc_id, text), in order ``i``."""
+    return f"""SELECT doc_id, i, {_strip("regexp_replace(ls[i], '^\\s*[-•*]\\s+', '')")} AS unit, (strpos(c, ls[i]) - 1)::BIGINT AS start_pos, (strpos(c, ls[i]) - 1 + length(ls[i]))::BIGINT AS end_pos,
+    concat_ws(chr(10), CASE WHEN i > 1 THEN ls[i - 1] END, ls[i], ls[i + 1]) AS context
+    FROM (SELECT doc_id, c, ls, unnest(range(1, len(ls) + 1)) AS i FROM (SELECT doc_id, text AS c, string_split(text, chr(10)) AS ls FROM {source})) WHERE regexp_matches(ls[i], '^\\s*[-•*]\\s+')"""
+
+
+_ITEM = "(?m)^\\s*\\d+\\.\\s+(.+)$"
+
+
+def _numbered(source: str) -> str:
+    """Numbered lines of ``source``, in order ``i``."""
+    return f"""SELECT doc_id, i, unit, st AS start_pos, (st + n)::BIGINT AS end_pos, substring(c, greatest(st - 100, 0) + 1, st + n + 100 - greatest(st - 100, 0)) AS context
+    FROM (SELECT doc_id, c, i, {_strip("t[i]")} AS unit, length(h[i]) AS n, (list_sum(list_transform(g[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(h[1:i-1], lambda x: length(x))), 0))::BIGINT AS st
+    FROM (SELECT *, unnest(range(1, len(h) + 1)) AS i FROM (SELECT doc_id, text AS c, string_split_regex(text, '{_ITEM}') AS g, regexp_extract_all(text, '{_ITEM}') AS h, regexp_extract_all(text, '{_ITEM}', 1) AS t FROM {source})))"""
+
+
+def _parts(source: str) -> str:
+    """CTEs that end in ``kept`` (doc_id, c, ord, unit, st, en, context): units of all three kinds without overlaps."""
+    split = _SPLIT.replace("FROM documents", f"FROM {source}")
+    return f"""{split}, every AS (SELECT doc_id, 0 AS kind, i, unit, start_pos AS st, end_pos AS en, context FROM ({_bullets(source)}) WHERE length(unit) > 10
+    UNION ALL SELECT doc_id, 1, i, unit, start_pos, end_pos, context FROM ({_numbered(source)}) WHERE length(unit) > 10
+    UNION ALL SELECT doc_id, 2, i, unit, st, st + length(unit), substring(c, greatest(st - 100, 0) + 1, st + length(unit) + 100 - greatest(st - 100, 0)) FROM r WHERE length(unit) > 10),
+placed AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY st, en - st, kind, i) AS n FROM every),
+folded AS (SELECT doc_id, list_reduce(list({{'last': en, 'st': st, 'out': [n]}} ORDER BY n), lambda a, x: CASE WHEN x.st < a.last THEN a ELSE {{'last': x.last, 'st': x.st, 'out': list_concat(a.out, x.out)}} END, {{'last': -1::BIGINT, 'st': 0::BIGINT, 'out': []::BIGINT[]}}) AS f FROM placed GROUP BY doc_id),
+kept AS (SELECT p.doc_id, row_number() OVER (PARTITION BY p.doc_id ORDER BY n) - 1 AS ord, unit, st, en, context FROM placed p JOIN (SELECT doc_id, unnest(f.out) AS n FROM folded) USING (doc_id, n))"""
+
+
 T3 = f"""WITH l AS (SELECT doc_id, text AS c, string_split(text, chr(10)) AS ls FROM {MARKED}),
 p AS (SELECT doc_id, c, ls, unnest(range(1, len(ls) + 1)) AS i FROM l),
 u AS (SELECT doc_id, i, {_strip("regexp_replace(ls[i], '^\\s*[-•*]\\s+', '')")} AS unit, (strpos(c, ls[i]) - 1)::BIGINT AS start_pos, (strpos(c, ls[i]) - 1 + length(ls[i]))::BIGINT AS end_pos,
@@ -53,6 +82,10 @@ SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS ord, un
 
 T6 = f"""WITH {UNITS} SELECT doc_id, ord, unit, (strpos(c, unit) - 1)::BIGINT AS start_pos, (strpos(c, unit) - 1 + length(unit))::BIGINT AS end_pos FROM units"""
 T8 = T6
+T5 = f"WITH {_parts(MARKED)} SELECT doc_id, ord, unit, st AS start_pos, en AS end_pos, context FROM kept"
+_CLEAN = f"(SELECT doc_id, filtered AS text FROM ({T1}))"
+T8_MARKED = f"""WITH {_parts(_CLEAN)}, o AS (SELECT doc_id, text AS whole FROM {MARKED}), found AS (SELECT k.*, strpos(whole, unit) AS spot FROM kept k JOIN o USING (doc_id) WHERE strpos(whole, unit) > 0)
+SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY ord) - 1 AS ord, unit, (spot - 1)::BIGINT AS start_pos, (spot - 1 + length(unit))::BIGINT AS end_pos, context FROM found"""
 
 
 def _hash(x: str) -> str:
@@ -144,7 +177,8 @@ f AS (SELECT doc_id, k, list_filter(ts, lambda t, i: ns[i] = (k + 1)::VARCHAR) A
 SELECT doc_id, k, CASE WHEN len(mine) = 0 THEN 'general' ELSE array_to_string({_labels('mine[-1]')}, '|') END AS labels FROM f"""
 T13 = f"WITH {UNITS} SELECT doc_id, ord, array_to_string({_labels('unit')}, '|') AS labels FROM units"
 _PROMPT = BATCH_PROMPT.replace("'", "''")
-T14 = f"""WITH {UNITS} SELECT doc_id, ord // 50 AS chunk, count(*) AS n, sha256('{_PROMPT}' || string_agg((ord % 50 + 1)::VARCHAR || '. ' || unit, chr(10) ORDER BY ord)) AS prompt_sha256 FROM units GROUP BY ALL"""
+_SINGLE = SINGLE_PROMPT.replace("'", "''")
+T14 = f"""WITH {UNITS} SELECT doc_id, ord // 50 AS chunk, count(*) AS n, sha256(CASE WHEN count(*) = 1 THEN '{_SINGLE}' || any_value(unit) ELSE '{_PROMPT}' || string_agg((ord % 50 + 1)::VARCHAR || '. ' || unit, chr(10) ORDER BY ord) END) AS prompt_sha256 FROM units GROUP BY ALL"""
 T17 = f"WITH {UNITS} SELECT doc_id, ord, substring(unit, 1, 40) AS label_3d, substring(unit, 1, 50) || '...' AS label_html FROM units"
 T18 = "SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN '#4A90E2' WHEN 1 THEN '#9B9B9B' ELSE '#999999' END AS color FROM documents"
 T19 = "SELECT doc_id, ('0x' || substring(sha256('context_' || substring(sha256(text), 1, 16) || '_0.2_1'), 1, 8))::BIGINT AS seed FROM documents"
@@ -179,8 +213,9 @@ SIMS = f"{UNITS}, {_US}, {_vectors('us')}"
 J2 = f"WITH {SIMS} SELECT scope AS doc_id, ord, sq AS squared_norm FROM sq"
 J3 = "SELECT a.vec_id, round(greatest(0.0, least(1.0, list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]))), 6) AS cosine FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1"
 J4 = f"WITH {SIMS} SELECT scope AS doc_id, i, round(sim, 9) AS sim FROM pos WHERE j = i + 1"
-J5 = f"""WITH {SIMS} SELECT scope AS doc_id, ord, round(sim, 9) AS sim, row_number() OVER (PARTITION BY scope ORDER BY sim DESC, ord) AS rank
-FROM (SELECT scope, j AS ord, sim FROM pos WHERE i = 0 UNION ALL SELECT scope, ord, greatest(0.0, least(1.0, sq::DOUBLE / (sqrt(sq::DOUBLE) * sqrt(sq::DOUBLE)))) FROM sq WHERE ord = 0) WHERE sim >= 0.3"""
+J1 = f"WITH {UNITS} SELECT doc_id, ord, length(unit)::DOUBLE AS v0, (length(unit) - length(replace(unit, ' ', '')))::DOUBLE AS v1, (length(unit) - length(replace(unit, 'e', '')))::DOUBLE AS v2, (length(unit) - length(replace(unit, 'a', '')))::DOUBLE AS v3 FROM units"
+J5 = f"""WITH {SIMS} SELECT scope AS doc_id, q AS query, ord, round(sim, 9) AS sim, row_number() OVER (PARTITION BY scope, q ORDER BY sim DESC, ord) AS rank
+FROM (SELECT scope, i AS q, j AS ord, sim FROM pos UNION ALL SELECT scope, j, i, sim FROM pos UNION ALL SELECT scope, ord, ord, greatest(0.0, least(1.0, sq::DOUBLE / (sqrt(sq::DOUBLE) * sqrt(sq::DOUBLE)))) FROM sq) WHERE sim >= 0.85"""
 J6 = f"WITH {SIMS} SELECT scope AS doc_id, i, j, round(sim, 9) AS sim FROM pos WHERE sim >= 0.65"
 J7 = f"WITH {SIMS}, {_topk('us', 10)} SELECT scope AS doc_id, i, j, round(sim, 9) AS sim FROM top"
 
@@ -201,6 +236,23 @@ def _told(phrase: str) -> str:
 told AS MATERIALIZED (SELECT doc_id AS scope, ord, node_id, terms, st, CASE WHEN ord % 4 = 1 THEN statement || ' {phrase} ' || coalesce(lower(after_[1]), 'nothing') ELSE statement END AS statement FROM led)"""
 
 
+J9 = f"""WITH {NODES}, before_ AS (SELECT *, lag(statement) OVER (PARTITION BY doc_id ORDER BY ord) AS b FROM nodes),
+told AS MATERIALIZED (SELECT doc_id AS scope, ord, CASE WHEN ord % 4 = 1 THEN coalesce(b, 'nothing') || ' is based on it' ELSE statement END AS text FROM before_), {_vectors('told')}
+SELECT t.scope AS doc_id, t.ord AS i, min(p.i) AS j FROM told t JOIN pos p ON p.scope = t.scope AND p.j = t.ord AND p.i >= t.ord - 3
+WHERE (contains(lower(text), 'derived from') OR contains(lower(text), 'follows from') OR contains(lower(text), 'based on')) AND sim > 0.7 GROUP BY ALL"""
+J13 = """SELECT 'context_' || substring(sha256(text), 1, 16) AS source, 'context_' || substring(sha256(source), 1, 16) AS target, 'authored_by' AS type FROM documents WHERE doc_id % 3 <> 0"""
+
+
+def _lasting(units: str, near: str) -> str:
+    """CTE ``stays`` (scope, ord) of ``units`` (scope, ord): each goes, in order, if it is near (scope, i, j) to one that stayed."""
+    return f"""waits AS (SELECT scope, j, list(i) AS nb FROM {near} GROUP BY ALL),
+lost AS (SELECT scope, unnest(list_reduce(list({{'gone': [j], 'nb': nb}} ORDER BY j), lambda a, x: CASE WHEN len(list_filter(x.nb, lambda i: NOT list_contains(a.gone, i))) > 0 THEN {{'gone': list_concat(a.gone, x.gone), 'nb': a.nb}} ELSE a END, {{'gone': []::BIGINT[], 'nb': []::BIGINT[]}}).gone) AS ord FROM waits GROUP BY scope),
+stays AS MATERIALIZED (SELECT scope, ord FROM {units} u WHERE NOT EXISTS (SELECT 1 FROM lost l WHERE l.scope = u.scope AND l.ord = u.ord))"""
+
+
+J15 = f"""WITH {SIMS}, close AS (SELECT * FROM pos WHERE sim >= 0.85), {_lasting('us', 'close')} SELECT scope AS doc_id, ord, text FROM us JOIN stays USING (scope, ord)"""
+J15_CORPUS = f"""WITH {NODES}, us AS MATERIALIZED (SELECT 0 AS scope, row_number() OVER (ORDER BY doc_id, ord) AS ord, doc_id, ord AS own, statement AS text FROM nodes), {_vectors('us')}, close AS (SELECT * FROM pos WHERE sim >= 0.85), {_lasting('us', 'close')}
+SELECT doc_id, own AS ord FROM us JOIN stays USING (scope, ord)"""
 J10 = f"""WITH {NODES}, {_told('in particular')} SELECT a.scope AS doc_id, a.ord AS i, min(b.ord) AS j FROM told a JOIN told b ON a.scope = b.scope AND a.ord <> b.ord
 WHERE (contains(lower(a.statement), 'more specifically') OR contains(lower(a.statement), 'in particular') OR contains(lower(a.statement), 'more precisely'))
     AND len(b.terms) > 0 AND list_has_all(a.terms, b.terms) GROUP BY ALL"""
@@ -213,16 +265,17 @@ J11 = f"WITH {NODES}, {_told('requires')}, {_DEPENDS} SELECT scope AS doc_id, i,
 J14 = f"WITH {NODES}, {_told('requires')}, {_DEPENDS} SELECT source, target, 'depends_on' AS type, st::INTEGER AS span_start FROM dep"
 J12 = f"WITH {NODES} SELECT node_id AS source, context_id AS target, 'appears_in' AS type FROM nodes"
 J16 = f"""WITH {NODES} SELECT doc_id || '_' || ord AS query_id, n.node_id FROM (SELECT u.doc_id, u.ord, 'atomic_' || {_hash('unit')} AS h FROM units u) q JOIN (SELECT node_id FROM nodes) n ON n.node_id = q.h"""
-J17 = f"""WITH {GRAPH} SELECT 'node' AS section, count(*) AS n, min(node_id) AS first_key FROM gnodes WHERE node_id NOT IN (SELECT node_id FROM gnodes WHERE node_ord < 100000000)
-UNION ALL SELECT 'edge', count(*), min(source || target) FROM edges e WHERE NOT EXISTS (SELECT 1 FROM edges o WHERE o.edge_ord < 100000000 AND o.source = e.source AND o.target = e.target AND o.type = e.type)
-UNION ALL SELECT 'weight', count(*), min(source || target) FROM weights e WHERE NOT EXISTS (SELECT 1 FROM weights o WHERE o.edge_ord < 100000000000 AND o.source = e.source AND o.target = e.target)"""
+_ENGLISH = "(SELECT doc_id FROM documents WHERE lang = 'en')"
+J17 = f"""WITH {GRAPH} SELECT 'node' AS section, count(*) AS n, min(node_id) AS first_key FROM gnodes WHERE node_id NOT IN (SELECT node_id FROM gnodes WHERE node_ord // 1000000 IN {_ENGLISH})
+UNION ALL SELECT 'edge', count(*), min(source || target) FROM edges e WHERE NOT EXISTS (SELECT 1 FROM edges o WHERE o.edge_ord // 1000000 IN {_ENGLISH} AND o.source = e.source AND o.target = e.target AND o.type = e.type)
+UNION ALL SELECT 'weight', count(*), min(source || target) FROM weights e WHERE NOT EXISTS (SELECT 1 FROM weights o WHERE o.edge_ord // 1000000000 IN {_ENGLISH} AND o.source = e.source AND o.target = e.target)"""
 J18 = f"WITH {GRAPH} SELECT node_id FROM gnodes WHERE node_type = 'atomic' AND node_id NOT IN (SELECT source FROM weights WHERE weight > 0.2 UNION ALL SELECT target FROM weights WHERE weight > 0.2)"
 _ENDS = "ends AS (SELECT source AS node, target AS other FROM both_ UNION ALL SELECT target, source FROM both_)"
 _BOTH = "both_ AS (SELECT source, target FROM edges UNION ALL SELECT source, target FROM weights)"
 J19 = f"WITH {GRAPH}, {_BOTH}, {_ENDS} SELECT node, count(DISTINCT other) AS n_neighbours FROM ends GROUP BY node"
 J20 = f"WITH {UNITS} SELECT doc_id, ord, ({_labels('unit')})[1] AS label FROM units"
 J21 = f"WITH {WEIGHTS} SELECT source, target, weight FROM weights ORDER BY edge_ord LIMIT 1"
-J22 = f"WITH {GRAPH}, m AS (SELECT node_id FROM gnodes WHERE node_ord < 100000000) SELECT source, target, type FROM edges WHERE source IN (SELECT node_id FROM m) AND target IN (SELECT node_id FROM m)"
+J22 = f"WITH {GRAPH}, m AS (SELECT node_id FROM gnodes WHERE node_type = 'context' OR len(topic_labels) >= 2) SELECT source, target, type FROM edges WHERE source IN (SELECT node_id FROM m) AND target IN (SELECT node_id FROM m)"
 V12 = f"""WITH {GRAPH}, odd AS (SELECT source, CASE WHEN edge_ord % 3 = 0 THEN target || 'x' ELSE target END AS target, CASE WHEN edge_ord % 5 = 0 THEN 'refines' ELSE type END AS type FROM edges)
 SELECT type, coalesce((type = 'appears_in' AND s.node_type = 'atomic' AND t.node_type = 'context') OR (type = 'refines' AND s.node_type = 'atomic' AND t.node_type = 'atomic'), false) AS valid, count(*) AS n
 FROM odd LEFT JOIN gnodes s ON s.node_id = source LEFT JOIN gnodes t ON t.node_id = target GROUP BY ALL"""
@@ -231,9 +284,12 @@ A1 = f"WITH {GRAPH} SELECT type, count(*) AS n FROM (SELECT type FROM edges UNIO
 _STATS = f"""stats AS (SELECT (SELECT count(*) FROM gnodes WHERE node_type = 'atomic') AS atomic_nodes, (SELECT count(*) FROM gnodes WHERE node_type = 'context') AS context_nodes,
     (SELECT count(*) FROM edges) AS directed_edges, (SELECT count(*) FROM weights) AS weighted_edges, (SELECT count(*) FROM units WHERE len({_violations('unit')}) > 0) AS candidates, (SELECT avg(weight) FROM weights) AS mean_weight)"""
 A2 = f"""WITH {GRAPH}, {_STATS} SELECT * REPLACE (round(mean_weight, 6) AS mean_weight), round((directed_edges + weighted_edges) / atomic_nodes, 6) AS avg_connectivity, round(candidates / greatest(atomic_nodes, 1), 6) AS candidate_ratio FROM stats"""
-A3 = f"WITH {GRAPH}, {_STATS} SELECT atomic_nodes, context_nodes, directed_edges, weighted_edges, 0::BIGINT AS candidates, 0::BIGINT AS orphans FROM stats"
-A4 = f"""WITH {GRAPH}, {_STATS} SELECT atomic_nodes + context_nodes AS nodes, 0::BIGINT AS directed_edges, weighted_edges, candidates,
-    concat_ws('; ', CASE WHEN candidates > 0.5 * (atomic_nodes + context_nodes) THEN 'high candidate ratio' END, CASE WHEN atomic_nodes + context_nodes > 1 THEN 'no edges' END) AS warnings FROM stats"""
+_ALONE = "(SELECT count(*) FROM {} WHERE node_id NOT IN (SELECT source FROM {} UNION ALL SELECT target FROM {}))"
+A3 = f"""WITH {GRAPH}, {_STATS}, {_BOTH} SELECT atomic_nodes, context_nodes, directed_edges, weighted_edges, candidates, {_ALONE.format("nodes", "both_", "both_")} AS orphans FROM stats"""
+A3_BARE = f"""WITH {GRAPH}, {_STATS}, {_told('requires')}, {_DEPENDS}, strong AS (SELECT source, target FROM weights WHERE weight >= 0.2), all_ AS (SELECT source, target FROM strong UNION ALL SELECT source, target FROM dep)
+SELECT atomic_nodes, 0::BIGINT AS context_nodes, (SELECT count(*) FROM dep) AS directed_edges, (SELECT count(*) FROM strong) AS weighted_edges, candidates, {_ALONE.format("nodes", "all_", "all_")} AS orphans FROM stats"""
+A4 = f"""WITH {GRAPH}, {_STATS} SELECT atomic_nodes + context_nodes AS nodes, directed_edges, weighted_edges, candidates,
+    concat_ws('; ', CASE WHEN candidates > 0.5 * (atomic_nodes + context_nodes) THEN 'high candidate ratio' END, CASE WHEN directed_edges = 0 AND atomic_nodes + context_nodes > 1 THEN 'no edges' END) AS warnings FROM stats"""
 A5 = f"WITH {GRAPH}, {_BOTH}, {_ENDS} SELECT node, count(*) AS degree FROM ends GROUP BY node"
 A6 = f"""WITH {GRAPH}, w AS (SELECT source, target, 0.25 AS x FROM edges UNION ALL SELECT source, target, weight FROM weights)
 SELECT node, round(sum(x), 9) AS importance FROM (SELECT source AS node, x FROM w UNION ALL SELECT target, x FROM w) GROUP BY node"""
@@ -246,10 +302,21 @@ A9 = f"""WITH {WEIGHTS}, {_DEG} SELECT (SELECT count(*) FROM nodes) AS node_coun
 _SAID = _SPLIT.replace("FROM documents", "FROM (SELECT conv_id * 1000000 + turn AS doc_id, text FROM conversations WHERE role = 'assistant')")
 A10 = f"""WITH {_SAID}, ok AS (SELECT doc_id, count(*) AS n FROM r WHERE length(unit) > 10 AND len({_violations('unit')}) = 0 GROUP BY doc_id)
 SELECT conv_id, turn, coalesce(n, 0) AS n_valid FROM conversations LEFT JOIN ok ON doc_id = conv_id * 1000000 + turn WHERE role = 'assistant'"""
+_BATCHED = f"""{_SAID}, ok AS (SELECT doc_id, count(*) AS n FROM r WHERE length(unit) > 10 AND len({_violations('unit')}) = 0 GROUP BY doc_id),
+m AS (SELECT conv_id, turn, text, coalesce(n, 0) AS n_valid FROM conversations LEFT JOIN ok ON doc_id = conv_id * 1000000 + turn WHERE role = 'assistant'),
+folded AS (SELECT conv_id, list(turn ORDER BY turn) AS turns, list_reduce(list({{'held': n_valid, 'batch': 0::BIGINT, 'out': []::BIGINT[]}} ORDER BY turn), lambda a, x: {{'held': CASE WHEN a.held + x.held >= 5 THEN 0 ELSE a.held + x.held END, 'batch': a.batch + CASE WHEN a.held + x.held >= 5 THEN 1 ELSE 0 END, 'out': list_append(a.out, a.batch)}},
+    {{'held': 0::BIGINT, 'batch': 0::BIGINT, 'out': []::BIGINT[]}}).out AS bs FROM m GROUP BY conv_id),
+batched AS (SELECT conv_id, unnest(turns) AS turn, unnest(bs) AS batch FROM folded)"""
+A11 = f"WITH {_BATCHED} SELECT conv_id, turn, n_valid, batch FROM m JOIN batched USING (conv_id, turn)"
+T21 = f"""WITH {_BATCHED}, placed AS (SELECT *, row_number() OVER (PARTITION BY conv_id, batch ORDER BY turn) AS k FROM m JOIN batched USING (conv_id, turn))
+SELECT conv_id, batch, count(*) AS n_messages, string_agg(chr(10) || '--- Message ' || k || ' ---' || chr(10) || text || chr(10), '' ORDER BY k) AS content FROM placed GROUP BY ALL"""
 A12 = f"WITH {UNITS} SELECT doc_id, ord // 50 AS chunk, count(*) AS n FROM units GROUP BY ALL"
 A13 = "SELECT conv_id, turn, 'prov_' || lpad((row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1)::VARCHAR, 6, '0') AS record_id FROM conversations"
 S3 = f"SELECT conv_id, turn, {_strip('text')} AS text FROM conversations WHERE role = 'assistant' AND length({_strip('text')}) > 0"
 
+S3_TREE = f"""WITH said AS (SELECT conv_id, turn, {_strip('text')} AS text FROM conversations WHERE role = 'assistant')
+SELECT conv_id, conv_id || '-' || turn AS message_id, strftime(make_timestamp((turn * 60 * 1000000)::BIGINT), '%Y-%m-%dT%H:%M:%S') AS ts, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS ord FROM said WHERE length(text) > 0"""
+
 _ADJ = """adj AS (SELECT source AS node, target AS other, weight, kind FROM st UNION ALL SELECT target, source, weight, kind FROM st)"""
 _STEP = "st AS (SELECT source, target, weight, 0::BIGINT AS kind FROM weights WHERE weight >= 0.2 UNION ALL SELECT source, target, 1.0, 1 FROM edges)"
 _FOCUS = """foc AS (SELECT node_id, coalesce(c, 0) AS degree FROM gnodes LEFT JOIN (SELECT node, count(*) AS c FROM ends GROUP BY node) ON node = node_id WHERE node_type = 'atomic' ORDER BY coalesce(c, 0) DESC, node_ord LIMIT 1)"""
@@ -257,6 +324,45 @@ P9 = f"WITH {GRAPH}, {_BOTH}, {_ENDS}, {_FOCUS} SELECT node_id, degree FROM foc"
 P1 = f"""WITH RECURSIVE {GRAPH}, {_BOTH}, {_ENDS}, {_FOCUS}, {_STEP}, {_ADJ},
 walk AS (SELECT node_id, 0 AS depth FROM foc UNION SELECT other, depth + 1 FROM walk JOIN adj ON node = node_id WHERE depth < 2)
 SELECT node_id, min(depth)::BIGINT AS depth FROM walk GROUP BY node_id"""
+
+
+def _search(k: int, threshold: float, depth: int, cap: int) -> str:
+    """CTE ``found{k}`` (node_id, rank, depth) of the capped search from ``foc``, after GRAPH; adj{k} has its steps."""
+    out = f"""adj{k} AS MATERIALIZED (SELECT source AS node, target AS other, 0 AS kind, edge_ord FROM weights WHERE weight >= {threshold} UNION ALL SELECT target, source, 0, edge_ord FROM weights WHERE weight >= {threshold}
+    UNION ALL SELECT source, target, 1, edge_ord FROM edges UNION ALL SELECT target, source, 1, edge_ord FROM edges),
+f{k}_0 AS MATERIALIZED (SELECT node_id, 0::BIGINT AS rank, 0::BIGINT AS depth FROM foc)"""
+    for d in range(1, depth + 1):
+        out += f""",
+a{k}_{d} AS (SELECT other AS node_id, min(row(rank, kind, edge_ord)) AS key FROM (SELECT * FROM f{k}_{d - 1} WHERE depth = {d - 1}) JOIN adj{k} ON node = node_id WHERE other NOT IN (SELECT node_id FROM f{k}_{d - 1}) AND other IN (SELECT node_id FROM gnodes) GROUP BY other),
+f{k}_{d} AS MATERIALIZED (SELECT * FROM f{k}_{d - 1} UNION ALL SELECT node_id, rank, {d}::BIGINT FROM (SELECT node_id, row_number() OVER (ORDER BY key, node_id) - 1 + (SELECT count(*) FROM f{k}_{d - 1}) AS rank FROM a{k}_{d}) WHERE rank < {cap})"""
+    return out + f",\nfound{k} AS MATERIALIZED (SELECT * FROM f{k}_{depth})"
+
+
+def _kept_edges(k: int, threshold: float, top: int) -> str:
+    """CTE ``kept{k}`` (source, target, edge_type, weight) within ``found{k}``."""
+    inside = f"source IN (SELECT node_id FROM found{k}) AND target IN (SELECT node_id FROM found{k})"
+    return f"""w{k} AS (SELECT * FROM weights WHERE weight >= {threshold} AND {inside}),
+i{k} AS (SELECT source AS node, target AS other, source, target, weight, edge_ord FROM w{k} UNION ALL SELECT target, source, source, target, weight, edge_ord FROM w{k}),
+t{k} AS (SELECT * FROM i{k} QUALIFY row_number() OVER (PARTITION BY node ORDER BY weight DESC, other, edge_ord) <= {top}),
+u{k} AS (SELECT source, target, weight FROM t{k} QUALIFY row_number() OVER (PARTITION BY least(source, target), greatest(source, target) ORDER BY edge_ord) = 1),
+kept{k} AS MATERIALIZED (SELECT source, target, 'related_to' AS edge_type, weight FROM u{k} UNION ALL SELECT source, target, type, NULL FROM edges WHERE {inside})"""
+
+
+_AROUND = f"WITH {GRAPH}, {_BOTH}, {_ENDS}, {_FOCUS}"
+P1_CAPPED = f"{_AROUND}, {_search(0, 0.2, 5, 100)} SELECT node_id, rank, depth FROM found0"
+P6 = f"WITH {GRAPH} SELECT node_id, substring(statement, 1, 60) AS statement FROM gnodes WHERE node_type = 'atomic' ORDER BY node_ord LIMIT 10"
+P7 = f"{_AROUND}, {_search(0, 0.2, 3, 60)}, {_kept_edges(0, 0.2, 3)} SELECT * FROM kept0"
+P8 = _AROUND + "".join(f", {_search(k, t, depth, cap)}, {_kept_edges(k, t, top)}" for k, (t, top, depth, cap) in enumerate(PERSPECTIVES, 1)) + " " + " UNION ALL ".join(
+    f"""SELECT node_count, edge_count, CASE WHEN node_count > 0 THEN round(2 * edge_count / node_count, 2) ELSE 0.0 END AS average_degree, round(edge_count / CASE WHEN node_count > 1 THEN node_count * (node_count - 1) / 2 ELSE 1.0 END, 4) AS density, {k}::BIGINT AS perspective
+FROM (SELECT (SELECT count(*) FROM found{k}) AS node_count, (SELECT count(*) FROM kept{k}) AS edge_count)"""
+    for k in range(1, len(PERSPECTIVES) + 1)
+)
+X3 = f"""{_AROUND}, {_search(0, 0.2, 3, 60)}, {_kept_edges(0, 0.2, 3)},
+inner_ AS (SELECT source, target, coalesce(weight, 0.5) * CASE edge_type WHEN 'depends_on' THEN 2.0 WHEN 'related_to' THEN 1.0 WHEN 'appears_in' THEN 0.5 ELSE 1.0 END AS w FROM kept0 WHERE source IN (SELECT node_id FROM nodes) AND target IN (SELECT node_id FROM nodes)),
+deg AS (SELECT node, count(*) AS degree, sum(w) AS importance FROM (SELECT source AS node, w FROM inner_ UNION ALL SELECT target, w FROM inner_) GROUP BY node), b AS (SELECT coalesce(min(importance), 0) AS lo, coalesce(max(importance), 1) AS hi FROM deg)
+SELECT n.node_id, coalesce(degree, 0) AS degree, round(coalesce(importance, 0), 9) AS importance, round(0.3 + pow(greatest((coalesce(importance, 0) - lo) / (hi - lo + 0.01), 0), 0.7) * 2.7, 6) AS size, '#4A90E2' AS color, substring(statement, 1, 40) AS label, statement AS full_statement
+FROM nodes n JOIN found0 f ON f.node_id = n.node_id LEFT JOIN deg ON node = n.node_id, b"""
+K1 = f"""WITH {GRAPH}, ids AS (SELECT node_id FROM gnodes) SELECT 'nodes' AS section, count(*) AS n, min(node_id) AS first_key FROM gnodes UNION ALL SELECT 'edges', count(*), min(source || ' ' || target) FROM edges UNION ALL SELECT 'weights', count(*), min(source || ' ' || target) FROM weights"""
 P2 = f"WITH {GRAPH}, {_STEP}, {_ADJ} SELECT node, other, weight, kind FROM adj"
 V13 = f"WITH {WEIGHTS} SELECT source, target, weight FROM weights WHERE weight >= 0.5"
 V14 = f"""WITH {GRAPH}, {_STEP}, {_ADJ} SELECT node, other FROM adj JOIN gnodes a ON a.node_id = node JOIN gnodes b ON b.node_id = other
@@ -276,3 +382,24 @@ X4 = """SELECT label::BIGINT AS projection_id, vec_id::VARCHAR AS node_id, round
 X1 = f"""WITH {TERMED} SELECT doc_id, ord, CASE WHEN len(terms) = 0 THEN 'general' ELSE array_to_string(list_transform(terms, lambda t: lower(t))[1:3], '|') END AS labels FROM termed"""
 U1 = f"""WITH b AS ({T3}), n AS ({T4}) SELECT doc_id, count(*) AS n FROM (SELECT doc_id FROM b UNION ALL SELECT doc_id FROM n) GROUP BY doc_id"""
 FLAGSHIP = f"WITH {NODES} SELECT doc_id, count(*) AS statements, sum(len(terms))::BIGINT AS terms, min(node_id) AS first_node FROM nodes GROUP BY doc_id"
+
+_ASKED = f"""asked AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY ord) - 1 AS ord, regexp_replace(statement, '[^A-Za-z ]', '', 'g') AS text FROM nodes WHERE NOT contains(statement, chr(10)) AND length(trim(regexp_replace(statement, '[^A-Za-z ]', '', 'g'))) > 0)"""
+X1_ASKED = f"""WITH {NODES}, {_ASKED} SELECT doc_id, ord, array_to_string({_labels(f"array_to_string({_words('text')}[1:2], ', ')")}, '|') AS labels FROM asked"""
+
+# The whole ingestion: units, rules, near duplicates of a document, equal statements, relations.
+_FRESH = f"""{TERMED.replace("SELECT *, list_concat", "SELECT * REPLACE ((strpos(c, unit) - 1)::BIGINT AS st), list_concat")},
+good AS MATERIALIZED (SELECT doc_id AS scope, ord, unit AS text, terms, c, st FROM termed WHERE len({_violations('unit')}) = 0),
+{_vectors('good')}, close AS (SELECT * FROM pos WHERE sim >= 0.85), {_lasting('good', 'close')},
+first_ AS MATERIALIZED (SELECT 'atomic_' || {_hash('text')} AS node_id, scope, ord, text AS statement, terms, 'context_' || substring(sha256(c), 1, 16) AS context_id, st FROM good JOIN stays USING (scope, ord) QUALIFY row_number() OVER (PARTITION BY node_id ORDER BY scope, ord) = 1),
+told AS MATERIALIZED (SELECT * REPLACE (row_number() OVER (PARTITION BY scope ORDER BY st, node_id) - 1 AS ord) FROM first_),
+says AS (SELECT * FROM told)"""
+_AGAIN = _vectors("again").replace("tok AS", "tok2 AS").replace("vec AS", "vec2 AS").replace("FROM tok ", "FROM tok2 ").replace("sq AS", "sq2 AS", 1).replace("FROM vec ", "FROM vec2 ").replace("JOIN vec ", "JOIN vec2 ").replace("dots AS", "dots2 AS").replace("FROM dots ", "FROM dots2 ").replace("JOIN sq ", "JOIN sq2 ").replace("pos AS", "pos2 AS")
+_TOP = _topk("again", 10).replace("JOIN pos ", "JOIN pos2 ")
+INGEST = f"""WITH {_FRESH}, again AS MATERIALIZED (SELECT scope, ord, statement AS text FROM told), {_AGAIN}, {_TOP}, {_DEPENDS},
+refine AS (SELECT a.scope, a.ord AS i, min(b.ord) AS j FROM told a JOIN told b ON a.scope = b.scope AND a.ord <> b.ord
+    WHERE (contains(lower(a.statement), 'more specifically') OR contains(lower(a.statement), 'in particular') OR contains(lower(a.statement), 'more precisely')) AND len(b.terms) > 0 AND list_has_all(a.terms, b.terms) GROUP BY ALL),
+derive AS (SELECT t.scope, t.ord AS i, min(p.i) AS j FROM told t JOIN pos2 p ON p.scope = t.scope AND p.j = t.ord AND p.i >= t.ord - 3 WHERE (contains(lower(statement), 'derived from') OR contains(lower(statement), 'follows from') OR contains(lower(statement), 'based on')) AND sim > 0.7 GROUP BY ALL),
+ends AS (SELECT scope, i AS ord FROM top UNION ALL SELECT scope, j FROM top)
+SELECT (SELECT count(*) FROM told) AS atomic_nodes, (SELECT count(DISTINCT sha256(text)) FROM documents) AS context_nodes,
+    (SELECT count(*) FROM told) + (SELECT count(*) FROM dep) + (SELECT count(*) FROM refine) + (SELECT count(*) FROM derive) AS directed_edges, (SELECT count(*) FROM top) AS weighted_edges,
+    (SELECT count(*) FROM termed WHERE len({_violations('unit')}) > 0) AS candidates, (SELECT round(avg(sim), 6) FROM top) AS mean_weight, (SELECT count(DISTINCT context_id) FROM told) AS evidence_sources"""

@@ -11,7 +11,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .lineage import cut
+from .lineage import cut, numbered
 
 
 @dataclass(frozen=True)
@@ -31,6 +31,10 @@ class ProjectionParameters:
 PERSPECTIVES = [(0.2, 5, 1, 50), (0.2, 3, 5, 100), (0.5, 5, 1, 30), (0.5, 4, 3, 60), (0.7, 3, 2, 25), (0.7, 2, 4, 50), (0.9, 2, 1, 15)]
 
 
+#: Arrivals of a level that one task may rank.
+ONE_TASK = 100_000
+
+
 @dataclass(frozen=True)
 class Projection:
     params: ProjectionParameters
@@ -69,7 +73,7 @@ def discover(focus: str, nodes: DataFrame, weights: DataFrame, edges: DataFrame,
     found = cut(nodes.where(F.col("node_id") == focus).limit(1).select("node_id", F.lit(0).cast("bigint").alias("rank"), F.lit(0).alias("depth")))
     level, total = found, found.count()
     if not total:
-        raise ValueError(f"no such node: {focus}")
+        raise ValueError(f"no such node: {focus}; the first atomic ones are: " + ", ".join(r["node_id"] for r in first_atomic(nodes).collect()))
     for depth in range(1, params.max_depth + 1):
         room = params.max_nodes - total
         if room <= 0:
@@ -77,8 +81,12 @@ def discover(focus: str, nodes: DataFrame, weights: DataFrame, edges: DataFrame,
         arrivals = level.select(F.col("node_id").alias("node"), "rank").join(adjacent, "node").groupBy(F.col("other").alias("node_id")).agg(F.min(F.struct("rank", "kind", "edge_ord")).alias("key"))
         fresh = arrivals.join(found.select("node_id"), "node_id", "left_anti").join(nodes.select("node_id"), "node_id", "left_semi")
         fresh = cut(fresh)
-        chosen = fresh if fresh.count() <= room else fresh.orderBy("key", "node_id").limit(room)
-        ranked = chosen.withColumn("rank", (F.row_number().over(Window.orderBy("key", "node_id")) - 1 + total).cast("bigint"))
+        fresh_count = fresh.count()
+        chosen = fresh if fresh_count <= room else fresh.orderBy("key", "node_id").limit(room)
+        if min(fresh_count, room) <= ONE_TASK:
+            ranked = chosen.withColumn("rank", (F.row_number().over(Window.orderBy("key", "node_id")) - 1 + total).cast("bigint"))
+        else:
+            ranked = numbered(chosen, "rank", "key", "node_id").withColumn("rank", F.col("rank") + total)
         level = cut(ranked.select("node_id", "rank", F.lit(depth).alias("depth")))
         n = level.count()
         if not n:
@@ -87,6 +95,11 @@ def discover(focus: str, nodes: DataFrame, weights: DataFrame, edges: DataFrame,
     return found
 
 
+def first_atomic(nodes: DataFrame, n: int = 10) -> DataFrame:
+    """The first atomic nodes, as an error about a missing focus names them."""
+    return nodes.where("node_type = 'atomic'").orderBy("node_ord").limit(n).select("node_id", F.substring("statement", 1, 60).alias("statement") if "statement" in nodes.columns else F.lit(None).cast("string").alias("statement"))
+
+
 def extract_edges_flat(members: DataFrame, weights: DataFrame, edges: DataFrame, threshold: float) -> DataFrame:
     """All weighted edges at or above the threshold and all directed ones, within the members."""
     from ..operators.graph import edges_within

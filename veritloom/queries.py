@@ -14,10 +14,11 @@ from pyspark.sql import functions as F
 
 from . import oracle as O
 from .functions import text as T
+from .operators import embed as similarity_embed
 from .operators import chat, extract, graph, labels, layout, relate, similarity, validate
 from .plans import projection
 from .plans.ingest import ingest
-from .plans.lineage import cut
+from .plans.lineage import cut, shared_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -61,6 +62,21 @@ def _rows(docs: DataFrame, units: Column) -> DataFrame:
     return extract.explode_units(docs, units, "doc_id").select("doc_id", "ord", F.col("text").alias("unit"), F.col("start").alias("start_pos"), F.col("end").alias("end_pos"), "context")
 
 
+_KEPT: dict[tuple[str, str, str], object] = {}
+
+
+def _once(kind: str, make: Callable[[SparkSession, str], object]) -> Callable[[SparkSession, str], object]:
+    """What queries of one session share over one folder is made once."""
+
+    def shared(spark: SparkSession, d: str) -> object:
+        key = spark.sparkContext.applicationId, d, kind
+        if key not in _KEPT:
+            _KEPT[key] = make(spark, d)
+        return _KEPT[key]
+
+    return shared
+
+
 def _units(spark: SparkSession, d: str) -> DataFrame:
     return _rows(_docs(spark, d), extract.sentences(F.col("text")))
 
@@ -69,7 +85,7 @@ def _scoped(units: DataFrame) -> DataFrame:
     return units.select(F.col("doc_id").alias("scope"), "ord", F.col("unit").alias("text"))
 
 
-def _nodes(spark: SparkSession, d: str) -> DataFrame:
+def _make_nodes(spark: SparkSession, d: str) -> DataFrame:
     """Valid statements, equal ones once: node_id, doc_id, ord, statement, terms, evidence, context_id."""
     from .plans.ingest import first_of_each
 
@@ -83,6 +99,9 @@ def _nodes(spark: SparkSession, d: str) -> DataFrame:
     return cut(first_of_each(named))
 
 
+_nodes = _once("nodes", _make_nodes)
+
+
 def _phrased(nodes: DataFrame, phrase: str) -> DataFrame:
     """Nodes by document; every fourth statement gets the phrase and the first term of the next one."""
     from pyspark.sql import Window
@@ -99,7 +118,7 @@ def _weights(nodes: DataFrame, k: int = 3) -> DataFrame:
     return cut(pairs.select("source", "target", F.round("weight", 9).alias("weight"), (F.col("scope") * 1_000_000_000 + F.col("i") * 10_000 + F.col("j")).alias("edge_ord"), F.lit("related_to").alias("type")))
 
 
-def _graph(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+def _make_graph(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(nodes, weights, edges) of the documents' statements and contexts."""
     found = _nodes(spark, d)
     edges = found.select(F.col("node_id").alias("source"), F.col("context_id").alias("target"), F.lit("appears_in").alias("type"), (F.col("doc_id") * 1_000_000 + F.col("ord")).alias("edge_ord"), F.lit(None).cast("double").alias("weight"))
@@ -111,6 +130,35 @@ def _graph(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame
     return cut(nodes), _weights(found), edges
 
 
+_graph = _once("graph", _make_graph)
+
+
+def _rejected(spark: SparkSession, d: str) -> DataFrame:
+    return _units(spark, d).where(F.size(validate.violations(F.col("unit"))) > 0)
+
+
+def _echoed(nodes: DataFrame) -> DataFrame:
+    """Nodes by document; every fourth statement repeats the one before it and says so."""
+    from pyspark.sql import Window
+
+    before = F.lag("statement").over(Window.partitionBy("doc_id").orderBy("ord"))
+    told = F.when(F.col("ord") % 4 == 1, F.concat(F.coalesce(before, F.lit("nothing")), F.lit(" is based on it"))).otherwise(F.col("statement"))
+    return nodes.withColumn("statement", told).withColumnRenamed("doc_id", "scope")
+
+
+def _folder(spark: SparkSession) -> str:
+    """A fresh folder that driver and executors share."""
+    import uuid
+
+    return f"{shared_folder(spark)}/veritloom-queries/{uuid.uuid4().hex}"
+
+
+def _of_conversation():
+    from pyspark.sql import Window
+
+    return Window.partitionBy("conv_id")
+
+
 def _focus(nodes: DataFrame, weights: DataFrame, edges: DataFrame) -> str:
     return projection.best_focus(nodes, weights, edges).first()["node_id"]
 
@@ -138,7 +186,7 @@ def _(spark, d):
     return _rows(_docs(spark, d).withColumn("text", _marked(F.col("text"))), extract.numbered(F.col("text")))
 
 
-@query("T5_dedup_by_span")
+@query("T5_dedup_by_span", O.T5)
 def _(spark, d):
     c = F.col("text")
     return _rows(_docs(spark, d).withColumn("text", _marked(c)), extract.drop_overlaps(F.concat(extract.bullets(c), extract.numbered(c), extract.sentences(c))))
@@ -159,7 +207,7 @@ def _(spark, d):
     return _rows(_docs(spark, d), extract.parse(F.col("text"))).drop("context")
 
 
-@query("T8_parse_marked")
+@query("T8_parse_marked", O.T8_MARKED)
 def _(spark, d):
     return _rows(_docs(spark, d).withColumn("text", _marked(F.col("text"))), extract.parse(F.col("text")))
 
@@ -304,6 +352,17 @@ def _(spark, d):
 # Similarity --------------------------------------------------------------
 
 
+def _counting_embedder() -> similarity_embed.Embedder:
+    """Stands in for a model: lengths and letter counts."""
+    return lambda texts: [[float(len(t)), float(t.count(" ")), float(t.count("e")), float(t.count("a"))] for t in texts]
+
+
+@query("J1_embed", O.J1)
+def _(spark, d):
+    vectors = similarity_embed.embed(_scoped(_units(spark, d)), _counting_embedder)
+    return vectors.select(F.col("scope").alias("doc_id"), "ord", *(F.get("vector", k).alias(f"v{k}") for k in range(4)))
+
+
 @query("J2_bow_vector", O.J2)
 def _(spark, d):
     vectors = similarity.term_vectors(_scoped(_units(spark, d)))
@@ -319,13 +378,14 @@ def _(spark, d):
 
 @query("J4_pair_similarity", O.J4)
 def _(spark, d):
-    return similarity.positive_pairs(_scoped(_units(spark, d))).where("j = i + 1").select(F.col("scope").alias("doc_id"), "i", F.round("sim", 9).alias("sim"))
+    units = _scoped(_units(spark, d))
+    return similarity.similarity_of(units.select("scope", F.col("ord").alias("i"), (F.col("ord") + 1).alias("j")), units).where("sim > 0").select(F.col("scope").alias("doc_id"), "i", F.round("sim", 9).alias("sim"))
 
 
 @query("J5_find_similar", O.J5)
 def _(spark, d):
     units = _scoped(_units(spark, d))
-    return similarity.find_similar(units.where("ord = 0"), units, 0.3).select(F.col("scope").alias("doc_id"), "ord", F.round("sim", 9).alias("sim"), "rank")
+    return similarity.find_similar(units, units).select(F.col("scope").alias("doc_id"), "query", "ord", F.round("sim", 9).alias("sim"), "rank")
 
 
 @query("J6_pairwise_threshold", O.J6)
@@ -343,9 +403,9 @@ def _(spark, d):
     return _weights(_nodes(spark, d)).select("source", "target", "weight")
 
 
-@query("J9_derived_from")
+@query("J9_derived_from", O.J9)
 def _(spark, d):
-    return relate.derived_from(_phrased(_nodes(spark, d), "is based on")).withColumnRenamed("scope", "doc_id")
+    return relate.derived_from(_echoed(_nodes(spark, d))).withColumnRenamed("scope", "doc_id")
 
 
 @query("J10_refines", O.J10)
@@ -370,11 +430,24 @@ def _(spark, d):
     return edges.select("source", "target", "type", F.col("evidence")[0]["span"]["start"].alias("span_start"))
 
 
-@query("J15_fuzzy_dedup")
+@query("J13_authored_by", O.J13)
+def _(spark, d):
+    docs = _table(spark, d, "documents")
+    contexts = docs.select(T.context_id(F.col("text")).alias("node_id"), F.when(F.col("doc_id") % 3 != 0, F.create_map(F.lit("author"), F.col("source"))).otherwise(F.create_map(F.lit("lang"), F.col("lang"))).alias("metadata"))
+    return relate.authored_by(contexts)
+
+
+@query("J15_fuzzy_dedup", O.J15)
 def _(spark, d):
     return similarity.fuzzy_dedup(_scoped(_units(spark, d))).select(F.col("scope").alias("doc_id"), "ord", "text")
 
 
+@query("J15_fuzzy_dedup_corpus", O.J15_CORPUS)
+def _(spark, d):
+    units = _nodes(spark, d).select(F.lit(0).alias("scope"), F.struct("doc_id", "ord").alias("ord"), F.col("statement").alias("text"))
+    return similarity.fuzzy_dedup(units).select("ord.doc_id", F.col("ord.ord").alias("ord"))
+
+
 @query("J16_exact_hash_match", O.J16)
 def _(spark, d):
     units = _units(spark, d).select(F.concat_ws("_", "doc_id", "ord").alias("query_id"), T.stability_hash(F.col("unit")).alias("stability_hash"))
@@ -387,8 +460,10 @@ def _(spark, d):
     nodes, weights, edges = _graph(spark, d)
     none = nodes.limit(0)
     now = graph.TruthDelta(nodes, edges, weights, none, none)
-    old = nodes.where("node_ord < 100000000")
-    before = graph.TruthDelta(old, edges.where("edge_ord < 100000000"), weights.where("edge_ord < 100000000000"), none, none)
+    # The earlier state has the English documents only.
+    english = _table(spark, d, "documents").where("lang = 'en'").select("doc_id")
+    of = lambda rows, place: rows.join(english, F.expr(place) == english["doc_id"], "left_semi")
+    before = graph.TruthDelta(of(nodes, "node_ord div 1000000"), of(edges, "edge_ord div 1000000"), of(weights, "edge_ord div 1000000000"), none, none)
     new = graph.delta(now, before)
     return new.nodes.select(F.lit("node").alias("section"), F.col("node_id").alias("key")).union(new.edges.select(F.lit("edge"), F.concat("source", "target"))).union(new.weights.select(F.lit("weight"), F.concat("source", "target"))).groupBy("section").agg(F.count("*").alias("n"), F.min("key").alias("first_key"))
 
@@ -422,7 +497,7 @@ def _(spark, d):
 @query("J22_directed_edges_within", O.J22)
 def _(spark, d):
     nodes, _, edges = _graph(spark, d)
-    return graph.edges_within(edges, nodes.where("node_ord < 100000000")).select("source", "target", "type")
+    return graph.edges_within(edges, nodes.where("node_type = 'context' or size(topic_labels) >= 2")).select("source", "target", "type")
 
 
 # Statistics --------------------------------------------------------------
@@ -437,23 +512,29 @@ def _(spark, d):
 @query("A2_graph_stats", O.A2)
 def _(spark, d):
     nodes, weights, edges = _graph(spark, d)
-    rejected = _units(spark, d).where(F.size(validate.violations(F.col("unit"))) > 0)
-    stats = graph.graph_stats(nodes, edges, weights, rejected)
+    stats = graph.graph_stats(nodes, edges, weights, _rejected(spark, d))
     return stats.withColumns({"mean_weight": F.round("mean_weight", 6), "avg_connectivity": F.round("avg_connectivity", 6), "candidate_ratio": F.round("candidate_ratio", 6)})
 
 
 @query("A3_engine_statistics", O.A3)
 def _(spark, d):
     nodes, weights, edges = _graph(spark, d)
-    stats = graph.graph_stats(nodes, edges, weights, nodes.limit(0))
-    return stats.select("atomic_nodes", "context_nodes", "directed_edges", "weighted_edges", "candidates", F.lit(0).cast("bigint").alias("orphans"))
+    return graph.engine_statistics(nodes, edges, weights, _rejected(spark, d))
+
+
+@query("A3_engine_statistics_without_contexts", O.A3_BARE)
+def _(spark, d):
+    nodes, weights, _ = _graph(spark, d)
+    only, kept = layout.without_contexts(nodes, weights.where("weight >= 0.2"))
+    phrased = _phrased(_nodes(spark, d), "requires")
+    depends = relate.typed_edges(phrased, relate.depends_on(phrased), "depends_on")
+    return graph.engine_statistics(only, depends, kept, _rejected(spark, d))
 
 
 @query("A4_validate_structure", O.A4)
 def _(spark, d):
     nodes, weights, edges = _graph(spark, d)
-    rejected = _units(spark, d).where(F.size(validate.violations(F.col("unit"))) > 0)
-    return graph.validate_structure(graph.graph_stats(nodes, edges.where("type = 'refines'"), weights, rejected))
+    return graph.validate_structure(graph.graph_stats(nodes, edges, weights, _rejected(spark, d)))
 
 
 @query("A5_degree", O.A5)
@@ -500,12 +581,12 @@ def _messages(spark: SparkSession, d: str) -> DataFrame:
     return m.select(F.col("conv_id").alias("scope"), F.col("turn").alias("ord"), "text", chat.valid_units(F.col("text")).alias("n_valid"))
 
 
-@query("A11_greedy_batching")
+@query("A11_greedy_batching", O.A11)
 def _(spark, d):
     return chat.batch_messages(_messages(spark, d), 5).select(F.col("scope").alias("conv_id"), F.col("ord").alias("turn"), "n_valid", "batch")
 
 
-@query("T21_message_concat")
+@query("T21_message_concat", O.T21)
 def _(spark, d):
     return chat.concatenate(chat.batch_messages(_messages(spark, d), 5)).select(F.col("scope").alias("conv_id"), "batch", "n_messages", "content")
 
@@ -539,10 +620,15 @@ def _(spark, d):
     return found.select("node_id", F.col("depth").cast("bigint").alias("depth"))
 
 
-@query("P1_bfs_discover_capped")
+@query("P1_bfs_discover_capped", O.P1_CAPPED)
 def _(spark, d):
     nodes, weights, edges = _graph(spark, d)
-    return projection.discover(_focus(nodes, weights, edges), nodes, weights, edges, projection.ProjectionParameters(0.2, 3, 5, 100))
+    return projection.discover(_focus(nodes, weights, edges), nodes, weights, edges, projection.ProjectionParameters(0.2, 3, 5, 100)).select("node_id", "rank", F.col("depth").cast("bigint").alias("depth"))
+
+
+@query("P6_focus_candidates", O.P6)
+def _(spark, d):
+    return projection.first_atomic(_graph(spark, d)[0])
 
 
 @query("P2_neighbors", O.P2)
@@ -600,18 +686,18 @@ def _(spark, d):
     return projection.metadata(nodes, weights.select("source").union(edges.select("source")))
 
 
-@query("P7_project")
+@query("P7_project", O.P7)
 def _(spark, d):
     nodes, weights, edges = _graph(spark, d)
     return projection.project(_focus(nodes, weights, edges), nodes, weights, edges, projection.ProjectionParameters(0.2, 3, 3, 60)).edges
 
 
-@query("P8_perspective_suite")
+@query("P8_perspective_suite", O.P8)
 def _(spark, d):
     nodes, weights, edges = _graph(spark, d)
     out = None
     for k, p in enumerate(projection.perspective_suite(_focus(nodes, weights, edges), nodes, weights, edges), 1):
-        row = p.metadata.withColumn("perspective", F.lit(k))
+        row = p.metadata.withColumn("perspective", F.lit(k).cast("bigint"))
         out = row if out is None else out.unionByName(row)
     return out
 
@@ -631,6 +717,14 @@ def _(spark, d):
     return layout.layout_3d(only.select(one, "node_id", "node_ord"), kept.select(one, "source", "target", "weight", F.concat("source", "target").alias("edge_ord")), spark.range(1).select(one, F.lit(7).cast("bigint").alias("seed")))
 
 
+@query("X3_snapshot", O.X3)
+def _(spark, d):
+    nodes, weights, edges = _graph(spark, d)
+    p = projection.project(_focus(nodes, weights, edges), nodes, weights, edges, projection.ProjectionParameters(0.2, 3, 3, 60))
+    points, _, _ = layout.snapshot(p.nodes, p.edges, 7)
+    return points.where("x is not null and y is not null and z is not null").select("node_id", "degree", F.round("importance", 9).alias("importance"), F.round("size", 6).alias("size"), "color", "label", "full_statement")
+
+
 @query("X4_circular_layout", O.X4)
 def _(spark, d):
     v = _table(spark, d, "embeddings").select(F.col("label").cast("bigint").alias("projection_id"), F.col("vec_id").cast("string").alias("node_id"), F.col("vec_id").alias("node_ord"))
@@ -642,6 +736,19 @@ def _(spark, d):
     return _units(spark, d).select("doc_id", "ord", F.array_join(labels.default_labels(F.col("unit")), "|").alias("labels"))
 
 
+@query("X1_topic_label_asked", O.X1_ASKED)
+def _(spark, d):
+    def labeler(prompt: str) -> str:
+        """Stands in for a model: the first two words of every statement."""
+        lines = prompt.rstrip("\n").split("\n\n", 1)[1].split("\n")
+        if not lines[0].startswith("1. "):
+            return ", ".join(lines[0].split()[:2])
+        return "\n".join(line.split(". ", 1)[0] + ": " + ", ".join(line.split(". ", 1)[1].split()[:2]) for line in lines if ". " in line)
+
+    plain = _nodes(spark, d).where(~F.col("statement").contains("\n")).select(F.col("doc_id").alias("scope"), "ord", F.regexp_replace("statement", r"[^A-Za-z ]", "").alias("text")).where("length(trim(text)) > 0")
+    return labels.topic_labels(plain, labeler).select(F.col("scope").alias("doc_id"), F.col("ord_").alias("ord"), F.array_join("labels", "|").alias("labels"))
+
+
 @query("U1_bag_union", O.U1)
 def _(spark, d):
     c = F.col("text")
@@ -649,11 +756,52 @@ def _(spark, d):
     return _rows(marked, F.concat(extract.bullets(c), extract.numbered(c))).groupBy("doc_id").agg(F.count("*").alias("n"))
 
 
-@query("ingest_pipeline")
+@query("ingest_pipeline", O.INGEST)
 def _(spark, d):
     docs = _table(spark, d, "documents").select("doc_id", F.concat(F.lit("doc_"), F.col("doc_id").cast("string")).alias("source_file"), "text")
     out = ingest(docs)
-    return graph.graph_stats(out.nodes, out.edges, out.weights, out.candidates)
+    stats = graph.graph_stats(out.nodes, out.edges, out.weights, out.candidates)
+    sources = out.nodes.where("node_type = 'atomic'").agg(F.count_distinct(F.col("evidence")[0]["source"])).scalar()
+    return stats.select("atomic_nodes", "context_nodes", "directed_edges", "weighted_edges", "candidates", F.round("mean_weight", 6).alias("mean_weight"), sources.alias("evidence_sources"))
+
+
+@query("K1_truth_round_trip", O.K1)
+def _(spark, d):
+    """The graph written as a truth delta, read again and checked as on a reload."""
+    from .sources import tables
+
+    nodes, weights, edges = _graph(spark, d)
+    none = lambda kind: F.lit(None).cast(kind)
+    delta = graph.TruthDelta(
+        nodes.select("node_id", "statement", "topic_labels", "node_type", "source_file", none("string").alias("created_at")),
+        edges.select("source", "target", "type"), weights.select("source", "target", "type", "weight"), nodes.limit(0).select("statement"), nodes.limit(0).select("node_id"),
+    )
+    path = f"{_folder(spark)}/truth"
+    tables.write_truth(delta, path)
+    again = tables.read_sections(spark, path)
+    sizes = again.nodes.select(F.lit("nodes").alias("section"), F.col("node_id").alias("key")).union(again.edges.select(F.lit("edges"), F.concat_ws(" ", "source", "target"))).union(again.weights.select(F.lit("weights"), F.concat_ws(" ", "source", "target")))
+    return sizes.union(tables.truth_faults(again).select(F.lit("faults"), "key")).groupBy("section").agg(F.count("*").alias("n"), F.min("key").alias("first_key"))
+
+
+@query("S3_scan_chat_export", O.S3_TREE)
+def _(spark, d):
+    """Conversations written as export files, then read and walked as trees."""
+    from .sources import tables
+
+    turns = _table(spark, d, "conversations")
+    node = F.struct(
+        F.when(F.col("turn") > F.min("turn").over(_of_conversation()), F.concat(F.lit("n"), F.lag("turn").over(_of_conversation().orderBy("turn")).cast("string"))).alias("parent"),
+        F.array_compact(F.array(F.concat(F.lit("n"), F.lead("turn").over(_of_conversation().orderBy("turn")).cast("string")))).alias("children"),
+        F.struct(
+            F.concat_ws("-", "conv_id", "turn").alias("id"), F.struct("role").alias("author"), (F.col("turn") * 60).cast("string").alias("create_time"), F.struct(F.array("text").alias("parts")).alias("content")
+        ).alias("message"),
+    )
+    keyed = turns.select("conv_id", F.struct(F.concat(F.lit("n"), F.col("turn").cast("string")).alias("key"), node.alias("value")).alias("entry"))
+    trees = keyed.groupBy("conv_id").agg(F.map_from_entries(F.collect_list("entry")).alias("mapping"))
+    path = f"{_folder(spark)}/chat"
+    trees.select(F.col("conv_id").cast("string").alias("id"), F.lit("t").alias("title"), "mapping").write.json(path, ignoreNullFields=False)
+    read = tables.read_chat(spark, path, lines=True)
+    return tables.walk_messages(read).select(F.col("conversation_id").cast("bigint").alias("conv_id"), "message_id", "ts", "text", "ord")
 
 
 @query("flagship", O.FLAGSHIP)

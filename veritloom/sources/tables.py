@@ -32,11 +32,21 @@ CHAT = (
 def read_texts(spark: SparkSession, path: str) -> DataFrame:
     """(source_file, text) of whole files; UTF-8, or Latin-1 where that fails."""
     raw = spark.read.format("binaryFile").load(path)
-    good = F.is_valid_utf8(F.col("content").cast("string")) if hasattr(F, "is_valid_utf8") else F.lit(True)
+    good = F.is_valid_utf8(F.col("content").cast("string"))
     text = F.when(good, F.decode("content", "UTF-8")).otherwise(F.decode("content", "ISO-8859-1"))
     return raw.select(F.col("path").alias("source_file"), text.alias("text"))
 
 
+def truth_faults(delta: TruthDelta) -> DataFrame:
+    """(section, key, fault) of what a reload refuses: times that do not parse, and edges whose ends are missing."""
+    ids = delta.nodes.select("node_id").distinct()
+    late = delta.nodes.where("created_at is not null").where(F.col("created_at").try_cast("timestamp").isNull()).select(F.lit("nodes").alias("section"), F.col("node_id").alias("key"), F.lit("time").alias("fault"))
+    for section, rows in (("edges", delta.edges), ("weights", delta.weights)):
+        ends = rows.select(F.concat_ws(" ", "source", "target").alias("key"), F.explode(F.array("source", "target")).alias("node_id"))
+        late = late.union(ends.join(ids, "node_id", "left_anti").select(F.lit(section), "key", F.lit("end")).distinct())
+    return late
+
+
 def read_truth(spark: SparkSession, path: str) -> TruthDelta:
     """The five sections of truth documents; fields that older documents lack are null."""
     docs = spark.read.schema(TRUTH).json(path, multiLine=True)
@@ -48,9 +58,19 @@ def read_projection(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(PROJECTION).json(path, multiLine=True).withColumn("source_file", F.input_file_name())
 
 
-def read_chat(spark: SparkSession, path: str) -> DataFrame:
-    """Conversations (source_file, id, title, mapping) of exports that hold an object or an array; bad files are skipped."""
-    rows = spark.read.schema(CHAT).json(path, multiLine=True, mode="DROPMALFORMED").withColumn("source_file", F.input_file_name())
+def _chat_rows(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    return spark.read.schema(CHAT + ", _corrupt_record string").json(path, multiLine=not lines, mode="PERMISSIVE").withColumn("source_file", F.input_file_name())
+
+
+def bad_chat_files(spark: SparkSession, path: str) -> DataFrame:
+    """(source_file, n_bytes) of exports that do not parse; a run goes on without them."""
+    # The reader wants another column of its own besides the corrupt one.
+    return _chat_rows(spark, path).where("_corrupt_record is not null and (mapping is null or size(mapping) >= 0)").groupBy("source_file").agg(F.sum(F.octet_length("_corrupt_record")).cast("bigint").alias("n_bytes"))
+
+
+def read_chat(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """Conversations (source_file, id, title, mapping) of exports that hold an object or an array, or an object a line; :func:`bad_chat_files` names what is skipped."""
+    rows = _chat_rows(spark, path, lines).where("_corrupt_record is null")
     falsy = lambda c: F.when(F.length(c) > 0, F.col(c))
     return rows.select("source_file", F.coalesce(falsy("id"), falsy("conversation_id"), F.lit("unknown")).alias("conversation_id"), "title", "mapping")
 
@@ -65,7 +85,8 @@ def walk_messages(conversations: DataFrame) -> DataFrame:
     """Assistant messages in breadth-first order: conversation_id, message_id, ts, text, ord.
 
     Levels of all conversations advance together; a node's place is its
-    parent's place, then its place among the siblings.
+    parent's place, then its place among the siblings.  A node that several
+    others name as child, or one of a circle, is met once: where it comes first.
     """
     nodes = cut(conversations.select("conversation_id", F.explode("mapping").alias("node_key", "node")).select("conversation_id", "node_key", "node.*"))
     keyed = nodes.select("conversation_id", "node_key", F.coalesce("children", F.array().cast("array<string>")).alias("children"))
@@ -76,10 +97,11 @@ def walk_messages(conversations: DataFrame) -> DataFrame:
         depth += 1
         step = level.join(keyed, ["conversation_id", "node_key"]).select("conversation_id", F.posexplode("children").alias("p", "child"), "path")
         step = step.select("conversation_id", F.col("child").alias("node_key"), F.concat("path", F.array(F.struct(F.col("p").alias("d"), F.col("child").alias("k")))).alias("path"), F.lit(depth).alias("depth"))
-        level = cut(step.join(nodes.select("conversation_id", "node_key"), ["conversation_id", "node_key"], "left_semi"))
+        met = step.join(nodes.select("conversation_id", "node_key"), ["conversation_id", "node_key"], "left_semi").join(found.select("conversation_id", "node_key"), ["conversation_id", "node_key"], "left_anti")
+        level = cut(met.groupBy("conversation_id", "node_key").agg(F.min("path").alias("path"), F.min("depth").alias("depth")))
         if level.isEmpty():
             break
-        found = found.union(level)
+        found = cut(found.union(level))
     parts = F.array_join(F.filter("message.content.parts", lambda p: F.length(p) > 0), "\n")
     text = F.regexp_replace(parts, r"(?U)^\s+|\s+$", "")
     said = (
@@ -107,6 +129,11 @@ def write_truth(delta: TruthDelta, path: str, single_document: bool = False) ->
         _document(delta).write.mode("overwrite").text(f"{path}/document")
 
 
+def read_sections(spark: SparkSession, path: str) -> TruthDelta:
+    """The tables that :func:`write_truth` wrote."""
+    return TruthDelta(*(spark.read.parquet(f"{path}/{name}") for name in ("nodes", "edges", "weights", "candidates", "provenance")))
+
+
 def graph_state(delta: TruthDelta) -> DataFrame:
     """One row: the graph keyed by node id, as JSON."""
     by_id = lambda kind: delta.nodes.where(F.col("node_type") == kind).agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("node_id", F.struct("*")))))).scalar()

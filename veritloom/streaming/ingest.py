@@ -11,7 +11,7 @@ from ..plans.ingest import ingest
 SECTIONS = ("nodes", "edges", "weights", "candidates", "provenance")
 
 
-def write_batch(batch: DataFrame, batch_id: int, path: str, similarity_k: int = 10) -> None:
+def write_batch(batch: DataFrame, batch_id: int, path: str, similarity_k: int = 10, scope: str = "document") -> None:
     """Append one batch's delta under ``path``, each section in a folder of the batch.
 
     A batch that is run again overwrites its own folders, so a restart after a
@@ -19,20 +19,20 @@ def write_batch(batch: DataFrame, batch_id: int, path: str, similarity_k: int =
     """
     spark = batch.sparkSession
     try:
-        known = spark.read.parquet(f"{path}/nodes").where(F.col("batch_id") != batch_id).select("node_id")
+        known = spark.read.parquet(f"{path}/nodes").where(F.col("batch_id") != batch_id).select("node_id", "statement")
     except Exception as e:  # the first batch finds no table
         if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
             raise
         known = None
-    delta = ingest(batch, known, similarity_k)
+    delta = ingest(batch, known, similarity_k, scope=scope)
     for name in SECTIONS:
         getattr(delta, name).write.mode("overwrite").parquet(f"{path}/{name}/batch_id={batch_id}")
 
 
-def stream_ingest(docs: DataFrame, path: str, checkpoint: str, similarity_k: int = 10) -> StreamingQuery:
+def stream_ingest(docs: DataFrame, path: str, checkpoint: str, similarity_k: int = 10, scope: str = "document") -> StreamingQuery:
     """Ingest a stream of texts (doc_id, source_file, text); the checkpoint makes it resumable."""
     return (
-        docs.writeStream.foreachBatch(lambda batch, batch_id: write_batch(batch, batch_id, path, similarity_k))
+        docs.writeStream.foreachBatch(lambda batch, batch_id: write_batch(batch, batch_id, path, similarity_k, scope))
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()
