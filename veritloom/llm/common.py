@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 #: Used only where the session names no folder and all runs in one process (tests, a laptop).
 FALLBACK_DIR = "file:///tmp/checkpoints"
 
-#: The id filter has 2**ID_FILTER_BITS bits whatever the input: 2 MB.
-ID_FILTER_BITS = 24
+#: An id filter has eight to sixteen bits for each id, and 2**MOST_FILTER_BITS (32 MB) at most.
+LEAST_FILTER_BITS, MOST_FILTER_BITS = 16, 28
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -84,26 +84,31 @@ def text_batches(batches: Iterator[pa.RecordBatch], column: int, rows: int = 409
             before = int(upto[begin - 1])
 
 
-def _filter_slot(col: Column) -> Column:
-    return F.pmod(F.xxhash64(col), F.lit(1 << ID_FILTER_BITS))
+def _filter_slot(col: Column, bits: int) -> Column:
+    return F.pmod(F.xxhash64(col), F.lit(1 << bits))
 
 
 def keep_possible_ids(rows: DataFrame, col: str, ids: DataFrame, id_col: str) -> DataFrame:
     """Rows of ``rows`` whose ``col`` may be among ``ids`` (no false negatives).
 
-    A bitmap of ``2**ID_FILTER_BITS`` bits is aggregated from ``ids`` and
-    broadcast: 512 rows of 4 KB, whatever the number of ids.  It spares the
-    shuffle of rows that the following join would drop; when ids outnumber the
-    bits it passes more rows and the join still decides.
+    A bitmap sized by the number of ids is aggregated from them and broadcast.
+    It spares the shuffle of rows that the following join would drop, which
+    has to be an inner one.  Where there are more ids than half of the bits that
+    a filter may have, it would let most rows through and is left out; the
+    join decides in any case.
     """
-    slot = _filter_slot(F.col(id_col))
+    n = ids.count()
+    if 2 * n > 1 << MOST_FILTER_BITS:
+        return rows
+    size = min(MOST_FILTER_BITS, max(LEAST_FILTER_BITS, (8 * n).bit_length()))
+    slot = _filter_slot(F.col(id_col), size)
     bits = ids.groupBy(F.bitmap_bucket_number(slot).alias("_bucket")).agg(
         F.bitmap_construct_agg(F.bitmap_bit_position(slot)).alias("_bits")
     )
-    mine = _filter_slot(F.col(col))
+    mine = _filter_slot(F.col(col), size)
     spot = F.bitmap_bit_position(mine)
     byte = F.conv(F.hex(F.substring(F.col("_bits"), (F.shiftright(spot, 3) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
-    hit = F.pmod(F.floor(byte / F.pow(F.lit(2.0), spot % 8)), F.lit(2)) == 1
+    hit = F.getbit(byte, (spot % 8).cast("int")) == 1
     return (
         rows.withColumn("_bucket", F.bitmap_bucket_number(mine))
         .join(F.broadcast(bits), "_bucket")
