@@ -10,6 +10,13 @@
 * *Host prior.*  The languages of a host's other rows, smoothed towards those
   of its domain, and these towards those of all rows.
 
+Fusion tells which of the known languages it is, not whether it is one at all.
+For that, the text's most likely language is held against a background that
+draws any trigram alike: ``margin`` is the mean gain per trigram in log
+likelihood.  A row is kept if its language is probable enough and the margin is
+not negative; most trigrams of a text in no known language are rarer in each of
+the known ones than by chance, and its margin is far below.
+
 Soft counts are sums of every row's text posterior, by grouped aggregation; a
 row's own share is taken out of its host's.  Declared values and marks fall
 into a fixed number of classes, so their tables are broadcast; hosts are
@@ -19,7 +26,7 @@ Defined results: a null or empty text has no features and is judged by the
 other evidence; null or malformed addresses and missing declarations are values
 of their own; rows with null or equal ids are rows of their own; ties go to the
 language first in alphabetical order; without labelled rows every language is
-null and nothing is kept; an empty table gives no rows; further columns are
+null and nothing is kept; equal rows of the sample count once; an empty table gives no rows; further columns are
 ignored.
 """
 
@@ -36,7 +43,7 @@ from pyspark.sql import functions as F
 
 from .common import written
 
-#: Labelled documents that the text model is fitted on, at most (but for ties).
+#: Labelled documents that the text model is fitted on, at most.
 SAMPLE = 4096
 #: Hashed trigrams.
 FEATURES = 1 << 15
@@ -69,10 +76,12 @@ def trigrams(text: str | None) -> np.ndarray:
 
 
 def _labelled(training: DataFrame, sample: int) -> DataFrame:
-    """Up to ``sample`` labelled rows (id, text, lang), by least hash of the id."""
-    usable = training.where("id is not null and lang is not null")
-    edge = usable.select(F.xxhash64("id").alias("h")).orderBy("h").limit(sample).agg(F.max("h")).first()[0]
-    return usable.where(F.xxhash64("id") <= edge) if edge is not None else usable.limit(0)
+    """Up to ``sample`` labelled rows (text, lang), by least hashes of id and text."""
+    usable = training.where("id is not null and lang is not null").select(F.col("text").cast("string"), F.col("lang").cast("string"), F.struct(F.xxhash64("id"), F.xxhash64("text")).alias("h"))
+    edge = usable.select("h").orderBy("h").limit(sample).agg(F.max("h")).first()[0]
+    if edge is None:
+        return usable.limit(0).select("text", "lang")
+    return usable.where(F.col("h") <= F.struct(F.lit(edge[0]), F.lit(edge[1]))).distinct().select("text", "lang")
 
 
 def fit(training: DataFrame, sample: int = SAMPLE) -> tuple[list[str], np.ndarray, np.ndarray]:
@@ -90,7 +99,7 @@ def fit(training: DataFrame, sample: int = SAMPLE) -> tuple[list[str], np.ndarra
             features, n = np.concatenate([[-1], at]), np.concatenate([[docs[lang]], found[at]])
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(n)), pa.array(features, pa.int32()), pa.array(n, pa.int64())], names=["lang", "feature", "n"])
 
-    chosen = _labelled(training, sample).select(F.col("text").cast("string"), F.col("lang").cast("string"))
+    chosen = _labelled(training, sample)
     rows = chosen.mapInArrow(count, "lang string, feature int, n bigint").groupBy("lang", "feature").agg(F.sum("n")).collect()
     languages = sorted({r[0] for r in rows})
     counts, docs = np.zeros((len(languages), FEATURES)), np.zeros(len(languages))
@@ -105,8 +114,8 @@ def fit(training: DataFrame, sample: int = SAMPLE) -> tuple[list[str], np.ndarra
 
 
 def _text_evidence(rows: DataFrame, languages: list[str], likelihood: np.ndarray, share: np.ndarray, markup: bool) -> DataFrame:
-    """id, host, domain, declared, mark, n_features, log_text (by language), soft (text posterior)."""
-    shared = rows.sparkSession.sparkContext.broadcast(np.ascontiguousarray(likelihood.T.astype(np.float64)))
+    """id, host, domain, declared, mark, n_features, margin, log_text (by language), soft (text posterior)."""
+    shared = rows.sparkSession.sparkContext.broadcast(np.ascontiguousarray(likelihood.T))
     known = set(languages)
     n = len(languages)
 
@@ -117,29 +126,31 @@ def _text_evidence(rows: DataFrame, languages: list[str], likelihood: np.ndarray
                 batch = whole.slice(begin, 1024)
                 texts = batch.column(0).to_pylist()
                 declared = batch.column(1).to_pylist()
-                found = np.zeros((len(texts), n))
+                means = np.zeros((len(texts), n))
                 sizes = np.zeros(len(texts), np.int64)
                 for k, text in enumerate(texts):
                     features = trigrams(strip_markup(text) if markup else text)
                     sizes[k] = len(features)
                     if len(features):
-                        found[k] = table[features].sum(axis=0) * min(1.0, EFFECTIVE / len(features))
+                        means[k] = table[features].mean(axis=0)
+                margin = np.where(sizes > 0, means.max(axis=1) + np.log(FEATURES), 0.0)
+                found = means * np.minimum(sizes, EFFECTIVE)[:, None]
                 found -= found.max(axis=1, keepdims=True)
                 soft = np.exp(found + share)
                 soft /= soft.sum(axis=1, keepdims=True)
                 classes = ["none" if not d else d if d in known else "other" for d in declared]
                 ends = pa.array(np.arange(0, len(texts) * n + 1, n, dtype=np.int32))
                 lists = [pa.ListArray.from_arrays(ends, pa.array(x.ravel())) for x in (found, soft)]
-                yield pa.RecordBatch.from_arrays([*batch.columns[2:], pa.array(classes), pa.array(sizes), *lists], names=names)
+                yield pa.RecordBatch.from_arrays([*batch.columns[2:], pa.array(classes), pa.array(sizes), pa.array(margin), *lists], names=names)
 
-    names = ["id", "host", "domain", "mark", "declared", "n_features", "log_text", "soft"]
-    kinds = "id bigint, host string, domain string, mark string, declared string, n_features bigint, log_text array<double>, soft array<double>"
+    names = ["id", "host", "domain", "mark", "declared", "n_features", "margin", "log_text", "soft"]
+    kinds = "id bigint, host string, domain string, mark string, declared string, n_features bigint, margin double, log_text array<double>, soft array<double>"
     chosen = rows.select("text", "declared", "id", "host", "domain", "mark")
     return chosen.mapInArrow(run, kinds)
 
 
 def identify(rows: DataFrame, training: DataFrame, markup: bool = False, sample: int = SAMPLE, confidence: float = CONFIDENCE) -> DataFrame:
-    """id, host, declared, n_features, text_lang, lang, confidence, kept of every row.
+    """id, host, declared, n_features, text_lang, margin, lang, confidence, kept of every row.
 
     ``rows``: id, text, declared, host, domain, mark; ``training``: id, text, lang.
     """
@@ -147,7 +158,7 @@ def identify(rows: DataFrame, training: DataFrame, markup: bool = False, sample:
     n = len(languages)
     if not n:
         none = F.lit(None).cast("string")
-        return rows.select("id", "host", "declared", F.lit(0).cast("bigint").alias("n_features"), none.alias("text_lang"), none.alias("lang"), F.lit(0.0).alias("confidence"), F.lit(False).alias("kept"))
+        return rows.select("id", "host", "declared", F.lit(0).cast("bigint").alias("n_features"), none.alias("text_lang"), F.lit(0.0).alias("margin"), none.alias("lang"), F.lit(0.0).alias("confidence"), F.lit(False).alias("kept"))
     seen = written(_text_evidence(rows, languages, likelihood, share, markup), "lang-text")
     sums = lambda: F.array(*(F.sum(F.get("soft", k)) for k in range(n)))
     level = lambda *by: seen.groupBy(*by).agg(sums().alias("sums"), F.count("*").cast("double").alias("n"))
@@ -181,7 +192,7 @@ def identify(rows: DataFrame, training: DataFrame, markup: bool = False, sample:
     others = F.zip_with("_sums", "soft", lambda c, own: c - own)
     host_prior = smoothed(others, F.col("_n") - 1, F.col("wide"))
     logs = F.zip_with(F.zip_with("log_text", "log_declared", lambda a, b: a + b), F.zip_with("log_mark", host_prior, lambda a, b: a + F.log(b)), lambda a, b: a + b)
-    scored = joined.select("id", "host", "declared", "n_features", "log_text", logs.alias("logs"))
+    scored = joined.select("id", "host", "declared", "n_features", "margin", "log_text", logs.alias("logs"))
     names = F.array(*map(F.lit, languages))
     best = lambda c: F.get(names, F.array_position(c, F.array_max(c)).cast("int") - 1)
     top = F.array_max("logs")
@@ -191,10 +202,11 @@ def identify(rows: DataFrame, training: DataFrame, markup: bool = False, sample:
         "declared",
         "n_features",
         F.when(F.col("n_features") > 0, best(F.col("log_text"))).alias("text_lang"),
+        "margin",
         best(F.col("logs")).alias("lang"),
         (F.lit(1.0) / F.aggregate("logs", F.lit(0.0), lambda acc, x: acc + F.exp(x - top))).alias("confidence"),
     )
-    return out.withColumn("kept", (F.col("n_features") > 0) & (F.col("confidence") >= confidence))
+    return out.withColumn("kept", (F.col("n_features") > 0) & (F.col("confidence") >= confidence) & (F.col("margin") >= 0))
 
 
 def _mark(path_code: Column, host: Column) -> Column:
@@ -222,9 +234,10 @@ def page_rows(pages: DataFrame) -> DataFrame:
 
 
 def document_rows(docs: DataFrame) -> DataFrame:
-    """``identify``'s rows of documents: the source stands for the host, the lang column for the declaration."""
+    """``identify``'s rows of documents: the source stands for the host; a lang column, if there is one, for the declaration."""
     text = F.col("text").cast("string")
-    return docs.select(F.col("doc_id").cast("bigint").alias("id"), text.alias("text"), F.lower("lang").alias("declared"), F.col("source").cast("string").alias("host"), F.lit("").alias("domain"), F.lit("-").alias("mark"))
+    declared = F.lower("lang") if "lang" in docs.columns else F.lit(None).cast("string")
+    return docs.select(F.col("doc_id").cast("bigint").alias("id"), text.alias("text"), declared.alias("declared"), F.col("source").cast("string").alias("host"), F.lit("").alias("domain"), F.lit("-").alias("mark"))
 
 
 def training_rows(docs: DataFrame) -> DataFrame:
