@@ -48,8 +48,8 @@ from .tokenization import encoder
 LARGE = (1 / 8, 1 / 4, 1 / 3, 1 / 2)
 #: Groups of equal cardinality among the large pieces.
 GROUPS = 64
-#: Salts that split the pieces of one length for ranking.
-SALTS = 64
+#: Pieces of one length that are ranked in one group, on average.
+SALT_ROWS = 1 << 16
 #: More runs than this are joined by a shuffle instead of a broadcast.
 MOST_RUNS = 1 << 16
 
@@ -280,11 +280,11 @@ def token_pieces(docs: DataFrame, id_col: str, text_col: str, vocabulary: str, c
 def place_pieces(pieces: DataFrame, capacity: int, large: tuple[float, ...] = LARGE, groups: int = GROUPS) -> DataFrame:
     """``pieces`` (a written table with doc_id, piece, start, length, ids_crc32) with sequence_id and offset."""
     spark = pieces.sparkSession
-    salted = pieces.withColumn("_salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(SALTS)))
-    counted = salted.groupBy("length", "_salt").agg(F.count("*").alias("_n"))
-    per_salt = written(counted, "pack-counts")
-    counts = {r[0]: r[1] for r in per_salt.groupBy("length").agg(F.sum("_n")).collect()}  # at most `capacity` rows
+    counts = dict(pieces.groupBy("length").agg(F.count("*")).collect())  # at most `capacity` rows
     plan = plan_packing(counts, capacity, large, groups)
+    salts = spark.createDataFrame([(k, -(-n // SALT_ROWS)) for k, n in counts.items()], "length bigint, _salts bigint")
+    salted = pieces.join(F.broadcast(salts), "length").withColumn("_salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), "_salts")).drop("_salts")
+    per_salt = written(salted.groupBy("length", "_salt").agg(F.count("*").alias("_n")), "pack-counts")
     before = Window.partitionBy("length").orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)
     bases = per_salt.select("length", "_salt", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
     inner = Window.partitionBy("length", "_salt").orderBy("doc_id", "piece", "ids_crc32", "start")
