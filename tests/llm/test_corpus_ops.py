@@ -10,6 +10,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from veritloom.llm import bloom_lm
@@ -17,7 +18,7 @@ from veritloom.llm.components import connected_components
 from veritloom.llm.hashing import word_hashes
 from veritloom.llm.itq_dedup import near_duplicate_vectors
 from veritloom.llm.jaccard_join import jaccard_components
-from veritloom.llm.language_id import identify, page_rows, strip_markup, training_rows
+from veritloom.llm.language_id import document_rows, identify, page_rows, strip_markup, training_rows
 from veritloom.llm.license_scan import license_scan, rules
 from veritloom.llm.license_rules import BASE_RULES, RULES, parsed
 from veritloom.llm.quality_rules import quality_rules
@@ -203,26 +204,40 @@ def near_copies(seed):
     return out + odd
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_jaccard(spark, seed):
-    rows = near_copies(seed)
-    found = sorted((r.doc_id if r.doc_id is not None else -1, r.n_shingles, r.component_id) for r in jaccard_components(frame(spark, rows)).collect())
-    assert found == brute_jaccard(rows)
+def side_by_side(tables):
+    """Many tables as one: ids and words of each are its own, so that nothing links across; rows without ids or words stay as they are."""
+    for k, rows in enumerate(tables):
+        yield [(i if i is None else i + 1_000_000 * k, t and " ".join(f"t{k}.{w}" for w in t.split())) for i, t in rows]
 
 
-@pytest.mark.parametrize("seed", range(3, 13))
-def test_jaccard_of_repeated_ids(spark, seed):
-    """A third of the rows share ids with other texts; some are copies of whole rows, or differ in case only."""
-    rng = random.Random(seed)
-    rows = [(i if i is None or rng.random() < 0.7 else rng.randrange(10, 60), t) for i, t in near_copies(seed)]
-    rows += rng.choices(rows, k=15) + [(i, t.upper()) for i, t in rng.choices(rows, k=5) if t]
-    rng.shuffle(rows)
-    found = sorted((r.doc_id if r.doc_id is not None else -1, r.n_shingles, r.component_id if r.component_id is not None else -1) for r in jaccard_components(frame(spark, rows)).collect())
-    assert found == [(i, n, -1 if c is None else c) for i, n, c in brute_jaccard(rows)]
+def components(spark, rows, **parameters):
+    found = jaccard_components(frame(spark, rows), **parameters).collect()
+    return sorted((-1 if r.doc_id is None else r.doc_id, r.n_shingles, -1 if r.component_id is None else r.component_id) for r in found)
+
+
+def brute_components(tables, percent=85, size=4):
+    return sorted((i, n, -1 if c is None else c) for rows in tables for i, n, c in brute_jaccard(rows, percent, size))
+
+
+def test_jaccard(spark):
+    tables = [near_copies(1), *side_by_side([near_copies(seed) for seed in (1, 2)])]
+    assert components(spark, [r for rows in tables for r in rows]) == brute_components(tables)
+
 
+def test_jaccard_of_repeated_ids(spark):
+    """In twenty tables a third of the rows share ids with other texts; some are copies of whole rows, or differ in case only."""
+    tables = []
+    for seed in range(3, 23):
+        rng = random.Random(seed)
+        rows = [(i if i is None or rng.random() < 0.7 else rng.randrange(10, 60), t) for i, t in near_copies(seed)]
+        tables.append(rows + rng.choices(rows, k=15) + [(i, t.upper()) for i, t in rng.choices(rows, k=5) if t])
+    tables = list(side_by_side(tables))
+    rows = [r for rows in tables for r in rows]
+    random.Random(1).shuffle(rows)
+    assert components(spark, rows) == brute_components(tables)
 
-@pytest.mark.parametrize("seed,length", [(1, 60), (2, 150), (3, 400)])
-def test_jaccard_in_a_large_group_around_the_threshold(spark, seed, length):
+
+def large_group(seed, length):
     """Copies of one text with up to two thirds of the edits that a link allows, and beyond; edits recur among them."""
     rng = random.Random(seed)
     words = [f"w{k}" for k in range(400)]
@@ -238,17 +253,20 @@ def test_jaccard_in_a_large_group_around_the_threshold(spark, seed, length):
             else:
                 text[spot] = rng.choice(words[:12]) if kind < 0.8 else f"own{i}{spot}"
         rows.append((i, " ".join(text)))
-    for percent, size in ((85, 4), (80, 5)):
-        found = sorted((r.doc_id, r.n_shingles, r.component_id) for r in jaccard_components(frame(spark, rows), size=size, percent=percent).collect())
-        assert found == brute_jaccard(rows, percent, size)
+    return rows
+
+
+@pytest.mark.parametrize(("percent", "size"), [(85, 4), (80, 5)])
+def test_jaccard_in_large_groups_around_the_threshold(spark, percent, size):
+    tables = list(side_by_side([large_group(seed, length) for seed, length in enumerate((40, 60, 150, 400))]))
+    assert components(spark, [r for rows in tables for r in rows], percent=percent, size=size) == brute_components(tables, percent, size)
 
 
 def test_jaccard_of_words_made_to_collide(spark):
     bits = [bin(k).count("1") % 2 for k in range(2048)]
     one, other = "".join("ab"[x] for x in bits), "".join("ba"[x] for x in bits)
     rows = [(k, f"{word} and {'common ' * k}words") for k, word in enumerate([one, other, one, other])] + [(10, f"same {one}"), (11, f"same {other}"), (12, f"same {one}")]
-    found = sorted((r.doc_id, r.n_shingles, r.component_id) for r in jaccard_components(frame(spark, rows)).collect())
-    assert found == brute_jaccard(rows)
+    assert components(spark, rows) == brute_components([rows])
 
 
 def test_jaccard_of_nothing(spark):
@@ -261,8 +279,6 @@ def test_jaccard_of_nothing(spark):
 
 def test_language_accuracy_on_held_out_documents(spark, docs):
     """Fitted on three quarters of the documents, right on the rest without their declarations."""
-    from pyspark.sql import functions as F
-
     train, test = docs.where("doc_id % 4 <> 0"), docs.where("doc_id % 4 = 0 and n_chars > 100")
     rows = test.select(F.col("doc_id").alias("id"), "text", F.lit(None).cast("string").alias("declared"), F.lit("h").alias("host"), F.lit("").alias("domain"), F.lit("-").alias("mark"))
     found = {r.id: r.lang for r in identify(rows, training_rows(train)).collect()}
@@ -286,6 +302,68 @@ def test_language_fusion_and_odd_pages(spark, docs):
     assert {r.lang for r in identify(page_rows(df), training_rows(docs.limit(0))).collect()} == {None}
 
 
+def brute_language(rows, training):
+    """(lang, confidence, margin) of rows (text, declared, host, domain, mark) by plain sums; training: (text, lang)."""
+    from veritloom.llm.language_id import EFFECTIVE, FEATURES, SMOOTHING, trigrams
+
+    languages = sorted({lang for _, lang in training})
+    counts = np.array([sum((np.bincount(trigrams(t), minlength=FEATURES) for t, lang in training if lang == k), np.zeros(FEATURES)) for k in languages]) + 0.5
+    logs = np.log(counts / counts.sum(axis=1, keepdims=True))
+    share = np.array([sum(lang == k for _, lang in training) for k in languages]) / len(training)
+    found = []
+    for text, *_ in rows:
+        at = trigrams(text)
+        mean = logs[:, at].mean(axis=1) if len(at) else np.zeros(len(languages))
+        found.append((mean * min(len(at), EFFECTIVE), mean.max() + math.log(FEATURES) if len(at) else 0.0))
+    soft = [np.exp(x - x.max()) * share / (np.exp(x - x.max()) * share).sum() for x, _ in found]
+    total = sum(soft)
+    prior = (total + 1) / (total.sum() + len(languages))
+    near = lambda match: (sum((soft[m] for m in range(len(rows)) if match(rows[m])), np.zeros(len(languages))), sum(map(match, rows)))
+    out = []
+    for k, (_, declared, host, domain, mark) in enumerate(rows):
+        of_domain, n_domain = near(lambda r: r[3] == domain)
+        wide = (of_domain + SMOOTHING * prior) / (n_domain + SMOOTHING)
+        of_host, n_host = near(lambda r: r[2:4] == (host, domain))
+        post = found[k][0] + np.log((np.maximum(of_host - soft[k], 0) + SMOOTHING * wide) / (n_host - 1 + SMOOTHING))
+        for value, column in ((declared, 1), (mark, 4)):
+            have, n = near(lambda r: r[column] == value)
+            post = post + np.log((have + SMOOTHING * n / total.sum()) / (total + SMOOTHING))
+        out.append((languages[int(post.argmax())], 1 / np.exp(post - post.max()).sum(), found[k][1]))
+    return out
+
+
+def test_language_posterior(spark):
+    """Every figure of the fusion, where evidence agrees, disagrees and lacks."""
+    words = {"aa": "the of and that with this from house water".split(), "bb": "der die und das mit dieser aus haus wasser".split(), "cc": "el la y que con este desde casa agua".split()}
+    rng = random.Random(8)
+    said = lambda lang, n: " ".join(rng.choices(words[lang], k=n))
+    training = [(said(lang, 40), lang) for lang in ("aa", "aa", "aa", "bb", "bb", "cc")]
+    rows = [(said(rng.choice("ab") * 2, rng.choice([0, 1, 2, 30, 200])), rng.choice(["aa", "bb", "none", "other"]), f"h{rng.randrange(4)}", f"d{rng.randrange(2)}", rng.choice(["m1", "m2"])) for _ in range(60)]
+    rows += [("mit", "aa", "h9", "d9", "m1"), ("", "bb", "h1", "d1", "m2"), ("хтось десь колись", "none", "h1", "d1", "m2")]
+    told = {"none": None, "other": "zz"}
+    frame = spark.createDataFrame([(k, t, told.get(d, d), h, dom, m) for k, (t, d, h, dom, m) in enumerate(rows)], "id bigint, text string, declared string, host string, domain string, mark string").repartition(3)
+    sample = spark.createDataFrame([(k, t, lang) for k, (t, lang) in enumerate(training)], "id bigint, text string, lang string")
+    found = {r.id: r for r in identify(frame, sample).collect()}
+    fused = 0
+    for k, (lang, confidence, margin) in enumerate(brute_language(rows, training)):
+        r = found[k]
+        assert r.lang == lang and abs(r.confidence - confidence) < 1e-9 and abs(r.margin - margin) < 1e-9
+        assert r.kept == (r.n_features > 0 and confidence >= 0.5 and margin >= 0)
+        fused += r.n_features > 0 and r.text_lang != lang
+    assert fused and not found[len(rows) - 1].kept
+
+
+def test_language_of_no_known_text(spark, docs):
+    """Text of none of the sample's languages goes, whatever its host says; repeated rows of the sample count once."""
+    unknown = ["Это текст на языке которого нет в выборке " * 8, "xqzt vkjq zzxq wvkj qqzx kjxv " * 20, "zażółć gęślą jaźń szczebrzeszyn brzmi w trzcinie chrząszcz " * 5]
+    df = spark.createDataFrame([(9_000_000 + k, t, "s") for k, t in enumerate(unknown)], "doc_id bigint, text string, source string")
+    train = training_rows(docs.union(docs.where("doc_id = 1")).union(docs.where("doc_id = 1")))
+    both = document_rows(docs.select("doc_id", "text", "source")).union(document_rows(df))
+    found = {r.id: r for r in identify(both, train).collect()}
+    assert not any(found[9_000_000 + k].kept for k in range(len(unknown)))
+    assert sum(r.kept for r in found.values()) >= 0.99 * docs.count()
+
+
 def test_strip_markup():
     assert strip_markup("<p>a<!-- b --> &amp; <SCRIPT>x</SCRIPT>c</p>").split() == ["a", "&", "c"]
     assert strip_markup(None) == ""
@@ -384,6 +462,26 @@ def measures(text):
     return len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", text)), len(lines) - len(set(lines)), len(covered)
 
 
+def brute_ratio(cases, good):
+    """Every document's mean log ratio of its words and pairs, and the least one that passes."""
+    import xxhash
+
+    from veritloom.llm.quality_rules import BUCKETS, LEAST_WORDS, SPREADS
+
+    def features(text):
+        w = [x.encode() for x in re.findall(r"[^\x20\x09-\x0D]+", text or "")]
+        one = [xxhash.xxh64_intdigest(x, 42) for x in w]
+        return [h % BUCKETS for h in one] + [xxhash.xxh64_intdigest(y, h) % BUCKETS for h, y in zip(one, w[1:])]
+
+    found = [features(t) for _, t in cases]
+    raw = np.bincount([f for x in found for f in x], minlength=BUCKETS) + 1
+    target = np.bincount([f for (i, _), x in zip(cases, found, strict=True) if i in good for f in x], minlength=BUCKETS) + 1
+    ratio = np.log(target / target.sum()) - np.log(raw / raw.sum())
+    score = [float(ratio[x].mean()) if x else 0.0 for x in found]
+    trusted = [s for s, (i, _), x in zip(score, cases, found, strict=True) if i in good and (len(x) + 1) // 2 >= LEAST_WORDS]
+    return score, np.mean(trusted) - SPREADS * np.std(trusted)
+
+
 def test_quality(spark, rows, docs, small):
     cases = [*rows.items(), (9001, None), (9002, ""), (9003, "a b a b a b a"), (None, "x\n\nx\n \nx"), (9004, "😀 é #\n\x0b\x1c b"), (9004, "dup"), (9005, "p q r " * 4000), (9006, "\n\n \n\n")]
     labels = spark.read.parquet(f"{small}/labels.parquet")
@@ -394,6 +492,9 @@ def test_quality(spark, rows, docs, small):
     for r in found:
         assert r.base_failed == (r.n_words < 50 or 100 * r.n_repeat_words > 50 * r.n_words)
         assert not (r.kept and r.base_failed)
+    score, least = brute_ratio(cases, {r.doc_id for r in labels.collect() if r.quality == 1 and not r.toxic})
+    assert sorted((key(r.doc_id), round(r.score, 6)) for r in found) == sorted((key(i), round(x, 6)) for (i, _), x in zip(cases, score, strict=True))
+    assert all(r.kept == (not r.base_failed and r.score >= least) for r in found if abs(r.score - least) > 1e-6)
     label = {r.doc_id: r for r in labels.collect()}
     judged = [(r.kept, label[r.doc_id]) for r in found if r.doc_id in label and not r.base_failed]
     assert all(kept for kept, x in judged if x.quality == 1 and not x.toxic), "clean documents stay"
@@ -422,7 +523,7 @@ def test_pipeline(spark, small, docs):
             say = {r.doc_id for r in quality_rules(kept, spark.read.parquet(f"{small}/labels.parquet")).collect() if r.kept}
             assert {r.doc_id for r in after.collect()} == say
         if name == "n-gram Jaccard join":
-            say = {c for i, _, c in brute_jaccard([(r.doc_id, r.text) for r in kept.collect()])}
+            say = {c for i, _, c in brute_jaccard([(r.doc_id, r.text) for r in kept.collect()], 80, 5)}
             assert {r.doc_id for r in after.collect()} == say and n[-1] == len(say)
         kept = after
     assert 0 < n[2] < n[1] <= n[0] < docs.count()
@@ -447,6 +548,21 @@ def test_pipeline_joins_at_five_words_and_four_fifths(spark, docs, small):
     assert {r.doc_id for r in corpus_pipeline.jaccard_join(spark, rows, small).collect()} == stay
 
 
+def test_pipeline_keeps_columns_whatever_their_names(spark, docs, small):
+    """Columns named like those of the stages, and ids of several texts."""
+    names = ["row", "id", "key", "gone", "several", "kept", "a.b", "_key"]
+    more = docs.limit(40).selectExpr("doc_id", "text", "lang", "source", "n_chars", *(f"concat('{n}', doc_id) as `{n}`" for n in names))
+    other = more.where("doc_id = 3").withColumn("text", F.concat(F.reverse("text"), F.lit(" so another text")))
+    rows = more.union(other).union(more.where("doc_id = 5"))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        after = stage(spark, rows, small)
+        assert after.columns == rows.columns
+        ids = [r.doc_id for r in after.collect()]
+        if name == "n-gram Jaccard join":
+            assert ids.count(3) == 2 and ids.count(5) <= 1
+        assert {tuple(r) for r in after.collect()} <= {tuple(r) for r in rows.collect()}
+
+
 def test_pipeline_with_odd_rows(spark, tmp_path, docs, small):
     odd = spark.createDataFrame([(None, None, None, None, None), (1, "", "en", "s", 0), (2, "word " * 100, None, None, None)], docs.schema)
     twice = docs.limit(30)

@@ -204,6 +204,14 @@ def test_shards(docs):
     assert all(grown[r.doc_id, r.text] == r.grown_shard for r in rows)
 
 
+def test_shards_of_columns_named_like_its_own(spark):
+    names = ["doc_id", "text", "at", "_at", "row", "rows", "place", "bucket", "base", "a.b"]
+    docs = spark.createDataFrame([tuple([k, f"text {k}", *(f"{n}{k}" for n in names[2:])]) for k in range(50)], names)
+    rows = shard_documents(docs, shards=3, bucket_bytes=200)
+    assert rows.columns == [*names, "shard", "slot", "size", "grown_shard"]
+    assert sorted(tuple(r)[:10] for r in rows.collect()) == sorted(map(tuple, docs.collect()))
+
+
 def test_shards_of_nothing(empty):
     assert shard_documents(empty).count() == 0
 
