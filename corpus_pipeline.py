@@ -2,7 +2,15 @@
 
 ``run(spark, sf_dir)`` applies the stages to ``documents``; each stage's result
 is written as Parquet and read again as the next one's documents.  All stages
-but the last return the columns of ``documents``.
+but the last return the columns of ``documents``, whatever their names: a row
+travels as one struct.  Filters add no shuffle of texts of their own.
+
+Defined results: null and empty texts fail the base rules and go with the first
+stage; rows with a null id are judged like others and are never near copies;
+rows that share an id are documents of their own in every stage, equal rows
+copies of each other; without labels the base rules decide alone; without a
+declared language nothing can be told apart and the second stage keeps nothing;
+an empty table passes through all stages.
 """
 
 from __future__ import annotations
@@ -16,47 +24,52 @@ from veritloom.llm.common import table, written
 ORACLE_SQL = None
 
 
-def _row_key(docs: DataFrame) -> Column:
-    """Equal for equal rows only; every stage decides alike about equal rows."""
-    return F.xxhash64("doc_id", "text", "lang", "source")
-
-
-def _only(docs: DataFrame, keys: DataFrame) -> DataFrame:
-    """Rows of ``docs`` whose key is among ``keys``, with the columns of ``docs``."""
-    return docs.withColumn("_key", _row_key(docs)).join(keys.select("_key"), "_key", "left_semi").drop("_key")
+def _row(docs: DataFrame) -> Column:
+    """All columns as one."""
+    return F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rules and the likelihood-ratio threshold."""
     from veritloom.llm import quality_rules as op
 
-    judged = op.quality_rules(docs.withColumn("_key", _row_key(docs)), table(spark, sf_dir, "labels"), carry=("_key",))
-    return _only(docs, judged.where("kept"))
+    judged = op.quality_rules(docs.select(_row(docs), "doc_id", "text"), table(spark, sf_dir, "labels"), carry=("row",))
+    return judged.where("kept").select("row.*")
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is identified with confidence."""
+    """Documents whose text is in one of the known languages, told with confidence.
+
+    The model learns from the lang column, so that column is no evidence here:
+    text and source decide.  Only verdicts of rejected documents are joined.
+    """
     from veritloom.llm.language_id import document_rows, identify, training_rows
 
-    rows = document_rows(docs.withColumn("doc_id", _row_key(docs)))
-    judged = identify(rows, training_rows(docs))
-    return _only(docs, judged.where("kept").withColumnRenamed("id", "_key"))
+    keyed = docs.select(_row(docs), F.xxhash64("doc_id", "text", "lang", "source").alias("key"))  # equal for equal rows
+    rows = document_rows(keyed.select(F.col("key").alias("doc_id"), "row.text", "row.source"))
+    gone = identify(rows, training_rows(docs)).where("not kept").select(F.col("id").alias("gone")).distinct()
+    return keyed.join(gone, F.col("key") == F.col("gone"), "left_anti").select("row.*")
 
 
 def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies (five-word shingles, similarity 0.8): the one with the smallest id.
 
-    Rows with a null id link with nothing and stay; of rows that share an id
-    one stays.
+    Rows with a null id stay.  Rows that share an id get one of their own from
+    their content, so that they are near copies of each other only by their texts.
     """
     from veritloom.llm.jaccard_join import jaccard_components
 
-    firsts = jaccard_components(docs, size=5, percent=80).where("doc_id = component_id").select(F.col("doc_id").alias("_first")).distinct()
-    stay = docs.join(firsts, docs["doc_id"] == firsts["_first"], "left").where("_first is not null or doc_id is null").drop("_first")
-    several = docs.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("_n")).where("_n > 1").select("doc_id")
-    if several.isEmpty():
-        return stay
-    return stay.join(several, "doc_id", "left_anti").unionByName(stay.join(several, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
+    several = docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("several"))
+    repeated = not several.isEmpty()
+    named = docs.select(_row(docs), F.col("doc_id").alias("id"), "text")
+    if repeated:
+        named = named.join(several, F.col("id") == F.col("several"), "left").withColumn("id", F.when(F.col("several").isNull(), F.col("id")).otherwise(F.xxhash64("id", "text")))
+    found = jaccard_components(named, id_col="id", size=5, percent=80)
+    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("gone")).distinct()
+    stay = named.join(gone, F.col("id") == F.col("gone"), "left_anti")
+    if repeated:
+        stay = stay.where("several is null").unionByName(stay.where("several is not null").dropDuplicates(["id"]))
+    return stay.select("row.*")
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
