@@ -145,11 +145,35 @@ def test_vectors(spark):
     assert [i for i, _ in found] == [i for i, _ in expected]
     assert all(a <= b for (_, a), (_, b) in zip(found, expected, strict=True)), "a link below the cosine"
     assert both >= 0.9 * all_, "recall"
-    kept = {r.vec_id: (r.component_id, r.kept) for r in near_duplicate_vectors(df).collect()}
+    again = near_duplicate_vectors(df).collect()
+    if both == all_:
+        of = lambda i, c: (-1 if i is None else i, -1 if c is None else c)
+        assert sorted(of(r.vec_id, r.component_id) for r in again) == sorted(of(i, c) for i, _, c in expected)
+    kept = {r.vec_id: (r.component_id, r.kept) for r in again}
     assert kept[6][0] == 6 and kept[9] == (6, False) and kept[1] == (1, True) and kept[51] == (50, False) and kept[None] == (None, False)
     assert near_duplicate_vectors(df.limit(0)).count() == 0
 
 
+def test_vector_tables_grow_with_the_vectors():
+    """More bits and tables for more vectors: as many pairs at the cosine meet, and fewer of the others."""
+    from veritloom.llm import itq_dedup
+
+    rng = np.random.default_rng(5)
+    x = rng.standard_normal((3000, 32))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    off = rng.standard_normal(x.shape)
+    off -= (off * x).sum(axis=1, keepdims=True) * x
+    near = 0.9 * x + math.sqrt(0.19) * off / np.linalg.norm(off, axis=1, keepdims=True)
+    rates = []
+    for n in (1 << 16, 1 << 20, 1 << 24):
+        width, tables = itq_dedup.plan_tables(n)
+        projection = itq_dedup.fit_rotation(x, width * tables)
+        code, other = (itq_dedup.encode(v, projection, width) for v in (x, near))
+        assert (code == other).any(axis=1).mean() >= 0.9
+        rates.append((code[:-1] == code[1:]).any(axis=1).mean())
+    assert rates[0] > 3 * rates[1] > 9 * rates[2]
+
+
 def test_vector_tiles(spark, monkeypatch):
     from veritloom.llm import itq_dedup
 
@@ -373,7 +397,9 @@ def test_strip_markup():
 
 
 def test_base_scores_are_exact(spark, rows, docs):
-    cases = [*rows.items(), (9001, None), (9002, ""), (None, "the of"), (9003, "THE unseenword"), (9003, "the")]
+    bits = [bin(k).count("1") % 2 for k in range(1 << 13)]
+    odd = ["".join(letters[x] for x in bits[:n]) for n in (1024, 2048, 1 << 13) for letters in ("ab", "ba")]  # a weak hash takes them for equal
+    cases = [*rows.items(), (9001, None), (9002, ""), (None, "the of"), (9003, "THE unseenword"), (9003, "the"), *((9100 + k, w) for k, w in enumerate(odd)), (9200, " ".join(odd[::2]))]
     found = bloom_lm.score_documents(frame(spark, cases)).collect()
     tokens = lambda t: [*(t or "").encode().lower().split(), b"\n"]
     held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 5 == 1

@@ -21,6 +21,8 @@ rarer with each.
   with c from probes.
 
 The *base score* needs exact word counts, which come back beside the levels.
+Words are told apart by 64-bit hashes that no simple construction makes meet; two
+unequal words of a corpus do by chance with 2**-64.
 
 Defined results: a null or empty text is one end mark; a null id is in training
 and keeps its null; rows with equal ids are documents of their own; without

@@ -13,7 +13,9 @@ within each the merges happen in the order of their ranks, leftmost first.
 
 Defined results: a null or empty text has no ids; equal texts have equal ids;
 bytes that no merge covers stay single-byte ids, so decoding gives the text's
-bytes back.
+bytes back; null and repeated document ids are kept as they are; an empty table
+gives no rows; columns other than the id and text are ignored, whatever their
+names.
 """
 
 from __future__ import annotations

@@ -4,9 +4,9 @@
 2. *Rotation.*  On a bounded sample, principal directions are followed by an
    orthogonal rotation that alternates with the binary codes it gives (ITQ), so
    that bits are balanced and quantisation loses little.
-3. *Codes.*  Every vector gets ``CODE_BITS`` bits, cut into ``TABLES`` parts.
-   Each part is the key of one hash table; vectors are candidates when any of
-   their parts are equal.
+3. *Codes.*  Every vector gets a code of several parts.  Each part is the key
+   of one hash table; vectors are candidates when any of their parts are equal,
+   so codes within a Hamming distance below the number of parts always meet.
 4. *Rerank.*  Candidates are compared by the cosine of the original vectors in
    double precision; a pair found in several tables counts in the first only.
 
@@ -15,9 +15,13 @@ is one task's group, so no bucket has to fit in one task.  Pairs are counted and
 tied inside the group: a group returns a row per vector (its links and the
 smallest vector it is tied to), never its pairs.
 
-Parameters follow from the angle: at cosine 0.9 a bit differs with probability
-0.144, so 8 of 8 bits agree with 0.29 and at least one of 8 tables with 0.94;
-at 0.95 with 0.99.  ``recall`` in the tests compares with brute force.
+Parameters follow from the angle and the number of vectors.  At cosine 0.9 a bit
+differs with probability 0.144 (the angle over pi), so a part of w bits agrees
+with 0.856**w and as many tables are made as bring the chance that at least one
+agrees to ``RECALL``.  Parts have 8 bits (and 9 tables) up to 2**17 vectors and one more with
+every doubling, so a bucket of vectors that have nothing in common keeps its
+size: work grows with N**1.22, not with N**2.  ``recall`` in the tests compares
+with brute force.
 
 Defined results: vectors that are null, empty, zero, or hold a null or
 non-finite component link with nothing; vectors of different length never link
@@ -28,6 +32,7 @@ null component and links with nothing; an empty table gives no rows.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,7 +44,8 @@ from pyspark.sql import functions as F
 from .common import written
 from .components import connected_components
 
-CODE_BITS, TABLES = 64, 8
+#: Vectors in a bucket of unrelated ones, about; the least bits of a part; the chance to meet at the cosine.
+BUCKET, LEAST_BITS, RECALL = 512, 8, 0.95
 #: Vectors that the rotation is fitted on (by least hash of their id).
 SAMPLE = 4096
 ITERATIONS = 30
@@ -47,7 +53,14 @@ ITERATIONS = 30
 TILE = 2048
 
 
-def fit_rotation(sample: np.ndarray, bits: int = CODE_BITS, iterations: int = ITERATIONS, seed: int = 7) -> np.ndarray:
+def plan_tables(n: int, cosine: float = 0.9) -> tuple[int, int]:
+    """(bits of a part, tables) for ``n`` vectors."""
+    width = min(31, max(LEAST_BITS, math.ceil(math.log2(max(n, 1) / BUCKET))))
+    agree = (1 - math.acos(cosine) / math.pi) ** width
+    return width, math.ceil(math.log(1 - RECALL) / math.log(1 - agree))
+
+
+def fit_rotation(sample: np.ndarray, bits: int, iterations: int = ITERATIONS, seed: int = 7) -> np.ndarray:
     """Projection of unit vectors: the sign of ``x @ projection`` is the code.
 
     Vectors are not centred: the angle between two of them then bounds how many
@@ -71,10 +84,10 @@ def fit_rotation(sample: np.ndarray, bits: int = CODE_BITS, iterations: int = IT
     return np.concatenate(parts, axis=1)
 
 
-def encode(unit: np.ndarray, projection: np.ndarray) -> np.ndarray:
-    """Codes as unsigned 64-bit integers."""
-    set_bits = (unit @ projection >= 0).astype(np.uint64)
-    return (set_bits << np.arange(projection.shape[1], dtype=np.uint64)).sum(axis=1, dtype=np.uint64)
+def encode(unit: np.ndarray, projection: np.ndarray, width: int) -> np.ndarray:
+    """Parts of the codes as 32-bit integers [vector, table]."""
+    bits = (unit @ projection >= 0).reshape(len(unit), -1, width)
+    return (bits << np.arange(width)).sum(axis=2).astype(np.int32)
 
 
 def _unit(raw: list[bytes]) -> np.ndarray:
@@ -97,10 +110,9 @@ def _vectors(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "vec_id bigint, raw binary")
 
 
-def _tables(reps: DataFrame, fitted: dict[int, np.ndarray]) -> DataFrame:
-    """A row for each vector and table: tbl, key (dimension and part of the code), rep, copies, code, raw."""
+def _tables(reps: DataFrame, fitted: dict[int, np.ndarray], width: int, tables: int) -> DataFrame:
+    """A row for each vector and table: tbl, key (dimension and part of the code), rep, copies, code (all parts), raw."""
     shared = reps.sparkSession.sparkContext.broadcast(fitted)
-    width = CODE_BITS // TABLES
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -114,27 +126,22 @@ def _tables(reps: DataFrame, fitted: dict[int, np.ndarray]) -> DataFrame:
                     unit = _unit(mine)
                     projection = shared.value.get(size)
                     if projection is None:
-                        projection = np.eye(size)[:, np.arange(CODE_BITS) % size]
-                    codes = encode(unit, projection)
-                    for t in range(TABLES):
-                        part = (codes >> np.uint64(t * width)) & np.uint64((1 << width) - 1)
-                        key = part.astype(np.int64) | np.int64(size << width)
+                        projection = np.eye(size)[:, np.arange(width * tables) % size]
+                    codes = encode(unit, projection, width)
+                    packed = pa.array([c.tobytes() for c in codes], pa.binary())
+                    for t in range(tables):
+                        key = codes[:, t].astype(np.int64) | np.int64(size << 32)
                         yield pa.RecordBatch.from_arrays(
-                            [pa.array([t] * len(at), pa.int32()), pa.array(key), pa.array([rep[k] for k in at], pa.int64()), pa.array([copies[k] for k in at], pa.int64()), pa.array(codes.view(np.int64)), pa.array(mine, pa.binary())],
+                            [pa.array([t] * len(at), pa.int32()), pa.array(key), pa.array([rep[k] for k in at], pa.int64()), pa.array([copies[k] for k in at], pa.int64()), packed, pa.array(mine, pa.binary())],
                             names=["tbl", "key", "rep", "copies", "code", "raw"],
                         )
 
-    return reps.select("rep", "copies", "raw").mapInArrow(run, "tbl int, key bigint, rep bigint, copies bigint, code bigint, raw binary")
+    return reps.select("rep", "copies", "raw").mapInArrow(run, "tbl int, key bigint, rep bigint, copies bigint, code binary, raw binary")
 
 
 def _first_table(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """The first table in which two codes share their part (TABLES if none)."""
-    width = CODE_BITS // TABLES
-    differ = a ^ b
-    out = np.full(len(a), TABLES)
-    for t in reversed(range(TABLES)):
-        out[(differ >> np.uint64(t * width)) & np.uint64((1 << width) - 1) == 0] = t
-    return out
+    """The first table in which two codes (rows) share their part."""
+    return (a == b).argmax(axis=1)
 
 
 def _least_tied(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -158,7 +165,7 @@ def _rerank(tiled: DataFrame, cosine: float) -> DataFrame:
         t, i, j = int(group["tbl"].iat[0]), int(group["i"].iat[0]), int(group["j"].iat[0])
         group = group.sort_values("rep", kind="stable")
         rep, copies, tile = group["rep"].to_numpy(), group["copies"].to_numpy(), group["tile"].to_numpy()
-        code, unit = group["code"].to_numpy().view(np.uint64), _unit(group["raw"].tolist())
+        code, unit = np.stack([np.frombuffer(c, np.int32) for c in group["code"]]), _unit(group["raw"].tolist())
         left = np.flatnonzero(tile == i)
         right = np.flatnonzero(tile == j)
         links = np.zeros(len(rep), np.int64)
@@ -195,9 +202,10 @@ def near_duplicate_vectors(
     by_size: dict[int, list[bytes]] = {}
     for (raw,) in chosen:
         by_size.setdefault(len(raw) // 8, []).append(bytes(raw))
-    fitted = {size: fit_rotation(_unit(found)) for size, found in by_size.items()}
+    width, n_tables = plan_tables(reps.count(), cosine)
+    fitted = {size: fit_rotation(_unit(found), width * n_tables) for size, found in by_size.items()}
 
-    tables = written(_tables(reps, fitted), "itq-tables")
+    tables = written(_tables(reps, fitted, width, n_tables), "itq-tables")
     tiles = tables.groupBy("tbl", "key").agg(F.ceil(F.count("*") / TILE).cast("int").alias("tiles"))
     tile = F.pmod(F.xxhash64("rep", "raw"), F.col("tiles")).cast("int")
     spread = tables.join(tiles, ["tbl", "key"]).withColumn("tile", tile)

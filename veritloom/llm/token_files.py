@@ -16,7 +16,8 @@ attempt that succeeded, so lost executors and speculative copies do no harm.
 Defined results: a null or empty text is a document of the end token alone;
 documents with a null id come first (their number is in the manifest) and keep
 the null; rows with equal ids stand next to each other in order of their text's
-hash; an empty table gives an empty manifest.
+hash; an empty table gives an empty manifest; columns other than the id and
+text are ignored, whatever their names.
 """
 
 from __future__ import annotations
