@@ -363,15 +363,15 @@ def jaccard_components(
     keys = [f"key{k}" for k in range(KEYS)]
     nodes = written(named.groupBy("set_hash").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), *(F.min(k).alias(k) for k in keys)), "join-classes")
 
-    # Ids of several rows; where these differ, the sets are one node and have no home.
-    several = written(named.groupBy("doc_id").agg(F.count("*").alias("rows"), F.min("set_hash").alias("low"), F.max("set_hash").alias("high")).where("rows > 1"), "join-repeated")
+    # Ids of several rows are nodes that tie their sets; where these differ, they have no home.
+    of_id = sets.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("rows"), F.min("set_hash").alias("low"), F.max("set_hash").alias("high"))
+    several = written(of_id.where("rows > 1"), "join-repeated")
     repeated = None if several.isEmpty() else several.select("doc_id")
     settled, ties = nodes, None
     if repeated is not None:
         unlike = several.where("low <> high").select("doc_id")
         settled = nodes.join(unlike, nodes["rep"] == unlike["doc_id"], "left_anti")
-        of_id = named.join(unlike, "doc_id").join(nodes, "set_hash").select("doc_id", "rep").distinct()
-        ties = of_id.join(of_id.groupBy("doc_id").agg(F.min("rep").alias("low")), "doc_id").select("rep", "low")
+        ties = named.join(repeated, "doc_id").join(nodes, "set_hash").where("doc_id <> rep").select("doc_id", "rep").distinct()
 
     homes = _homes(settled)
     deltas = _deltas(docs, homes, repeated, size, percent, orders)
