@@ -157,12 +157,12 @@ def _homes(nodes: DataFrame) -> DataFrame:
     """(rep, home): the most central leader that a class shares keys with, where that is not itself."""
     keyed = nodes.select("rep", F.explode(F.array(*(f"key{k}" for k in range(KEYS)))).alias("key"))
     counts = written(keyed.groupBy("key").agg(F.count("*").alias("times")).where("times > 1"), "join-keys")
-    shared = keep_possible_ids(keyed, "key", counts, "key").join(counts, "key")
+    shared = keep_possible_ids(keyed, "key", counts, "key").join(counts.hint("merge"), "key")
     # A class has KEYS rows at most.
     score = F.sum(F.round(16 * F.log2("times")).cast("bigint")).over(Window.partitionBy("rep"))
     shared = written(shared.select("rep", "key", score.alias("score")), "join-scores")
     lead = shared.groupBy("key").agg(F.max(F.struct("score", (-F.col("rep")).alias("order"))).alias("lead"))
-    led = shared.join(lead, "key").select("rep", "lead").repartition("rep")
+    led = shared.join(lead.hint("merge"), "key").select("rep", "lead").repartition("rep")
     most = led.groupBy("rep", "lead").agg(F.count("*").alias("times")).where(f"times >= {SAME_KEYS} or rep = -lead.order").groupBy("rep").agg(F.max("lead").alias("lead"))
     homes = written(most.select("rep", (-F.col("lead.order")).alias("home")).where("rep <> home"), "join-homes")
     discard(counts, shared)
@@ -171,8 +171,9 @@ def _homes(nodes: DataFrame) -> DataFrame:
 
 def _texts(docs: DataFrame, ids: DataFrame, repeated: DataFrame | None) -> DataFrame:
     """(doc_id, text) of the given ids (column doc_id, distinct), equal rows once."""
-    # An inner join, as a semi-join would be planned below the filter and shuffle every text.
-    found = keep_possible_ids(docs, "doc_id", ids, "doc_id").join(ids, "doc_id")
+    # An inner join, as a semi-join would be planned below the filter and shuffle every text.  Tables of ids and of
+    # tokens grow with the corpus: they are merged at every size, never sent through the driver.
+    found = keep_possible_ids(docs, "doc_id", ids, "doc_id").join(ids.hint("merge"), "doc_id")
     if repeated is None:
         return found
     again = F.broadcast if repeated.count() < 100_000 else (lambda x: x)
@@ -219,8 +220,8 @@ def _deltas(docs: DataFrame, homes: DataFrame, repeated: DataFrame | None, size:
 
     ids = homes.select(F.col("rep").alias("doc_id")).union(homes.select("home")).distinct()
     texts = written(_texts(docs, ids, repeated), "join-texts")
-    members = texts.join(homes.withColumnRenamed("rep", "doc_id"), "doc_id")
-    rows = members.join(texts.select(F.col("doc_id").alias("home"), F.col("text").alias("leader")), "home").select("doc_id", "home", "text", "leader")
+    members = texts.join(homes.withColumnRenamed("rep", "doc_id").hint("merge"), "doc_id")
+    rows = members.hint("merge").join(texts.select(F.col("doc_id").alias("home"), F.col("text").alias("leader")), "home").select("doc_id", "home", "text", "leader")
     others = [f"order{k}" for k in range(1, orders)]
     names = ["rep", "home", "n_home", "cost", "least", "delta", *others]
     found = written(rows.mapInArrow(run, f"rep bigint, home bigint, n_home bigint, cost bigint, least bigint, delta array<bigint>, {', '.join(f'{o} array<int>' for o in others)}"), "join-deltas")
@@ -295,7 +296,6 @@ def _mixed(rows: DataFrame, group: str = "grp") -> DataFrame:
 def _sharing(rows: DataFrame, percent: int, label: str, group: str = "grp") -> DataFrame:
     """doc_id of the rows (doc_id, n, group, token) of longer prefixes that share as many tokens with other groups as a link needs."""
     mixed = written(_mixed(rows, group), f"{label}-tokens")
-    # Tables of tokens grow with the corpus: they are never sent through the driver.
     shared = keep_possible_ids(rows, "token", mixed, "token").join(mixed.hint("merge"), "token").groupBy("doc_id", "n").agg(F.count("*").alias("shared"))
     found = written(shared.where(f"shared >= {_least_shared('n', percent)}").select("doc_id").distinct(), label)
     discard(mixed)
@@ -311,13 +311,13 @@ def _cross_links(sets: DataFrame, known: DataFrame, docs: DataFrame, repeated: D
     # other homes; the first needs no join with homes.  Equal sets have equal halves of their digests.
     half = F.conv(F.substring(F.hex("set_hash"), 1, 15), 16, 10).cast("bigint")
     near = _sharing(sets.select("doc_id", "n", half.alias("part"), F.explode("prefix").alias("token")), percent, "join-near", "part")
-    some = keep_possible_ids(sets, "doc_id", near, "doc_id").join(near, "doc_id").join(known, "set_hash", "left").where("rep is null or rep = doc_id")
+    some = keep_possible_ids(sets, "doc_id", near, "doc_id").join(near.hint("merge"), "doc_id").join(known.hint("merge"), "set_hash", "left").where("rep is null or rep = doc_id")
     involved = _sharing(some.select("doc_id", "n", F.coalesce("grp", "doc_id").alias("grp"), F.explode("prefix").alias("token")), percent, "join-involved")
 
     whole = _token_sets(_texts(docs, involved, repeated), size, percent, orders)
     if repeated is not None:  # texts of one id and set
         whole = whole.dropDuplicates(["doc_id", "set_hash"])
-    whole = written(whole.join(known, "set_hash", "left").where("rep is null or rep = doc_id").withColumn("grp", F.coalesce("grp", "doc_id")).drop("rep"), "join-sets")
+    whole = written(whole.join(known.hint("merge"), "set_hash", "left").where("rep is null or rep = doc_id").withColumn("grp", F.coalesce("grp", "doc_id")).drop("rep"), "join-sets")
     rows = whole.select("set_hash", "doc_id", "n", "grp", F.explode("tokens").alias("token"))
     counts = rows.groupBy("token").agg(F.count("*").alias("df"), F.min("grp").alias("low"), F.max("grp").alias("high")).where("low <> high").select("token", "df")
     counts = written(counts, "join-tokens")
