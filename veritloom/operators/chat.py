@@ -11,6 +11,11 @@ from .validate import violations
 BATCH_NODES = 50
 
 
+def said_by(messages: DataFrame, role: str = "assistant") -> DataFrame:
+    """The messages of one role."""
+    return messages.where(F.col("role") == role)
+
+
 def valid_units(text: Column, strict: bool = True) -> Column:
     """How many statements of a text are valid."""
     return F.size(F.filter(parse(text), lambda u: F.size(violations(u["text"], strict)) == 0)).cast("bigint")

@@ -43,9 +43,14 @@ class Projection:
     metadata: DataFrame
 
 
+def coherent(weights: DataFrame, threshold: float) -> DataFrame:
+    """Weighted edges at or above a coherence threshold."""
+    return weights.where(F.col("weight") >= threshold)
+
+
 def neighbors(weights: DataFrame, edges: DataFrame, threshold: float) -> DataFrame:
     """(node, other, weight, kind, edge_ord) from either end; weighted edges (kind 0) come first."""
-    w = weights.where(F.col("weight") >= threshold).select("source", "target", "weight", F.lit(0).alias("kind"), "edge_ord")
+    w = coherent(weights, threshold).select("source", "target", "weight", F.lit(0).alias("kind"), "edge_ord")
     e = edges.select("source", "target", F.lit(1.0).alias("weight"), F.lit(1).alias("kind"), "edge_ord")
     both = w.union(e)
     return both.select(F.col("source").alias("node"), F.col("target").alias("other"), "weight", "kind", "edge_ord").union(both.select("target", "source", "weight", "kind", "edge_ord"))
@@ -104,7 +109,7 @@ def extract_edges_flat(members: DataFrame, weights: DataFrame, edges: DataFrame,
     """All weighted edges at or above the threshold and all directed ones, within the members."""
     from ..operators.graph import edges_within
 
-    w = edges_within(weights.where(F.col("weight") >= threshold), members).select("source", "target", F.lit("related_to").alias("edge_type"), "weight")
+    w = edges_within(coherent(weights, threshold), members).select("source", "target", F.lit("related_to").alias("edge_type"), "weight")
     e = edges_within(edges, members).select("source", "target", F.col("type").alias("edge_type"), F.lit(None).cast("double").alias("weight"))
     return w.union(e)
 
@@ -113,7 +118,7 @@ def extract_edges(members: DataFrame, weights: DataFrame, edges: DataFrame, thre
     """Each member's k strongest weighted edges, each pair once, and all directed edges, within the members."""
     from ..operators.graph import edges_within
 
-    inside = edges_within(weights.where(F.col("weight") >= threshold), members).select("source", "target", "weight", "edge_ord")
+    inside = edges_within(coherent(weights, threshold), members).select("source", "target", "weight", "edge_ord")
     ends = inside.select(F.col("source").alias("node"), F.col("target").alias("other"), "*").union(inside.select(F.col("target"), F.col("source"), "*"))
     best = Window.partitionBy("node").orderBy(F.desc("weight"), "other", "edge_ord")
     top = ends.withColumn("_r", F.row_number().over(best)).where(F.col("_r") <= k)

@@ -572,12 +572,12 @@ def _(spark, d):
 
 @query("A10_node_count_per_message", O.A10)
 def _(spark, d):
-    m = _table(spark, d, "conversations").where("role = 'assistant'")
+    m = chat.said_by(_table(spark, d, "conversations"))
     return m.select("conv_id", "turn", chat.valid_units(F.col("text")).alias("n_valid"))
 
 
 def _messages(spark: SparkSession, d: str) -> DataFrame:
-    m = _table(spark, d, "conversations").where("role = 'assistant'")
+    m = chat.said_by(_table(spark, d, "conversations"))
     return m.select(F.col("conv_id").alias("scope"), F.col("turn").alias("ord"), "text", chat.valid_units(F.col("text")).alias("n_valid"))
 
 
@@ -606,7 +606,7 @@ def _(spark, d):
 
 @query("S3_scan_chat_flat", O.S3)
 def _(spark, d):
-    m = _table(spark, d, "conversations").where("role = 'assistant'")
+    m = chat.said_by(_table(spark, d, "conversations"))
     return m.select("conv_id", "turn", T.strip(F.col("text")).alias("text")).where(F.length("text") > 0)
 
 
@@ -640,7 +640,7 @@ def _(spark, d):
 @query("V13_coherence_filter", O.V13)
 def _(spark, d):
     _, weights, _ = _graph(spark, d)
-    return weights.where("weight >= 0.5").select("source", "target", "weight")
+    return projection.coherent(weights, 0.5).select("source", "target", "weight")
 
 
 @query("V14_topic_filter", O.V14)
@@ -658,7 +658,7 @@ def _(spark, d):
 
 @query("V16_role_filter", O.V16)
 def _(spark, d):
-    return _table(spark, d, "conversations").where("role = 'assistant'").select("conv_id", "turn")
+    return chat.said_by(_table(spark, d, "conversations")).select("conv_id", "turn")
 
 
 @query("V17_lod_visibility", O.V17)
