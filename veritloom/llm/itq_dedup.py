@@ -41,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import discard, written
 from .components import connected_components
 
 #: Vectors in a bucket of unrelated ones, about; the least bits of a part; the chance to meet at the cosine.
@@ -212,6 +212,7 @@ def near_duplicate_vectors(
     other = F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))
     tiled = spread.withColumn("other", other).select("tbl", "key", F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j"), "tile", "rep", "copies", "code", "raw")
     found = written(_rerank(tiled, cosine), "itq-links")
+    discard(tables)
 
     of_row = plain.join(reps, "raw", "left")
     same_id = usable.join(reps, "raw").where("vec_id <> rep").groupBy("vec_id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).where("a <> b").select("a", "b")

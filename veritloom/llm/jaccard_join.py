@@ -380,6 +380,7 @@ def jaccard_components(
     known = written(known.select("set_hash", "rep", F.coalesce("home", "rep").alias("grp")), "join-known")
     links = links.union(_cross_links(named.select("set_hash", "doc_id", "n", "prefix"), known, docs, repeated, size, percent, orders))
     final = written(connected_components(links if ties is None else links.union(ties)), "join-components")
+    discard(nodes, several, homes, deltas)
 
     of_set = sets.select("doc_id", F.col("n").alias("n_shingles"), F.expr("if(doc_id is null, null, set_hash)").alias("set_hash")).join(known.select("set_hash", "rep"), "set_hash", "left")
     of_set = of_set.select("doc_id", "n_shingles", F.coalesce("rep", "doc_id").alias("rep"))
