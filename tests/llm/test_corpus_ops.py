@@ -527,6 +527,18 @@ def test_quality(spark, rows, docs, small):
     assert sum(not kept for kept, x in judged if x.quality == 0) >= 0.9 * sum(x.quality == 0 for _, x in judged)
 
 
+def test_quality_learns_from_every_trusted_document(spark):
+    """More labelled good documents than any bounded sample took (16,384)."""
+    cases = [(i, f"w{i % 977} v{i % 1009} u{i}" if i % 50 else " ".join(f"w{(i + k * k) % 977}" for k in range(60))) for i in range(20_000)]
+    good = {i for i, _ in cases if i % 8 != 1}
+    labels = spark.createDataFrame([(i, int(i in good), 0) for i, _ in cases], "doc_id bigint, quality int, toxic int")
+    found = {r.doc_id: r for r in quality_rules(frame(spark, cases), labels).collect()}
+    score, least = brute_ratio(cases, good)
+    assert len(good) > 1 << 14 and len(found) == len(cases)
+    assert max(abs(found[i].score - x) for (i, _), x in zip(cases, score, strict=True)) < 1e-6
+    assert all(r.kept == (not r.base_failed and r.score >= least) for r in found.values() if abs(r.score - least) > 1e-6)
+
+
 def test_quality_without_labels_or_rows(spark, rows):
     assert quality_rules(frame(spark, []), None).count() == 0
     for r in quality_rules(frame(spark, list(rows.items())[:20]), None).collect():

@@ -2,17 +2,21 @@
 
 SQL functions only.  Words and pairs of neighbouring words are hashed to
 ``BUCKETS`` features.  Two multinomials are counted: of the *raw corpus* (all
-documents, in full) and of the *trusted target* (documents that labels call
-good, whole texts, a sample bounded by ``TRUSTED_SAMPLE``).  A document's score is the mean over its n-grams of
+documents, in full) and of the *trusted target* (every document that labels call
+good, whole texts).  A document's score is the mean over its n-grams of
 ``log(p_target / p_raw)``, with add-one smoothing; a document is kept if the
 score reaches ``threshold``.  Every document is scored and decided by the same
 rule; nothing is drawn at random.
 
-The threshold is the mean score of trusted documents minus ``SPREADS``
+The threshold is the mean score of all trusted documents minus ``SPREADS``
 standard deviations, so ordinary text passes whatever the features' number; no
 trusted document means no verdict, and the
 base rules decide alone.
 
+Labels may cover any share of the corpus.  Their ids are merged with those of
+documents behind an id filter, never broadcast: for the counts, the texts that
+pass the filter are shuffled once; for the threshold, their scores.
+
 Defined results: a null or empty text has no words and fails the base rules;
 null ids keep their null and are never trusted; rows with equal ids are
 documents of their own; a label given twice counts once; without labels the
@@ -28,8 +32,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Labelled good documents that make up the target, at most.
-TRUSTED_SAMPLE = 1 << 14
+from .common import keep_possible_ids
+
 #: Hashed features; the tables of both multinomials have this many rows.
 BUCKETS = 1 << 14
 #: Standard deviations below the trusted mean that still pass.
@@ -106,35 +110,51 @@ def features(words: Column) -> Column:
     return F.concat(single, pairs)
 
 
-def with_trust(docs: DataFrame, labels: DataFrame | None, sample: int = TRUSTED_SAMPLE) -> DataFrame:
-    """``docs`` with ``trusted``: among the labelled good documents of least hash.
+def score_of(words: Column, ratios: Column) -> Column:
+    total = F.aggregate(features(words), F.lit(0.0), lambda acc, f: acc + F.get(ratios, f))
+    return total / F.greatest(2 * F.size(words) - 1, F.lit(1))
 
-    At most ``sample`` ids are broadcast, so no text is shuffled.
-    """
-    if labels is None:
-        return docs.withColumn("trusted", F.lit(False))
-    good = labels.where("quality = 1 and coalesce(toxic, 0) = 0 and doc_id is not null").select(F.col("doc_id").cast("bigint").alias("_good")).distinct()
-    chosen = good.orderBy(F.xxhash64("_good"), "_good").limit(sample)
-    return docs.join(F.broadcast(chosen), F.col("doc_id") == F.col("_good"), "left").withColumn("trusted", F.col("_good").isNotNull()).drop("_good")
+
+def good_ids(labels: DataFrame) -> DataFrame:
+    """The ids, once each, of all documents that labels call good."""
+    return labels.where("quality = 1 and coalesce(toxic, 0) = 0 and doc_id is not null").select(F.col("doc_id").cast("bigint").alias("_good")).distinct()
 
 
-def feature_counts(docs: DataFrame) -> DataFrame:
-    """feature, raw, target: occurrences in all documents and in trusted ones."""
-    each = docs.select("trusted", F.explode(let(words_of(F.col("text")), features)).alias("feature"))
-    return each.groupBy("feature").agg(F.count("*").alias("raw"), F.count_if("trusted").alias("target"))
+def with_good_id(rows: DataFrame, good: DataFrame) -> DataFrame:
+    """Rows whose doc_id is among ``good``, merged at every size: ids grow with the corpus."""
+    return rows.join(good.hint("merge"), F.col("doc_id") == F.col("_good")).drop("_good")
 
 
-def log_ratios(counts: DataFrame) -> list[float]:
-    """``log(p_target / p_raw)`` by feature: BUCKETS numbers, whatever the corpus."""
-    raw, target = [0] * BUCKETS, [0] * BUCKETS
-    for feature, r, t in counts.collect():
-        raw[feature], target[feature] = r, t
+def feature_counts(docs: DataFrame) -> list[int]:
+    """Occurrences by feature: BUCKETS numbers, whatever the corpus."""
+    each = docs.select(F.explode(let(words_of(F.col("text")), features)).alias("feature"))
+    counts = [0] * BUCKETS
+    for feature, n in each.groupBy("feature").agg(F.count("*")).collect():
+        counts[feature] = n
+    return counts
+
+
+def log_ratios(raw: list[int], target: list[int]) -> list[float]:
+    """``log(p_target / p_raw)`` by feature."""
     n_raw, n_target = sum(raw) + BUCKETS, sum(target) + BUCKETS
-    if n_target == BUCKETS:
-        return [0.0] * BUCKETS
     return [math.log((t + 1) / n_target) - math.log((r + 1) / n_raw) for r, t in zip(raw, target, strict=True)]
 
 
+def trusted_model(docs: DataFrame, labels: DataFrame | None) -> tuple[Column, float | None, float | None]:
+    """The ratios, and mean and spread of the scores of trusted documents, if any."""
+    if labels is None:
+        return constant_array([0.0] * BUCKETS), None, None
+    good = good_ids(labels)
+    docs = docs.select("doc_id", "text")
+    possible = keep_possible_ids(docs, "doc_id", good, "_good")
+    target = feature_counts(with_good_id(possible, good))
+    ratios = constant_array(log_ratios(feature_counts(docs), target) if any(target) else [0.0] * BUCKETS)
+    # Short texts are left out by the aggregate, as a condition would be pushed below the id filter and split every text.
+    scored = possible.select("doc_id", let(words_of(F.col("text")), lambda words: F.when(F.size(words) >= LEAST_WORDS, score_of(words, ratios))).alias("score"))
+    mean, spread = with_good_id(scored, good).agg(F.avg("score"), F.stddev_pop("score")).first()
+    return ratios, mean, spread
+
+
 def constant_array(values: list[float]) -> Column:
     """An array as one constant of the plan."""
     return F.split(F.lit(",".join("%.9g" % v for v in values)), ",").cast("array<double>")
@@ -148,33 +168,27 @@ def quality_rules(
     Columns named in ``carry`` come along.
     """
     docs = docs.select(*carry, F.col(id_col).cast("bigint").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    docs = with_trust(docs, labels)
-    ratios = constant_array(log_ratios(feature_counts(docs)))
+    ratios, mean, spread = trusted_model(docs, labels)
 
     text = F.col("text")
 
     def measures(words: Column) -> Column:
-        total = F.aggregate(features(words), F.lit(0.0), lambda acc, f: acc + F.get(ratios, f))
         repeated = let(windows(words), lambda found: n_repeat_words(words, found))
         return F.struct(
             F.size(words).cast("bigint").alias("n_words"),
             repeated.cast("bigint").alias("n_repeat_words"),
-            (total / F.greatest(2 * F.size(words) - 1, F.lit(1))).alias("score"),
+            score_of(words, ratios).alias("score"),
         )
 
     measured = docs.select(
         *carry,
         "doc_id",
-        "trusted",
         word_chars(text).cast("bigint").alias("word_chars"),
         n_symbols(text).cast("bigint").alias("n_symbols"),
         n_dup_lines(text).cast("bigint").alias("n_dup_lines"),
         let(words_of(text), measures).alias("m"),
-    ).select(*carry, "doc_id", "trusted", "m.n_words", "word_chars", "n_symbols", "n_dup_lines", "m.n_repeat_words", "m.score")
-    # The trusted documents are few; measuring them first spares a table of all.
-    of_trusted = measured.where("trusted and n_words >= %d" % LEAST_WORDS)
-    mean, spread = of_trusted.agg(F.avg("score"), F.stddev_pop("score")).first()
+    ).select(*carry, "doc_id", "m.n_words", "word_chars", "n_symbols", "n_dup_lines", "m.n_repeat_words", "m.score")
     least = None if mean is None else mean - spreads * spread
     base_failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED_PERCENT * F.col("n_words"))
     verdict = F.lit(True) if least is None else F.col("score") >= least
-    return measured.drop("trusted").withColumn("base_failed", base_failed).withColumn("kept", ~F.col("base_failed") & verdict)
+    return measured.withColumn("base_failed", base_failed).withColumn("kept", ~F.col("base_failed") & verdict)
