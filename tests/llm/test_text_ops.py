@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import collections
 import random
+import sys
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -12,8 +14,10 @@ import pytest
 import tiktoken
 from tokenizers import Tokenizer
 
+from veritloom.llm import byte_bpe
 from veritloom.llm.byte_bpe import ByteBpe, decode_documents, encode_documents, load_ranks
 from veritloom.llm.packing import best_fit_packing, fractional_optimum, plan_packing
+from veritloom.llm.queries import QUERIES
 from veritloom.llm.sharding import shard_documents
 from veritloom.llm.token_files import read_token_files, write_token_files
 from veritloom.llm.tokenization import ChunkEncoder
@@ -190,6 +194,36 @@ def test_rank_queue_lower_rank_goes_first():
     assert ByteBpe(ranks, r"[^ ]+").merge([b"ABAB"]) == [[256, ord("B")]]
 
 
+def test_byte_bpe_memory_is_bounded(exact, monkeypatch):
+    """Beside a text and its ids: neither many unknown words nor one long text make more than bounded rounds."""
+    rng = random.Random(8)
+    words = " ".join("".join(rng.choices("abcdefghijklmnopé", k=10)) for _ in range(40_000))
+    for text in (words, "a bc " * 300_000):
+        bpe = ByteBpe(load_ranks(RANKS), public_tokenizers.PATTERN, capacity=50)
+        tracemalloc.start()
+        (found,) = bpe.encode([text])
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert peak < 24e6
+        assert np.frombuffer(found, "<u4").tolist() == exact.encode_ordinary(text)
+        assert bpe.decode(found) == text.encode()
+    monkeypatch.setattr(byte_bpe, "CACHE_BYTES", 10_000)
+    bpe = ByteBpe(load_ranks(RANKS), public_tokenizers.PATTERN)
+    texts = [words[k : k + 3000] for k in range(0, 60_000, 3000)] + [words[:3000]]
+    assert [np.frombuffer(x, "<u4").tolist() for x in bpe.encode(texts)] == [exact.encode_ordinary(x) for x in texts]
+    assert 0 < sum(sys.getsizeof(k) + sys.getsizeof(v) for k, v in bpe.kept.items()) < 10_200
+
+
+def test_byte_bpe_round_trip_in_one_worker(spark, docs, empty, exact, small):
+    """A worker for each of encoding and decoding would hold the codec, the cache and the batches of a task twice."""
+    both = encode_documents(docs, RANKS, public_tokenizers.PATTERN, with_decoded=True)
+    found = collections.Counter((r.doc_id, tuple(np.frombuffer(r.ids, "<u4").tolist()), bytes(r.decoded)) for r in both.collect())
+    assert found == collections.Counter((i, tuple(exact.encode_ordinary(t or "")), (t or "").encode()) for i, t in ROWS)
+    assert encode_documents(empty, RANKS, public_tokenizers.PATTERN, with_decoded=True).count() == 0
+    query = QUERIES["op9_byte_bpe"](spark, small)
+    assert query._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+
+
 def test_shards(docs):
     rows = shard_documents(docs, shards=4, bucket_bytes=4096).collect()
     assert collections.Counter((r.doc_id, r.text) for r in rows) == collections.Counter(ROWS)

@@ -11,6 +11,12 @@ rescanning all pairs for the lowest rank takes O(n^2).
 Many pre-tokens share one queue: no pair crosses the border of a pre-token, and
 within each the merges happen in the order of their ranks, leftmost first.
 
+A worker's memory follows its batch and the longest pre-token, not the table:
+pairs that merge are a fixed table, the cache of pre-tokens is bounded in number
+and bytes, texts are split into ROUND_TOKENS pre-tokens at a time, and a queue gets
+MERGE_BYTES bytes at most, or one longer pre-token (with several Python objects for
+each of its bytes).
+
 Defined results: a null or empty text has no ids; equal texts have equal ids;
 bytes that no merge covers stay single-byte ids, so decoding gives the text's
 bytes back; null and repeated document ids are kept as they are; an empty table
@@ -21,18 +27,24 @@ names.
 from __future__ import annotations
 
 import base64
+import sys
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Pre-tokens kept per worker with their ids.
+from .common import text_batches
+
+#: Pre-tokens kept per worker with their ids, and the bytes that both may take.
 CACHE_TOKENS = 400_000
+CACHE_BYTES = 48 << 20
 LONGEST_KEPT = 40
-#: Pairs kept per worker with their ranks.
-CACHE_PAIRS = 1_000_000
+#: Pre-tokens looked up together, and bytes of unknown ones merged together.
+ROUND_TOKENS = 100_000
+MERGE_BYTES = 4096
 _NONE = -1
 
 
@@ -86,20 +98,18 @@ class ByteBpe:
         for token, rank in ranks.items():
             self.text[rank] = token
         self.byte = [ranks[bytes([b])] for b in range(256)]
-        self.split = regex.compile(pattern).findall
+        self.pattern = regex.compile(pattern)
+        #: Ranks of all pairs of symbols that make a token.
         self.pairs: dict[int, int] = {}
+        for token, rank in ranks.items():
+            for k in range(1, len(token)):
+                left, right = ranks.get(token[:k]), ranks.get(token[k:])
+                if left is not None and right is not None:
+                    self.pairs[left * self.size + right] = rank
         self.kept: dict[str, bytes] = {}
+        self.kept_bytes = 0
         self.capacity = capacity
 
-    def _pair_rank(self, left: int, right: int) -> int:
-        key = left * self.size + right
-        rank = self.pairs.get(key)
-        if rank is None:
-            if len(self.pairs) >= CACHE_PAIRS:
-                self.pairs.clear()
-            rank = self.pairs[key] = self.ranks.get(self.text[left] + self.text[right], _NONE)
-        return rank
-
     def merge(self, pretokens: list[bytes]) -> list[list[int]]:
         """Ids of each pre-token."""
         byte, size, known = self.byte, self.size, self.pairs
@@ -122,9 +132,7 @@ class ByteBpe:
         first: dict[int, list[int]] = {}
         for i in range(n):
             if after[i] != _NONE:
-                rank = known.get(symbol[i] * size + symbol[i + 1])
-                if rank is None:
-                    rank = self._pair_rank(symbol[i], symbol[i + 1])
+                rank = known.get(symbol[i] * size + symbol[i + 1], _NONE)
                 if rank != _NONE:
                     rank_at[i] = rank
                     first.setdefault(rank, []).append(i)
@@ -145,9 +153,7 @@ class ByteBpe:
                 lower = False
                 if beyond != _NONE:
                     before[beyond] = i
-                    new = known.get(rank * size + symbol[beyond])
-                    if new is None:
-                        new = self._pair_rank(rank, symbol[beyond])
+                    new = known.get(rank * size + symbol[beyond], _NONE)
                     rank_at[i] = new
                     if new != _NONE:
                         queue.push(new, [i])
@@ -156,9 +162,7 @@ class ByteBpe:
                     rank_at[i] = _NONE
                 p = before[i]
                 if p != _NONE:
-                    new = known.get(symbol[p] * size + rank)
-                    if new is None:
-                        new = self._pair_rank(symbol[p], rank)
+                    new = known.get(symbol[p] * size + rank, _NONE)
                     rank_at[p] = new
                     if new != _NONE:
                         queue.push(new, [p])
@@ -176,38 +180,75 @@ class ByteBpe:
             out.append(ids)
         return out
 
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        """The ids of each text as little-endian unsigned 32-bit integers."""
-        out: list[bytes] = []
-        begin = 0
-        while begin < len(texts):
-            split, size = [], 0
-            while begin < len(texts) and size < 2_000_000:
-                text = texts[begin] or ""
-                split.append(self.split(text))
-                size += len(text)
-                begin += 1
-            new = list(set().union(*split) - self.kept.keys())
-            room = max(0, self.capacity - len(self.kept))
-            todo = []
-            for token in new:
-                raw = token.encode()
-                whole = self.ranks.get(raw)
-                if whole is None:
-                    todo.append((token, raw))
-                else:
-                    self.kept[token] = whole.to_bytes(4, "little")
+    def _split(self, text: str) -> Iterator[list[str]]:
+        """The pre-tokens of a text, ROUND_TOKENS at a time."""
+        if len(text) <= ROUND_TOKENS:
+            yield self.pattern.findall(text)
+            return
+        found = self.pattern.finditer(text)
+        while tokens := [m[0] for m in islice(found, ROUND_TOKENS)]:
+            yield tokens
+
+    def _ids(self, split: list[list[str]]) -> list[bytes]:
+        """The ids of each list of pre-tokens; new ones are kept while there is room."""
+        kept = self.kept
+        fresh: dict[str, bytes] = {}
+        todo: list[tuple[str, bytes]] = []
+        size = 0
+
+        def merge() -> None:
             for (token, _), ids in zip(todo, self.merge([raw for _, raw in todo]), strict=True):
-                self.kept[token] = np.array(ids, dtype="<u4").tobytes()
-            look = self.kept.__getitem__
-            out += [b"".join(map(look, tokens)) for tokens in split]
-            for k, token in enumerate(new):
-                if k >= room or len(token) > LONGEST_KEPT:
-                    del self.kept[token]
+                fresh[token] = np.array(ids, dtype="<u4").tobytes()
+            todo.clear()
+
+        for token in set().union(*split).difference(kept):
+            raw = token.encode()
+            whole = self.ranks.get(raw)
+            if whole is not None:
+                fresh[token] = whole.to_bytes(4, "little")
+                continue
+            if todo and size + len(raw) > MERGE_BYTES:
+                merge()
+                size = 0
+            todo.append((token, raw))
+            size += len(raw)
+        merge()
+        out = [b"".join(map(fresh.get, tokens, map(kept.get, tokens))) for tokens in split]
+        for token, ids in fresh.items():
+            if len(kept) >= self.capacity or self.kept_bytes >= CACHE_BYTES:
+                break
+            if len(token) <= LONGEST_KEPT:
+                kept[token] = ids
+                self.kept_bytes += sys.getsizeof(token) + sys.getsizeof(ids)
         return out
 
+    def encode(self, texts: list[str | None]) -> list[bytes]:
+        """The ids of each text as little-endian unsigned 32-bit integers."""
+        out: list[list[bytes]] = [[] for _ in texts]
+        at: list[int] = []
+        split: list[list[str]] = []
+        size = 0
+
+        def look_up() -> None:
+            for k, ids in zip(at, self._ids(split), strict=True):
+                out[k].append(ids)
+            at.clear()
+            split.clear()
+
+        for k, text in enumerate(texts):
+            for tokens in self._split(text or ""):
+                at.append(k)
+                split.append(tokens)
+                size += len(tokens)
+                if size >= ROUND_TOKENS:
+                    look_up()
+                    size = 0
+        look_up()
+        return [b"".join(parts) for parts in out]
+
     def decode(self, ids: bytes) -> bytes:
-        return b"".join(map(self.text.__getitem__, np.frombuffer(ids, dtype="<u4").tolist()))
+        found, text = np.frombuffer(ids, dtype="<u4"), self.text.__getitem__
+        return b"".join(b"".join(map(text, found[k : k + ROUND_TOKENS].tolist())) for k in range(0, len(found), ROUND_TOKENS))
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -225,18 +266,27 @@ def codec(path: str, pattern: str) -> ByteBpe:
     return _CODECS[path, pattern]
 
 
-def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, ids (binary, '<u4') of every document's whole text."""
+def encode_documents(
+    docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", with_decoded: bool = False
+) -> DataFrame:
+    """doc_id, ids (binary, '<u4') of every document's whole text.
+
+    ``with_decoded`` adds the column of :func:`decode_documents` in the same
+    Python worker: a worker of its own would hold the codec and batches again.
+    """
+    names = ["doc_id", "ids", "decoded"] if with_decoded else ["doc_id", "ids"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = codec(ranks_path, pattern)
-        for whole in batches:
-            for begin in range(0, whole.num_rows, 4096):
-                batch = whole.slice(begin, 4096)
-                ids = bpe.encode(batch.column(1).to_pylist())
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary())], names=["doc_id", "ids"])
+        for batch, texts in text_batches(batches, 1):
+            ids = bpe.encode([None if x is None else x.decode() for x in texts])
+            columns = [batch.column(0), pa.array(ids, pa.binary())]
+            if with_decoded:
+                columns.append(pa.array([bpe.decode(x) for x in ids], pa.binary()))
+            yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string")).mapInArrow(run, "doc_id bigint, ids binary")
+    schema = "doc_id bigint, ids binary" + ", decoded binary" * with_decoded
+    return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string")).mapInArrow(run, schema)
 
 
 def decode_documents(encoded: DataFrame, ranks_path: str, pattern: str, ids_col: str = "ids") -> DataFrame:
@@ -244,11 +294,9 @@ def decode_documents(encoded: DataFrame, ranks_path: str, pattern: str, ids_col:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = codec(ranks_path, pattern)
-        for whole in batches:
-            for begin in range(0, whole.num_rows, 2048):
-                batch = whole.slice(begin, 2048)
-                decoded = pa.array([None if x is None else bpe.decode(x) for x in batch.column(1).to_pylist()], pa.binary())
-                yield pa.RecordBatch.from_arrays([*batch.columns, decoded], names=["doc_id", "ids", "decoded"])
+        for batch, ids in text_batches(batches, 1):
+            decoded = pa.array([None if x is None else bpe.decode(x) for x in ids], pa.binary())
+            yield pa.RecordBatch.from_arrays([*batch.columns, decoded], names=["doc_id", "ids", "decoded"])
 
     return encoded.select("doc_id", F.col(ids_col).alias("ids")).mapInArrow(run, "doc_id bigint, ids binary, decoded binary")
 

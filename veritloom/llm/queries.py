@@ -77,12 +77,11 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    from .byte_bpe import decode_documents, encode_documents
+    from .byte_bpe import encode_documents
 
     ranks = _vocabulary("byte_bpe_multi_50k.tiktoken")
-    encoded = encode_documents(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
-    decoded = decode_documents(encoded, ranks, public_tokenizers.PATTERN)
-    return decoded.select(
+    coded = encode_documents(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN, with_decoded=True)
+    return coded.select(
         "doc_id",
         F.floor(F.octet_length("ids") / 4).cast("bigint").alias("n_tokens"),
         F.sha2("ids", 256).alias("ids_sha256"),
