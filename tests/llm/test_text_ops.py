@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import collections
 import random
+import shutil
 import sys
 import tracemalloc
 import zlib
@@ -120,6 +121,21 @@ def test_packing_of_nothing(empty):
     assert best_fit_packing(empty, WORDS).count() == 0
 
 
+def test_packing_leaves_no_encoder_in_the_workers(spark, docs, tmp_path):
+    own = shutil.copy(WORDS, tmp_path)
+
+    def held(batches):
+        import pyarrow as pa
+
+        from veritloom.llm import tokenization
+
+        for batch in batches:
+            yield pa.RecordBatch.from_pydict({"held": pa.array([own in tokenization._ENCODERS] * batch.num_rows, pa.bool_())})
+
+    assert best_fit_packing(docs, own).count() >= len(ROWS)
+    assert not any(r.held for r in spark.range(0, 64, 1, 16).mapInArrow(held, "held boolean").collect())
+
+
 @pytest.mark.parametrize("seed", range(4))
 def test_plan_places_every_piece_once(seed):
     rng = np.random.default_rng(seed)

@@ -3,9 +3,11 @@ written to cut lineage, and a fixed-size id filter."""
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import gc
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -84,6 +86,25 @@ def text_batches(batches: Iterator[pa.RecordBatch], column: int, rows: int = 409
             before = int(upto[begin - 1])
 
 
+def handing_back(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run``, after which its Python worker returns what it has freed to the system.
+
+    Workers outlive their tasks and serve later operators; what they keep
+    counts against the executor's memory beside later stages of the JVM.
+    """
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(OSError, AttributeError):  # another C library
+                ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+    return whole
+
+
 def _filter_slot(col: Column, bits: int) -> Column:
     return F.pmod(F.xxhash64(col), F.lit(1 << bits))
 

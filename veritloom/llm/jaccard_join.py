@@ -48,7 +48,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import discard, keep_possible_ids, text_batches, written
+from .common import discard, handing_back, keep_possible_ids, text_batches, written
 from .components import connected_components
 from .hashing import find_words, hash_words, mix
 
@@ -150,7 +150,7 @@ def _sets(docs: DataFrame, size: int, percent: int) -> DataFrame:
 
     key_names = [f"key{k}" for k in range(KEYS)]
     names = ["doc_id", "n", "set_hash", *key_names, "prefix"]
-    return docs.mapInArrow(run, f"doc_id bigint, n bigint, set_hash binary, {', '.join(f'{k} bigint' for k in key_names)}, prefix array<bigint>")
+    return docs.mapInArrow(handing_back(run), f"doc_id bigint, n bigint, set_hash binary, {', '.join(f'{k} bigint' for k in key_names)}, prefix array<bigint>")
 
 
 def _homes(nodes: DataFrame) -> DataFrame:
@@ -224,7 +224,7 @@ def _deltas(docs: DataFrame, homes: DataFrame, repeated: DataFrame | None, size:
     rows = members.hint("merge").join(texts.select(F.col("doc_id").alias("home"), F.col("text").alias("leader")), "home").select("doc_id", "home", "text", "leader")
     others = [f"order{k}" for k in range(1, orders)]
     names = ["rep", "home", "n_home", "cost", "least", "delta", *others]
-    found = written(rows.mapInArrow(run, f"rep bigint, home bigint, n_home bigint, cost bigint, least bigint, delta array<bigint>, {', '.join(f'{o} array<int>' for o in others)}"), "join-deltas")
+    found = written(rows.mapInArrow(handing_back(run), f"rep bigint, home bigint, n_home bigint, cost bigint, least bigint, delta array<bigint>, {', '.join(f'{o} array<int>' for o in others)}"), "join-deltas")
     discard(texts)
     if repeated is not None:  # texts of one id and set
         found = written(found.dropDuplicates(["rep"]), "join-deltas")
@@ -285,7 +285,7 @@ def _token_sets(texts: DataFrame, size: int, percent: int, orders: int) -> DataF
 
     others = [f"order{k}" for k in range(1, orders)]
     names = ["doc_id", "n", "set_hash", "tokens", *others]
-    return texts.mapInArrow(run, f"doc_id bigint, n bigint, set_hash binary, tokens array<bigint>, {', '.join(f'{o} array<int>' for o in others)}")
+    return texts.mapInArrow(handing_back(run), f"doc_id bigint, n bigint, set_hash binary, tokens array<bigint>, {', '.join(f'{o} array<int>' for o in others)}")
 
 
 def _mixed(rows: DataFrame, group: str = "grp") -> DataFrame:

@@ -38,8 +38,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import written
-from .tokenization import encoder
+from .common import handing_back, written
+from .tokenization import encoder, forget
 
 #: Above this share of the capacity a piece is large.  The scheme is run for each
 #: share over the same histogram and the plan with fewest sequences is taken:
@@ -252,6 +252,12 @@ def _plan_at(counts: dict[int, int], capacity: int, large: float, groups: int) -
 def token_pieces(docs: DataFrame, id_col: str, text_col: str, vocabulary: str, capacity: int, end_id: int) -> DataFrame:
     """One row per piece: the id as ``doc_id``, piece, start, length, ids_crc32, ids (binary, '<u4')."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from cut(batches)
+        finally:  # a worker that goes on to other operators would keep hundreds of MB
+            forget(vocabulary)
+
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lib = encoder(vocabulary)
         width = np.dtype(lib.dtype).itemsize
@@ -274,7 +280,7 @@ def token_pieces(docs: DataFrame, id_col: str, text_col: str, vocabulary: str, c
     kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
     schema = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, ids binary"
     chosen = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return chosen.mapInArrow(cut, schema)
+    return chosen.mapInArrow(handing_back(run), schema)
 
 
 def place_pieces(pieces: DataFrame, capacity: int, large: tuple[float, ...] = LARGE, groups: int = GROUPS) -> DataFrame:
