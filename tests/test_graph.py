@@ -336,3 +336,33 @@ def test_stream_knows_earlier_batches(spark, tmp_path):
         stream_ingest(stream, str(tmp_path / "out"), str(tmp_path / "check")).awaitTermination(120)
     found = spark.read.parquet(f"{tmp_path}/out/nodes").where("node_type = 'atomic'")
     assert found.count() == 3 and found.select("batch_id").distinct().count() == 2
+
+
+def test_a_long_text_is_split_in_time_that_grows_with_its_length(spark):
+    import time
+
+    n = 15_000
+    # \E and characters beyond the first plane: literal patterns and code points
+    pieces = [f"Sentence {k} names item {k * 7919} and \\E\U0001f600 ends" for k in range(n)]
+    text = " \u2003" + "! ".join(pieces) + "!\u00a0"
+    began = time.time()
+    rows = spark.createDataFrame([(text,)], "text string").select(F.posexplode(extract.sentences(F.col("text")))).select("pos", "col.*").orderBy("pos").collect()
+    assert time.time() - began < 60
+    assert len(rows) == n
+    at = 2
+    for r, piece in zip(rows, pieces, strict=True):
+        piece = piece + "!" if r["pos"] == n - 1 else piece
+        assert (r["text"], r["start"], r["end"]) == (piece, at, at + len(piece))
+        assert r["context"] == text[max(at - 100, 0) : at + len(piece) + 100]
+        at += len(piece) + 2
+
+
+def test_bullets_begin_where_their_line_first_occurs(spark):
+    content = "x - again and again \\E one\n- again and again \\E one\n- another \\Q line of text"
+    assert [(a, b) for _, a, b in units_of(spark, content, extract.bullets)] == [(2, 26), (52, len(content))]
+
+
+def test_strip_takes_what_the_pattern_took(spark):
+    odd = [chr(c) + "a" + chr(c) for c in [*range(1, 0x21), 0x7F, 0x85, 0xA0, 0x1680, 0x180E, *range(0x2000, 0x2010), 0x2028, 0x2029, 0x202F, 0x205F, 0x2060, 0x3000, 0xFEFF]] + ["", " ", "\n\n", "a b\r\n", "\u2028x\u2029"]
+    both = spark.createDataFrame([(x,) for x in odd], "x string").select(T.strip(F.col("x")).alias("new"), F.regexp_replace("x", r"(?U)^\s+|\s+$", "").alias("old")).collect()
+    assert [r["new"] for r in both] == [r["old"] for r in both]

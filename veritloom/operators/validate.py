@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import strip, words
+from ..functions.text import let, strip, words
 
 # Pronouns, articles and conjunctions, patterns of several claims.
 PRONOUNS = "this that it they these those he she him her them".split()
@@ -31,8 +31,17 @@ def _any(text: Column, patterns: tuple[str, ...]) -> Column:
     return out
 
 
+def _first(found: Column) -> Column:
+    return F.regexp_replace(F.get(found, F.lit(0)), r"^[.,;:!?]+|[.,;:!?]+$", "")
+
+
+def _share(found: Column) -> Column:
+    hits = F.size(F.filter(found, lambda w: w.isin(PRONOUNS)))
+    return F.when(F.size(found) > 0, hits / F.size(found)).otherwise(F.lit(0.0))
+
+
 def first_word(statement: Column) -> Column:
-    return F.regexp_replace(F.get(words(F.lower(statement)), F.lit(0)), r"^[.,;:!?]+|[.,;:!?]+$", "")
+    return _first(words(F.lower(statement)))
 
 
 def pronoun_start(statement: Column) -> Column:
@@ -41,9 +50,7 @@ def pronoun_start(statement: Column) -> Column:
 
 def pronoun_density(statement: Column) -> Column:
     """The share of words that are pronouns (0 without words)."""
-    found = words(F.lower(statement))
-    hits = F.size(F.filter(found, lambda w: w.isin(PRONOUNS)))
-    return F.when(F.size(found) > 0, hits / F.size(found)).otherwise(F.lit(0.0))
+    return let(words(F.lower(statement)), _share)
 
 
 def multi_sentence(statement: Column) -> Column:
@@ -55,33 +62,41 @@ def multi_claim(statement: Column) -> Column:
 
 
 def embedded_clause(statement: Column) -> Column:
-    return _any(F.lower(statement), EMBEDDED_CLAIMS)
+    return let(F.lower(statement), lambda low: _any(low, EMBEDDED_CLAIMS))
 
 
 def too_short(statement: Column) -> Column:
     return F.length(strip(statement)) < 10
 
 
+def _light(found: Column) -> Column:
+    return F.size(F.filter(found, lambda w: ~w.isin(LIGHT_WORDS))) < 3
+
+
 def lacks_content(statement: Column) -> Column:
-    return F.size(F.filter(words(F.lower(statement)), lambda w: ~w.isin(LIGHT_WORDS))) < 3
+    return _light(words(F.lower(statement)))
 
 
 def violations(statement: Column, strict: bool = True) -> Column:
     """Array of violations: at most one of each check, in the order of checks."""
+    return let(F.struct(words(F.lower(statement)).alias("words"), statement.alias("text")), lambda s: _violations(s["text"], s["words"], strict))
+
+
+def _violations(statement: Column, found: Column, strict: bool) -> Column:
     v = lambda rule, description, suggestion: F.struct(F.lit(rule).alias("rule"), description.alias("description"), F.lit(suggestion).alias("suggestion"))
-    containment = F.when(F.size(words(statement)) == 0, v("SELF_CONTAINMENT", F.lit("Statement is empty"), "Provide a complete statement")).when(
-        pronoun_start(statement),
-        v("SELF_CONTAINMENT", F.concat(F.lit("Statement starts with dependency pronoun '"), first_word(statement), F.lit("'")), "Replace pronoun with explicit subject"),
+    containment = F.when(F.size(found) == 0, v("SELF_CONTAINMENT", F.lit("Statement is empty"), "Provide a complete statement")).when(
+        _first(found).isin(PRONOUNS),
+        v("SELF_CONTAINMENT", F.concat(F.lit("Statement starts with dependency pronoun '"), _first(found), F.lit("'")), "Replace pronoun with explicit subject"),
     )
     if strict:
-        containment = containment.when(pronoun_density(statement) > 0.25, v("SELF_CONTAINMENT", F.lit("High pronoun density suggests context dependency"), "Make references explicit"))
+        containment = containment.when(_share(found) > 0.25, v("SELF_CONTAINMENT", F.lit("High pronoun density suggests context dependency"), "Make references explicit"))
     claim = (
         F.when(multi_sentence(statement), v("SINGLE_CLAIM", F.lit("Statement contains multiple sentences"), "Split into separate atomic statements"))
         .when(multi_claim(statement), v("SINGLE_CLAIM", F.lit("Statement contains multiple claims joined by conjunction"), "Split into separate atomic statements"))
         .when(embedded_clause(statement), v("SINGLE_CLAIM", F.lit("Statement may contain multiple embedded claims"), "Split into separate atomic statements"))
     )
     short = F.when(too_short(statement), v("MINIMUM_LENGTH", F.lit("Statement too short to be meaningful"), "Provide more complete statement"))
-    content = F.when(lacks_content(statement), v("MEANINGFUL_CONTENT", F.lit("Statement lacks sufficient semantic content"), "Provide more substantive claim"))
+    content = F.when(_light(found), v("MEANINGFUL_CONTENT", F.lit("Statement lacks sufficient semantic content"), "Provide more substantive claim"))
     return F.array_compact(F.array(containment, claim, short, content))
 
 
