@@ -366,3 +366,48 @@ def test_strip_takes_what_the_pattern_took(spark):
     odd = [chr(c) + "a" + chr(c) for c in [*range(1, 0x21), 0x7F, 0x85, 0xA0, 0x1680, 0x180E, *range(0x2000, 0x2010), 0x2028, 0x2029, 0x202F, 0x205F, 0x2060, 0x3000, 0xFEFF]] + ["", " ", "\n\n", "a b\r\n", "\u2028x\u2029"]
     both = spark.createDataFrame([(x,) for x in odd], "x string").select(T.strip(F.col("x")).alias("new"), F.regexp_replace("x", r"(?U)^\s+|\s+$", "").alias("old")).collect()
     assert [r["new"] for r in both] == [r["old"] for r in both]
+
+
+def brute_best(rows, k):
+    """(i, j) -> sim of the pairs that are among either's k best; rows: ord -> words."""
+    from collections import Counter
+
+    v = {o: Counter(w.split()) for o, w in rows.items()}
+    size = {o: math.sqrt(sum(n * n for n in x.values())) for o, x in v.items()}
+
+    def sim(a, b):
+        whole = size[a] * size[b]
+        return min(1.0, sum(n * v[b][w] for w, n in v[a].items()) / whole) if whole else 0.0
+
+    out = {}
+    for a in v:
+        for s, b in sorted(((-sim(a, b), b) for b in v if b != a))[:k]:
+            out[min(a, b), max(a, b)] = -s
+    return out
+
+
+@pytest.mark.parametrize("most", [4096, 7])
+def test_best_pairs_of_a_scope_in_one_block_or_several(spark, monkeypatch, most):
+    from veritloom.operators import blocks
+
+    monkeypatch.setattr(blocks, "STATEMENTS", most)
+    monkeypatch.setattr(blocks, "MOST", 64)  # several tiles of rows and of columns
+    rng = random.Random(5)
+    pool = [f"word{k}" for k in range(12)]
+    scopes = {s: {o: " ".join(rng.choices(pool, k=rng.randrange(0, 6))) for o in range(n)} for s, n in ((1, 1), (2, 3), (3, 40), (4, 9))}
+    rows = [(s, o, w, f"n{s}_{o}") for s, x in scopes.items() for o, w in x.items()]
+    units = spark.createDataFrame([*rows, (3, None, "word1", "none"), (None, 1, "word1", "none")], "scope bigint, ord bigint, text string, node_id string")
+    want = {(s, i, j): sim for s, x in scopes.items() for (i, j), sim in brute_best(x, 3).items()}
+    got = similarity.topk_similarity(units, 3).collect()
+    assert len(got) == len(want) and {(r["scope"], r["i"], r["j"]): r["sim"] for r in got} == want
+    edges = similarity.similarity_edges(units, 3).collect()
+    assert {(r["source"], r["target"]): r["weight"] for r in edges} == {(f"n{s}_{i}", f"n{s}_{j}"): x for (s, i, j), x in want.items()} and len(edges) == len(want)
+    every = {(s, i, j): sim for s, x in scopes.items() for (i, j), sim in brute_best(x, 99).items() if sim >= 0.5}
+    close = similarity.pairwise_threshold(units, 0.5).collect()
+    assert len(close) == len(every) and {(r["scope"], r["i"], r["j"]): pytest.approx(r["sim"]) for r in close} == every
+
+
+def test_best_pairs_are_not_shuffled(spark):
+    units = spark.createDataFrame([(1, k, f"same word here {k}", f"n{k}") for k in range(50)], "scope bigint, ord bigint, text string, node_id string")
+    plan = similarity.topk_similarity(units, 3)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan

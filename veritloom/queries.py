@@ -18,7 +18,7 @@ from .operators import embed as similarity_embed
 from .operators import chat, extract, graph, labels, layout, relate, similarity, validate
 from .plans import projection
 from .plans.ingest import ingest
-from .plans.lineage import cut, shared_folder
+from .plans.lineage import shared_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -77,6 +77,19 @@ def _once(kind: str, make: Callable[[SparkSession, str], object]) -> Callable[[S
     return shared
 
 
+def _kept(df: DataFrame) -> DataFrame:
+    """``df`` as Parquet in the shared folder (a checkpoint takes several times the disk), without the shuffle files that made it."""
+    import gc
+
+    spark = df.sparkSession
+    path = _folder(spark)
+    df.write.parquet(path)
+    del df
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+    return spark.read.parquet(path)
+
+
 def _units(spark: SparkSession, d: str) -> DataFrame:
     return _rows(_docs(spark, d), extract.sentences(F.col("text")))
 
@@ -92,11 +105,11 @@ def _make_nodes(spark: SparkSession, d: str) -> DataFrame:
     docs = _docs(spark, d).withColumn("context_id", T.context_id(F.col("text")))
     units = extract.explode_units(docs, extract.sentences(F.col("text")), "doc_id", "context_id")
     valid = units.where(F.size(validate.violations(F.col("text"))) == 0)
-    named = valid.select(
-        T.node_id(F.col("text")).alias("node_id"), "doc_id", "ord", F.col("text").alias("statement"), T.canonical_terms(F.col("text")).alias("terms"), "context_id",
-        F.array(F.struct(F.col("doc_id").cast("string").alias("source"), F.struct("start", "end").alias("span"), F.lit(1.0).alias("confidence"))).alias("evidence"),
-    )
-    return cut(first_of_each(named))
+    first = first_of_each(valid.select(T.node_id(F.col("text")).alias("node_id"), "doc_id", "ord", F.col("text").alias("statement"), "context_id", "start", "end"))
+    # Terms are of the first statement alone; evidence is put together again when it is read.
+    kept = _kept(first.select("node_id", "doc_id", "ord", "statement", T.canonical_terms(F.col("statement")).alias("terms"), "context_id", "start", "end"))
+    evidence = F.array(F.struct(F.col("doc_id").cast("string").alias("source"), F.struct("start", "end").alias("span"), F.lit(1.0).alias("confidence")))
+    return kept.withColumn("evidence", evidence).drop("start", "end")
 
 
 _nodes = _once("nodes", _make_nodes)
@@ -115,19 +128,19 @@ def _phrased(nodes: DataFrame, phrase: str) -> DataFrame:
 def _weights(nodes: DataFrame, k: int = 3) -> DataFrame:
     units = nodes.select(F.col("doc_id").alias("scope"), "ord", "node_id", F.col("statement").alias("text"))
     pairs = similarity.similarity_edges(units, k)
-    return cut(pairs.select("source", "target", F.round("weight", 9).alias("weight"), (F.col("scope") * 1_000_000_000 + F.col("i") * 10_000 + F.col("j")).alias("edge_ord"), F.lit("related_to").alias("type")))
+    return _kept(pairs.select("source", "target", F.round("weight", 9).alias("weight"), (F.col("scope") * 1_000_000_000 + F.col("i") * 10_000 + F.col("j")).alias("edge_ord"), F.lit("related_to").alias("type")))
 
 
 def _make_graph(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(nodes, weights, edges) of the documents' statements and contexts."""
     found = _nodes(spark, d)
     edges = found.select(F.col("node_id").alias("source"), F.col("context_id").alias("target"), F.lit("appears_in").alias("type"), (F.col("doc_id") * 1_000_000 + F.col("ord")).alias("edge_ord"), F.lit(None).cast("double").alias("weight"))
-    contexts = found.groupBy("context_id").agg(F.min("doc_id").alias("doc_id"))
+    contexts = _kept(found.groupBy("context_id").agg(F.min("doc_id").alias("doc_id")))
     none = F.lit(None).cast("array<string>")
     nodes = found.select("node_id", F.lit("atomic").alias("node_type"), "statement", F.slice(F.transform("terms", F.lower), 1, 2).alias("topic_labels"), (F.col("doc_id") * 1_000_000 + F.col("ord")).alias("node_ord"), F.lit(None).cast("string").alias("source_file")).union(
         contexts.select("context_id", F.lit("context"), F.lit(None).cast("string"), none, F.col("doc_id") * 1_000_000, F.col("doc_id").cast("string"))
     )
-    return cut(nodes), _weights(found), edges
+    return nodes, _weights(found), edges
 
 
 _graph = _once("graph", _make_graph)
