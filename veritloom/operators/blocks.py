@@ -148,14 +148,17 @@ def _arrow(rows: DataFrame) -> pa.Schema:
 def pairs_within(rows: DataFrame, k: int | None = None, threshold: float | None = None, name: str | None = None) -> DataFrame:
     """(scope, i, j, sim), i < j, of scopes of at most STATEMENTS from :func:`sized`.
 
-    With ``name``, a string column, also source and target: the names of i and j
+    With ``name``, a column of strings or bytes, also source and target: the names of i and j
     (a row for each two names where rows of one place have several).
     """
     schema = _arrow(rows)
     kind = _schema(rows)
     if name:
-        schema = pa.schema([*schema, ("source", pa.string()), ("target", pa.string())])
-        kind += ", source string, target string"
+        from pyspark.sql.pandas.types import to_arrow_type
+
+        named = rows.schema[name].dataType
+        schema = pa.schema([*schema, ("source", to_arrow_type(named)), ("target", to_arrow_type(named))])
+        kind += f", source {named.simpleString()}, target {named.simpleString()}"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scopes: list = []
@@ -176,7 +179,7 @@ def pairs_within(rows: DataFrame, k: int | None = None, threshold: float | None
                     i, j, sim = i[p], j[p], sim[p]
                 else:
                     a = b = np.zeros(len(i), np.int64)
-                flat, begin = pa.array([n for x in names for n in x], pa.string()), np.cumsum(counts) - counts
+                flat, begin = pa.array([n for x in names for n in x], schema.field("source").type), np.cumsum(counts) - counts
                 ends = [flat.take(pa.array(begin[i] + a)), flat.take(pa.array(begin[j] + b))]
             return pa.RecordBatch.from_arrays([pa.array(scopes, schema.field("scope").type).take(pa.array(i)), place.take(pa.array(i)), place.take(pa.array(j)), pa.array(sim), *ends], schema=schema)
 

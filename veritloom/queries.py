@@ -77,13 +77,18 @@ def _once(kind: str, make: Callable[[SparkSession, str], object]) -> Callable[[S
     return shared
 
 
+def _named(kind: str, key: Column) -> Column:
+    """The id of a kind from its eight bytes."""
+    return F.concat(F.lit(kind), F.lower(F.hex(key)))
+
+
 def _kept(df: DataFrame) -> DataFrame:
     """``df`` as Parquet in the shared folder (a checkpoint takes several times the disk), without the shuffle files that made it."""
     import gc
 
     spark = df.sparkSession
     path = _folder(spark)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     del df
     gc.collect()
     spark.sparkContext._jvm.System.gc()
@@ -102,14 +107,15 @@ def _make_nodes(spark: SparkSession, d: str) -> DataFrame:
     """Valid statements, equal ones once: node_id, doc_id, ord, statement, terms, evidence, context_id."""
     from .plans.ingest import first_of_each
 
-    docs = _docs(spark, d).withColumn("context_id", T.context_id(F.col("text")))
+    # Ids are shuffled and kept as their eight bytes.
+    docs = _docs(spark, d).withColumn("context_id", F.unhex(T.content_hash(F.col("text"))))
     units = extract.explode_units(docs, extract.sentences(F.col("text")), "doc_id", "context_id")
     valid = units.where(F.size(validate.violations(F.col("text"))) == 0)
-    first = first_of_each(valid.select(T.node_id(F.col("text")).alias("node_id"), "doc_id", "ord", F.col("text").alias("statement"), "context_id", "start", "end"))
+    first = first_of_each(valid.select(F.unhex(T.stability_hash(F.col("text"))).alias("node_id"), "doc_id", "ord", F.col("text").alias("statement"), "context_id", "start", "end"))
     # Terms are of the first statement alone; evidence is put together again when it is read.
     kept = _kept(first.select("node_id", "doc_id", "ord", "statement", T.canonical_terms(F.col("statement")).alias("terms"), "context_id", "start", "end"))
     evidence = F.array(F.struct(F.col("doc_id").cast("string").alias("source"), F.struct("start", "end").alias("span"), F.lit(1.0).alias("confidence")))
-    return kept.withColumn("evidence", evidence).drop("start", "end")
+    return kept.withColumns({"node_id": _named("atomic_", F.col("node_id")), "context_id": _named("context_", F.col("context_id")), "evidence": evidence}).drop("start", "end")
 
 
 _nodes = _once("nodes", _make_nodes)
@@ -126,16 +132,17 @@ def _phrased(nodes: DataFrame, phrase: str) -> DataFrame:
 
 
 def _weights(nodes: DataFrame, k: int = 3) -> DataFrame:
-    units = nodes.select(F.col("doc_id").alias("scope"), "ord", "node_id", F.col("statement").alias("text"))
+    units = nodes.select(F.col("doc_id").alias("scope"), "ord", F.unhex(F.substring("node_id", 8, 16)).alias("node_id"), F.col("statement").alias("text"))
     pairs = similarity.similarity_edges(units, k)
-    return _kept(pairs.select("source", "target", F.round("weight", 9).alias("weight"), (F.col("scope") * 1_000_000_000 + F.col("i") * 10_000 + F.col("j")).alias("edge_ord"), F.lit("related_to").alias("type")))
+    kept = _kept(pairs.select("source", "target", F.round("weight", 9).alias("weight"), (F.col("scope") * 1_000_000_000 + F.col("i") * 10_000 + F.col("j")).alias("edge_ord")))
+    return kept.withColumns({"source": _named("atomic_", F.col("source")), "target": _named("atomic_", F.col("target")), "type": F.lit("related_to")})
 
 
 def _make_graph(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(nodes, weights, edges) of the documents' statements and contexts."""
     found = _nodes(spark, d)
     edges = found.select(F.col("node_id").alias("source"), F.col("context_id").alias("target"), F.lit("appears_in").alias("type"), (F.col("doc_id") * 1_000_000 + F.col("ord")).alias("edge_ord"), F.lit(None).cast("double").alias("weight"))
-    contexts = _kept(found.groupBy("context_id").agg(F.min("doc_id").alias("doc_id")))
+    contexts = _kept(found.groupBy(F.unhex(F.substring("context_id", 9, 16)).alias("key")).agg(F.min("doc_id").alias("doc_id"))).select(_named("context_", F.col("key")).alias("context_id"), "doc_id")
     none = F.lit(None).cast("array<string>")
     nodes = found.select("node_id", F.lit("atomic").alias("node_type"), "statement", F.slice(F.transform("terms", F.lower), 1, 2).alias("topic_labels"), (F.col("doc_id") * 1_000_000 + F.col("ord")).alias("node_ord"), F.lit(None).cast("string").alias("source_file")).union(
         contexts.select("context_id", F.lit("context"), F.lit(None).cast("string"), none, F.col("doc_id") * 1_000_000, F.col("doc_id").cast("string"))
